@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataloom.llm import provenance
+from strataloom.llm import mixing, packing, pieces, provenance
 from strataloom.runtime import table
 
 
@@ -14,5 +14,38 @@ def p1_labels(spark, d):
     return provenance.origin_of_files(table(spark, d, "files"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_labels": p1_labels}
+def p6_containers(spark, d):
+    return packing.containers(table(spark, d, "documents"))
+
+
+def p6_fills(spark, d):
+    return packing.fills(packing.containers(table(spark, d, "documents")))
+
+
+def p7_found(spark, d):
+    return mixing.short_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_uses(spark, d):
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets")).uses
+
+
+def p7_shares(spark, d):
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets")).shares
+
+
+def p7_tempered(spark, d):
+    """Shares of the mix in which no source is short."""
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"), tempered=True).shares
+
+
+def p8_found(spark, d):
+    return pieces.oversized(table(spark, d, "documents"))
+
+
+def p8_pieces(spark, d):
+    return pieces.cut_documents(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_labels, p6_containers, p6_fills, p7_found, p7_uses, p7_shares, p7_tempered, p8_found, p8_pieces)}
 SQL: dict[str, str] = {}
