@@ -112,7 +112,7 @@ Literal: NUMBER | STRING | CHAR | 'true' | 'false' ;
 Body: '{' Inner* Stmts '}' ;
 Stmts: Stmt* ;
 Stmt: ';' | Outer* StmtCore ;
-StmtCore: 'let' Pattern (':' Type)? ('=' Expr ('else' Body)?)? ';' CUT | &item ONLY Item | &macrostmt ONLY Path '!' &group CUT | &always ONLY BlockLike StmtTail CUT | Expr End CUT ;
+StmtCore: &always ONLY 'let' Pattern (':' Type)? ('=' Expr ('else' Body)?)? ';' CUT | &item ONLY Item | &macrostmt ONLY Path '!' &group CUT | &always ONLY BlockLike StmtTail CUT | Expr End CUT ;
 StmtTail: ';' | Postfix Suffix* (Bin Unary | 'as' TypeNoPlus)* End | &always ;
 Postfix: '?' | '.' ('await' | NUMBER | IDENT ('::' GenericArgs)?) ;
 End: ';' | &closing ;

@@ -54,7 +54,7 @@ def _go() -> tuple[Table, Callable]:
     table = Table(Grammar(grammars.GO), "File", c)
     c.kinds = table.kinds
     lexer = GoLexer(table.kinds)
-    return table, lambda text, path: lexer.tokens(text)
+    return table, lambda text, path, exact=False: (not exact and lexer.quick(text)) or lexer.tokens(text)
 
 
 def _rust() -> tuple[Table, Callable]:
@@ -105,7 +105,11 @@ def _rust() -> tuple[Table, Callable]:
     c.kinds = table.kinds
     items = c.numbers("use mod extern struct enum union type static fn trait impl pub macro_rules default auto")
     lexer = RustLexer(table.kinds)
-    return table, lambda text, path: lexer.tokens(text)
+    return table, lambda text, path, exact=False: (not exact and lexer.quick(text)) or lexer.tokens(text)
+
+
+def _has_jsx(path: str) -> bool:
+    return path.endswith((".jsx", ".tsx"))
 
 
 def _script(typed: bool) -> tuple[Table, Callable]:
@@ -220,7 +224,7 @@ def _script(typed: bool) -> tuple[Table, Callable]:
     calls = c.numbers("( TEMPLATE TEMPLATE_HEAD")
     operands = names | c.numbers("NUMBER STRING REGEX this super null true false [ { function class new import PRIVATE JSX_OPEN ! + - typeof void delete ++ -- UNOP")
     lexer = ScriptLexer(table.kinds, typed)
-    return table, lambda text, path: lexer.tokens(text, path.endswith((".jsx", ".tsx")))
+    return table, lambda text, path, exact=False: (not exact and lexer.quick(text, _has_jsx(path))) or lexer.tokens(text, _has_jsx(path))
 
 
 def _python() -> tuple[Table, Callable]:
@@ -230,7 +234,7 @@ def _python() -> tuple[Table, Callable]:
     table = Table(Grammar(grammars.PYTHON), "File", c)
     c.kinds = table.kinds
     lexer = PythonLexer(table.kinds)
-    return table, lambda text, path: lexer.tokens(text)
+    return table, lambda text, path, exact=False: (not exact and lexer.quick(text)) or lexer.tokens(text)
 
 
 @lru_cache(maxsize=None)
@@ -258,11 +262,12 @@ def first_error(language: str, path: str, content: bytes) -> tuple[int, int, str
     table, lexer = parser(language)
     tokens = lexer(text, path.lower())
     failed = table.parse(tokens.kinds, tokens.newline, tokens.partner)
+    if failed >= 0 and not tokens.starts:
+        tokens = lexer(text, path.lower(), True)
+        failed = table.parse(tokens.kinds, tokens.newline, tokens.partner)
     if language == "python":
         return _checked_python(content, text, tokens, failed)
-    if failed < 0:
-        return None
-    return _reported(text, tokens, failed)
+    return _reported(text, tokens, failed) if failed >= 0 else None
 
 
 def _place(text: str, offset: int) -> tuple[int, int]:
@@ -271,7 +276,7 @@ def _place(text: str, offset: int) -> tuple[int, int]:
 
 
 def _reported(text: str, tokens, failed: int) -> tuple[int, int, str]:
-    start = tokens.starts[failed]
+    start = tokens.starts[min(failed, len(tokens.starts) - 1)]
     found = re.match(r"\S{0,24}", text[start : start + 40]).group() or "end of file"
     return (*_place(text, start), f"unexpected {found}")
 

@@ -3,6 +3,11 @@
 Each lexer gives lists: kinds (ending with 0), starts of the tokens, whether a line ends before
 each, and for brackets the index of the partner. Text that is no token of the language becomes
 a token of the kind -1, which no rule accepts.
+
+``quick`` gives the same kinds without the starts: it takes all tokens with one call of the
+pattern and their kinds from a bounded memo of token texts. It gives None for texts that need
+more than that (regular expressions, JSX, nested comments, words that are keywords only in some
+places), and ``tokens`` then serves. Starts are wanted only where there is an error.
 """
 
 from __future__ import annotations
@@ -19,32 +24,53 @@ class Tokens:
     kinds: list[int]
     starts: list[int]
     newline: list[bool]
-    partner: list[int]
+    partner: Partners | list
 
 
-class _Kinds(dict):
-    """Kind by token text; what isn't listed is classified by its first characters."""
+class _Memo(dict):
+    """Kind by token text, found by ``classify`` and kept while the memo is small."""
 
-    def __init__(self, table: dict[str, int], names: str):
-        super().__init__({k: v for k, v in table.items() if not (k.isupper() and k.isalpha())})
-        self.table, self.word = table, re.compile(names)
+    def __init__(self, fixed: dict[str, int], classify):
+        super().__init__(fixed)
+        self.fixed, self.classify = dict(fixed), classify
 
     def __missing__(self, text: str) -> int:
         kind = self.classify(text)
         if len(text) < 40:
-            if len(self) > 200_000:
+            if len(self) > 300_000:
                 self.clear()
-                self.update({k: v for k, v in self.table.items() if not (k.isupper() and k.isalpha())})
+                self.update(self.fixed)
             self[text] = kind
         return kind
 
-    def classify(self, text: str) -> int:
-        c, t = text[0], self.table
-        if self.word.match(text):
-            return t["IDENT"]
-        if c.isdigit() or c == "." and text[1:2].isdigit():
-            return t["NUMBER"]
-        return t.get("BINOP", BAD) if text in _BINARY else BAD
+
+class Partners:
+    """Indexes of closing brackets by those of opening ones (else -1), found when first asked for.
+
+    Wrong nesting ends the search: what is open there has no partner.
+    """
+
+    def __init__(self, kinds: list[int], table: dict[str, int]):
+        self.kinds, self.table, self.found = kinds, table, None
+
+    def __getitem__(self, i: int) -> int:
+        if self.found is None:
+            t = self.table
+            close = {t[a]: t[b] for a, b in _OPEN.items()}
+            ends, waiting = frozenset(close.values()), []
+            self.found = found = [-1] * len(self.kinds)
+            for j, k in enumerate(self.kinds):
+                if k in close:
+                    waiting.append(j)
+                elif k in ends:
+                    if not waiting or close[self.kinds[waiting[-1]]] != k:
+                        break
+                    found[waiting.pop()] = j
+        return self.found[i]
+
+
+# What the memos say of texts that aren't tokens of the grammar.
+_SKIP, _LINE, _SKIP_LINES, _SLOW, _PARTS = -10, -11, -12, -13, -14
 
 
 # Operators that only stand between operands.
@@ -52,31 +78,65 @@ _BINARY = frozenset("|| && == != === !== < > <= >= / % << >> >>> &^ ** ?? // ->
 _ASSIGN = frozenset("+= -= *= /= %= &= |= ^= <<= >>= &^= **= >>>= &&= ||= ??= //= @=".split())
 
 
-def _partners(texts: list[str]) -> list[int]:
-    """For each opening bracket the index of its closing one, else -1; wrong nesting ends it."""
-    out = [-1] * len(texts)
-    waiting: list[int] = []
-    for i, t in enumerate(texts):
-        if t in _OPEN:
-            waiting.append(i)
-        elif t in (")", "]", "}"):
-            if not waiting or _OPEN[texts[waiting[-1]]] != t:
-                break
-            out[waiting.pop()] = i
-    return out
+def _grouped(lead: str, parts: tuple[str, ...]) -> re.Pattern:
+    """Tokens with a group for each part."""
+    return re.compile(lead + "(?:" + "|".join(f"({x})" for x in parts) + ")")
+
+
+def _flat(lead: str, parts: tuple[str, ...]) -> re.Pattern:
+    """Tokens with one group around whichever part it is."""
+    return re.compile(lead + "(" + "|".join(f"(?:{x})" for x in parts) + ")")
 
 
 class GoLexer:
-    _TOKEN = re.compile(
-        r"""[ \t\r]*(?:(\n)|(//[^\n]*)|(/\*[\s\S]*?\*/)|([^\W\d]\w*)|("(?:[^"\\\n]|\\.)*"|`[^`]*`)|('(?:\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{3}|[abfnrtv\\'"])|[^'\\\n])')"""
-        r"""|((?:0[xX][0-9a-fA-F_]+(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?\d+)?|0[bB][01_]+|0[oO][0-7_]+|\d[\d_]*(?:\.[\d_]*)?(?:[eE][+-]?\d+)?|\.\d[\d_]*(?:[eE][+-]?\d+)?)i?)"""
-        r"""|(<<=|>>=|&\^=|\.\.\.|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^|[-+*/%&|^<>=!()\[\]{},;.:~])|(\S))"""
+    _LEAD = r"[ \t\r]*"
+    _PARTS = (
+        r"\n",
+        r"//[^\n]*",
+        r"/\*[\s\S]*?\*/",
+        r"[^\W\d]\w*",
+        r'"(?:[^"\\\n]|\\.)*"|`[^`]*`',
+        r"""'(?:\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{3}|[abfnrtv\\'"])|[^'\\\n])'""",
+        r"(?:0[xX][0-9a-fA-F_]+(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?\d+)?|0[bB][01_]+|0[oO][0-7_]+|\d[\d_]*(?:\.[\d_]*)?(?:[eE][+-]?\d+)?|\.\d[\d_]*(?:[eE][+-]?\d+)?)i?",
+        r"<<=|>>=|&\^=|\.\.\.|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^|[-+*/%&|^<>=!()\[\]{},;.:~]",
+        r"\S",
     )
+    _TOKEN, _ALL = _grouped(_LEAD, _PARTS), _flat(_LEAD, _PARTS)
     _ENDS = frozenset(("break", "continue", "fallthrough", "return", "++", "--", ")", "]", "}"))
 
     def __init__(self, table: dict[str, int]):
         self.table = table
         self.names = {k: v for k, v in table.items() if k.isalpha() and k.islower()}
+        self.memo = _Memo({"\n": _LINE}, self._kind)
+        self.ending = frozenset(table[x] for x in (*self._ENDS, "IDENT", "STRING", "CHAR", "NUMBER"))
+
+    def _kind(self, word: str) -> int:
+        t, c = self.table, word[0]
+        if c == "/" and word[1:2] in ("/", "*"):
+            return _SKIP if word[1] == "/" or "\n" not in word else _LINE
+        if c == "_" or c.isalpha():
+            return self.names.get(word, t["IDENT"]) if word.isidentifier() else BAD
+        if c in "\"`'" and len(word) > 1:
+            return t["CHAR" if c == "'" else "STRING"]
+        if c.isdigit() or c == "." and word[1:2].isdigit():
+            return t["NUMBER"]
+        k = t.get(word)
+        return k if k is not None else t["ASSIGN"] if word in _ASSIGN else t["BINOP"] if word in _BINARY else BAD
+
+    def quick(self, text: str) -> Tokens | None:
+        semi, ending, last = self.table[";"], self.ending, 0
+        kinds: list[int] = []
+        for k in map(self.memo.__getitem__, self._ALL.findall(text)):
+            if k >= BAD:
+                kinds.append(k)
+                last = k
+            elif k == _LINE and last in ending:
+                kinds.append(semi)
+                last = 0
+        if last in ending:
+            kinds.append(semi)
+        kinds.append(0)
+        return Tokens(kinds, [], [], [])
 
     def tokens(self, text: str) -> Tokens:
         t = self.table
@@ -117,16 +177,51 @@ class GoLexer:
 
 
 class RustLexer:
-    _TOKEN = re.compile(
-        r"""\s*(?:(//[^\n]*|/\*)|((?:br|cr|r)(#*)"(?:(?!"\3)[\s\S])*"\3(?!\#)|[bc]?"(?:[^"\\]|\\[\s\S])*")|(b?'(?:\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]{1,8}\}|[nrt\\0'"])|[^\\'\n\t\r])')"""
-        r"""|('(?:r\#)?[^\W\d]\w*(?!'))|((?:r\#)?[^\W\d]\w*)|((?:0x[0-9a-fA-F_]+|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?(?:[eE][+-]?[\d_]+)?)(?:[iuf](?:8|16|32|64|128|size))?)"""
-        r"""|(\.\.\.|\.\.=|<=|==|!=|=>|->|::|\.\.|\+=|-=|\*=|/=|%=|\^=|&=|\|=|[-+*/%^!&|=<>@.,;:\#$?~()\[\]{}])|(\S))"""
+    _LEAD = r"\s*"
+    _PARTS = (
+        r"//[^\n]*|/\*",
+        r'(?:br|cr|r)(#*)"(?:(?!"\3)[\s\S])*"\3(?!\#)|[bc]?"(?:[^"\\]|\\[\s\S])*"',
+        r"""b?'(?:\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]{1,8}\}|[nrt\\0'"])|[^\\'\n\t\r])'""",
+        r"'(?:r\#)?[^\W\d]\w*(?!')",
+        r"(?:r\#)?[^\W\d]\w*",
+        r"(?:0x[0-9a-fA-F_]+|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?(?:[eE][+-]?[\d_]+)?)(?:[iuf](?:8|16|32|64|128|size))?",
+        r"\.\.\.|\.\.=|==|!=|=>|->|::|\.\.|\+=|-=|\*=|/=|%=|\^=|&=|\|=|[-+*/%^!&|=<>@.,;:\#$?~()\[\]{}]",
+        r"\S",
     )
+    _QUICK = (r"//[^\n]*|/\*[\s\S]*?\*/", r'[bc]?"(?:[^"\\]|\\[\s\S])*"', *_PARTS[2:])
+    _TOKEN, _ALL = _grouped(_LEAD, _PARTS), _flat(_LEAD, _QUICK)
     _NEXT = {"union": None, "auto": ("trait",), "default": ("fn", "const", "type", "async", "unsafe", "impl", "extern"), "raw": ("const", "mut"), "macro_rules": ("!",)}
 
     def __init__(self, table: dict[str, int]):
         self.table = table
         self.names = {k: v for k, v in table.items() if (k.isidentifier() and not k.isupper()) and k not in self._NEXT}
+        # Raw strings and contextual keywords are left to ``tokens``.
+        self.memo = _Memo(dict.fromkeys([*self._NEXT, "r", "br", "cr"], _SLOW), self._kind)
+
+    def _kind(self, word: str) -> int:
+        t, c = self.table, word[0]
+        if c == "/" and word[1:2] in ("/", "*"):
+            return _SLOW if "/*" in word[2:] and word[1] == "*" else _SKIP
+        if c in "\"'" or c in "bc" and word[1:2] in ("\"", "'") and word[1:2]:
+            if len(word) < 2:
+                return BAD
+            return t["STRING"] if word[-1] == '"' and c != "'" else t["CHAR"] if word[-1] == "'" else t["LIFETIME"]
+        if c == "_" or c.isalpha():
+            return self.names.get(word, t["IDENT"])
+        if c.isdigit():
+            return t["NUMBER"]
+        k = t.get(word)
+        return k if k is not None else t["BINOP"] if word in _BINARY or word in _ASSIGN else BAD
+
+    def quick(self, text: str) -> Tokens | None:
+        if text.startswith("#!"):
+            return None
+        found = list(map(self.memo.__getitem__, self._ALL.findall(text)))
+        if _SLOW in found:
+            return None
+        kinds = [k for k in found if k != _SKIP]
+        kinds.append(0)
+        return Tokens(kinds, [], [], Partners(kinds, self.table))
 
     def tokens(self, text: str) -> Tokens:
         t, match = self.table, self._TOKEN.match
@@ -154,7 +249,7 @@ class RustLexer:
             elif g == 8:
                 k = t.get(word)
                 if k is None:
-                    k = t["BINOP"] if word in _BINARY or word in _ASSIGN else t.get("OTHER", BAD - 1)
+                    k = t["BINOP"] if word in _BINARY or word in _ASSIGN else BAD
             else:
                 k = fixed.get(3 if g == 3 else g, t["STRING"] if g == 3 else BAD)
             kinds.append(k)
@@ -170,11 +265,9 @@ class RustLexer:
                     fits = bool(after) and after[0] in wanted and (word != "raw" or i > 0 and texts[i - 1] == "&")
                 if fits:
                     kinds[i] = t[word]
-        partner = _partners(texts)
         kinds.append(0)
         starts.append(len(text))
-        partner.append(-1)
-        return Tokens(kinds, starts, [], partner)
+        return Tokens(kinds, starts, [], Partners(kinds, t))
 
 
 def _nested_comment(text: str, at: int) -> int:
@@ -190,11 +283,23 @@ def _nested_comment(text: str, at: int) -> int:
 class ScriptLexer:
     """JavaScript and TypeScript, with templates, regular expressions and JSX."""
 
-    _TOKEN = re.compile(
-        r"""(?:[ \t\f\v\xa0﻿]|\\\r?\n)*(?:([\n\r  ]+)|(//[^\n\r  ]*|/\*[\s\S]*?\*/)|((?:[^\W\d]|[$‌‍]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:\w|[$‌‍]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*)"""
-        r"""|("(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*')|((?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?[\d_]+)?)n?(?![\w$]))|(\#[^\W\d][\w$]*|\#\$[\w$]*)"""
-        r"""|(\.\.\.|\?\?=|\?\?|\?\.(?!\d)|===|!==|==|!=|=>|\*\*=|\*\*|\+\+|--|<<=|<<|<=|&&=|&&|\|\|=|\|\||\+=|-=|\*=|%=|&=|\|=|\^=|[-+*%&|^!~=<>?:;,.()\[\]{}@])|(/)|(`)|(\S))"""
+    _LEAD = r"(?:[ \t\f\v\xa0\ufeff]|\\\r?\n)*"
+    _WORD = r"(?:[^\W\d]|[$\u200c\u200d]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:\w|[$\u200c\u200d]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*"
+    _PARTS = (
+        r"[\n\r\u2028\u2029]+",
+        r"//[^\n\r\u2028\u2029]*|/\*[\s\S]*?\*/",
+        _WORD,
+        r""""(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'""",
+        r"(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?[\d_]+)?)n?(?![\w$])",
+        r"\#[^\W\d][\w$]*|\#\$[\w$]*",
+        r"\.\.\.|\?\?=|\?\?|\?\.(?!\d)|===|!==|==|!=|=>|\*\*=|\*\*|\+\+|--|<<=|<<|<=|&&=|&&|\|\|=|\|\||\+=|-=|\*=|%=|&=|\|=|\^=|[-+*%&|^!~=<>?:;,.()\[\]{}@]",
+        r"/",
+        r"`",
+        r"\S",
     )
+    _QUICK = (*_PARTS[:7], r"/", r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{[^{}`/]*\})*`", r"\S")
+    _TOKEN, _ALL = _grouped(_LEAD, _PARTS), _flat(_LEAD, _QUICK)
+    _HOLE = re.compile(r"(?<!\\)\$\{([^{}`/]*)\}")
     _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[A-Za-z]*")
     _OPERAND_ENDS = frozenset((")", "]", "}", "this", "super", "null", "true", "false"))
     _WORD_ENDS = frozenset("return typeof instanceof in of new delete void throw case do else yield await default extends".split())
@@ -204,6 +309,60 @@ class ScriptLexer:
         self.names = {k: v for k, v in table.items() if k.isalpha() and k.islower()}
         if "KEYWORD" in table:
             self.names |= {k: table["KEYWORD"] for k in ("enum", "with", "class", "extends") if k not in table}
+        self.memo = _Memo({"/": _SLOW, "`": _SLOW}, self._kind)
+
+    def _kind(self, word: str) -> int:
+        t, c = self.table, word[0]
+        if c in "\n\r\u2028\u2029":
+            return _LINE
+        if c == "/":
+            return _SKIP_LINES if "\n" in word else _SKIP
+        if c in "\"'" and len(word) > 1:
+            return t["STRING"]
+        if c == "`":
+            return _SLOW if "\\${" in word else _PARTS if "${" in word else t["TEMPLATE"]
+        if c == "#" and len(word) > 1:
+            return t["PRIVATE"]
+        if c.isdigit() or c == "." and word[1:2].isdigit():
+            return t["NUMBER"]
+        if c in "_$\\\u200c\u200d" or c.isalpha():
+            return self.names.get(word, t["IDENT"]) if len(word) > 1 or c not in "\\" else BAD
+        k = t.get(word)
+        return k if k is not None else t["ASSIGN"] if word in _ASSIGN else t["BINOP"] if word in _BINARY or word == "^" else t["UNOP"] if word == "~" else BAD
+
+    def quick(self, text: str, jsx: bool = False) -> Tokens | None:
+        if jsx or text.startswith("#!"):
+            return None
+        kinds: list[int] = []
+        newline: list[bool] = []
+        if not self._collect(text, kinds, newline):
+            return None
+        kinds.append(0)
+        newline.append(True)
+        return Tokens(kinds, [], newline, Partners(kinds, self.table))
+
+    def _collect(self, text: str, kinds: list[int], newline: list[bool]) -> bool:
+        new, texts, memo = False, self._ALL.findall(text), self.memo
+        for i, k in enumerate(map(memo.__getitem__, texts)):
+            if k >= BAD:
+                kinds.append(k)
+                newline.append(new)
+                new = False
+            elif k == _LINE or k == _SKIP_LINES:
+                new = True
+            elif k == _PARTS:
+                head = self.table["TEMPLATE_HEAD"]
+                for hole in self._HOLE.findall(texts[i]):
+                    kinds.append(head)
+                    newline.append(new)
+                    new, head = False, self.table["TEMPLATE_MIDDLE"]
+                    if not self._collect(hole, kinds, newline):
+                        return False
+                kinds.append(self.table["TEMPLATE_TAIL"])
+                newline.append(False)
+            elif k == _SLOW:
+                return False
+        return True
 
     def tokens(self, text: str, jsx: bool = False) -> Tokens:
         self._kinds, self._starts, self._newline, self._texts = [], [], [], []
@@ -211,12 +370,10 @@ class ScriptLexer:
         if text.startswith("#!"):
             at = len(text.split("\n", 1)[0])
         self._run(text, at, len(text), jsx)
-        partner = _partners(self._texts)
         self._kinds.append(0)
         self._starts.append(len(text))
         self._newline.append(True)
-        partner.append(-1)
-        return Tokens(self._kinds, self._starts, self._newline, partner)
+        return Tokens(self._kinds, self._starts, self._newline, Partners(self._kinds, self.table))
 
     def _add(self, kind: int, start: int, newline: bool, word: str) -> None:
         self._kinds.append(kind)
@@ -386,15 +543,82 @@ class ScriptLexer:
 
 
 class PythonLexer:
-    _TOKEN = re.compile(
-        r"""[ \t\f]*(?:(\r\n|\r|\n)|(\#[^\n\r]*)|(\\(?:\r\n|\r|\n))|((?:[fFtT][rR]?|[rR][fFtT])(?:"(?!"")(?:[^"\\\n\r{]|\\[\s\S]|\{\{|\{(?:[^{}"'\n]|"[^"\n]*"|'[^'\n]*'|\{[^{}\n]*\})*\})*"|'(?!'')(?:[^'\\\n\r{]|\\[\s\S]|\{\{|\{(?:[^{}"'\n]|"[^"\n]*"|'[^'\n]*'|\{[^{}\n]*\})*\})*')|(?:[rRbBuUfFtT]{0,2})(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|"(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'))"""
-        r"""|([^\W\d]\w*)|((?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?))"""
-        r"""|(\*\*=|//=|>>=|<<=|\.\.\.|!=|->|:=|\+=|-=|\*=|/=|%=|@=|&=|\|=|\^=|==|<=|>=|\*\*|//|<<|>>|[-+*/%@&|^~<>=()\[\]{},:.;])|(\S))"""
+    _LEAD = r"[ \t\f]*"
+    _HOLES_2 = r'"(?!"")(?:[^"\\\n\r{]|\\[\s\S]|\{\{|\{(?:[^{}"\'\n]|"[^"\n]*"|\'[^\'\n]*\'|\{[^{}\n]*\})*\})*"'
+    _HOLES_1 = r"'(?!'')(?:[^'\\\n\r{]|\\[\s\S]|\{\{|\{(?:[^{}\"'\n]|\"[^\"\n]*\"|'[^'\n]*'|\{[^{}\n]*\})*\})*'"
+    _PARTS = (
+        r"(?:\r\n|\r|\n)[ \t\f]*",
+        r"\#[^\n\r]*",
+        r"\\(?:\r\n|\r|\n)",
+        rf"(?:[fFtT][rR]?|[rR][fFtT])(?:{_HOLES_2}|{_HOLES_1})|"
+        r'''(?:[rRbBuUfFtT]{0,2})(?:"""(?:[^\\]|\\[\s\S])*?"""|"(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*")'''
+        r"""|(?:[rRbBuUfFtT]{0,2})(?:'''(?:[^\\]|\\[\s\S])*?'''|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*')""",
+        r"[^\W\d]\w*",
+        r"0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?",
+        r"\*\*=|//=|>>=|<<=|\.\.\.|!=|->|:=|\+=|-=|\*=|/=|%=|@=|&=|\|=|\^=|==|<=|>=|\*\*|//|<<|>>|[-+*/%@&|^~<>=()\[\]{},:.;]",
+        r"\S",
     )
+    _TOKEN, _ALL = _grouped(_LEAD, _PARTS), _flat(_LEAD, _PARTS)
 
     def __init__(self, table: dict[str, int]):
         self.table = table
         self.names = {k: v for k, v in table.items() if k.isalpha() and k not in ("match", "case", "type") and not k.isupper()}
+        self.memo = _Memo(dict.fromkeys(("match", "case", "type"), _SLOW), self._kind)
+
+    def _kind(self, word: str) -> int:
+        t, c = self.table, word[0]
+        if c in "\r\n":
+            return _LINE
+        if c == "#" or c == "\\" and len(word) > 1:
+            return _SKIP
+        if word[-1] in "\"'" and len(word) > 1:
+            return t["STRINGS"]
+        if c == "_" or c.isalpha():
+            return self.names.get(word, t["IDENT"])
+        if c.isdigit() or c == "." and word[1:2].isdigit():
+            return t["NUMBER"]
+        k = t.get(word)
+        return k if k is not None else t["AUGMENTED"] if word in _ASSIGN else t["BINOP"] if word in _BINARY or word in ("^", "&") else BAD
+
+    def quick(self, text: str) -> Tokens | None:
+        t, texts = self.table, self._ALL.findall(text)
+        found = list(map(self.memo.__getitem__, texts))
+        if _SLOW in found or text[:1] in (" ", "\t", "\f"):
+            return None
+        steps = {t[x]: d for pairs, d in (("([{", 1), (")]}", -1)) for x in pairs}
+        new, indent, dedent, strings = t["NEWLINE"], t["INDENT"], t["DEDENT"], t["STRINGS"]
+        kinds: list[int] = []
+        depth, fresh, white, indents = 0, True, "", [0]
+        for i, k in enumerate(found):
+            if k >= BAD:
+                if fresh:
+                    fresh = False
+                    width = len(white.rpartition("\f")[2].expandtabs(8))
+                    if width > indents[-1]:
+                        indents.append(width)
+                        kinds.append(indent)
+                    elif width < indents[-1]:
+                        while width < indents[-1]:
+                            indents.pop()
+                            kinds.append(dedent)
+                        if width != indents[-1]:
+                            kinds.append(BAD)
+                elif k == strings and kinds[-1] == strings:
+                    continue
+                if k in steps:
+                    depth = max(0, depth + steps[k])
+                kinds.append(k)
+            elif k == _LINE:
+                if not depth and not fresh:
+                    kinds.append(new)
+                    fresh = True
+                if fresh:
+                    white = texts[i].lstrip("\r\n")
+        if not fresh:
+            kinds.append(new)
+        kinds += [dedent] * (len(indents) - 1)
+        kinds.append(0)
+        return Tokens(kinds, [], [], [])
 
     def tokens(self, text: str) -> Tokens:
         t = self.table
@@ -402,7 +626,7 @@ class PythonLexer:
         starts: list[int] = []
         first: list[int] = []  # indexes of the tokens that begin logical lines
         texts: list[str] = []
-        depth, fresh, begin, indents = 0, True, 0, [0]
+        depth, fresh, begin, white, indents = 0, True, int(text[:1] in (" ", "\t", "\f")), "", [0]
 
         def add(k: int, at: int, word: str = "") -> None:
             kinds.append(k)
@@ -418,14 +642,14 @@ class PythonLexer:
                     add(t["NEWLINE"], m.start(1))
                     fresh = True
                 if fresh:
-                    begin = m.end()
+                    white = m[1].lstrip("\r\n")
                 continue
             if g in (2, 3):
                 continue
             if fresh:
                 fresh = False
-                white = text[begin : m.start(g)].rpartition("\f")[2]
-                width = len(white.expandtabs(8))
+                width = len((white or text[: m.start(g)] if begin else white).rpartition("\f")[2].expandtabs(8))
+                begin = 0
                 if width > indents[-1]:
                     indents.append(width)
                     add(t["INDENT"], m.start(g))

@@ -88,6 +88,10 @@ class Grammar:
         return name
 
 
+class Eaten(tuple):
+    """Symbols to be pushed after the token, which the expansion begins with."""
+
+
 class Table:
     """The compiled grammar. ``kinds`` numbers the kinds of tokens; 0 is the end of the text."""
 
@@ -119,7 +123,7 @@ class Table:
                         nullable.add(n)
                         changed = True
         self.start = number[start]
-        every = range(len(self.kinds))
+        every = range(len(self.kinds) + 1)  # the last stands for text that is no token, and has the number -1
         raw: dict[int, list[tuple[tuple, ...]]] = {}
         for n, alts in made.items():
             firsts = [self._first(a, first, nullable) for a in alts]
@@ -147,7 +151,7 @@ class Table:
         """None, or the alternatives as tuples of symbols to be pushed, the first of them last.
 
         Where there is one alternative and its first symbol has one too, they are joined; a
-        leading symbol that is the token itself is left to the machine to match.
+        leading symbol that is the token itself is left out and eaten at once.
         """
         options = self._raw[n][k]
         if not options:
@@ -155,7 +159,8 @@ class Table:
         if len(options) > 1:
             made = [self._expanded(a, k) for a in options]
             return [a[::-1] for a in (*made[:-1], self._alone(made[-1]))]
-        return self._expanded(self._alone(options[0]), k)[::-1]
+        found = self._expanded(self._alone(options[0]), k)
+        return Eaten(found[:0:-1]) if found and found[0] == k and found[0].__class__ is int else found[::-1]
 
     @staticmethod
     def _alone(a: tuple) -> tuple:
@@ -191,6 +196,12 @@ class Table:
                         continue
                 else:
                     entry = actions[symbol][kind]
+                    if entry.__class__ is Eaten:
+                        for s in entry:
+                            stack = (s, stack)
+                        at += 1
+                        kind = kinds[at] if kind else 0
+                        continue
                     if entry is not None:
                         if entry.__class__ is list:
                             choices.append((entry, 1, stack, at))
