@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataloom.llm import mixing, packing, pieces, provenance, validity
+from strataloom.llm import functions, mixing, packing, pieces, provenance, validity
 from strataloom.runtime import table
 
 
@@ -14,6 +14,18 @@ def p1_labels(spark, d):
     return provenance.origin_of_files(table(spark, d, "files"))
 
 
+def p4_found(spark, d):
+    return functions.documented_ords(table(spark, d, "symbols"), table(spark, d, "files"))
+
+
+def p4_pairs(spark, d):
+    return functions.documented_functions(table(spark, d, "symbols"), table(spark, d, "files"))
+
+
+def p4_units(spark, d):
+    return functions.extract_units(table(spark, d, "files"))
+
+
 def p5_found(spark, d):
     return validity.invalid_files(table(spark, d, "files"))
 
@@ -59,5 +71,5 @@ def p8_pieces(spark, d):
     return pieces.cut_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_labels, p5_found, p5_files, p5_rates, p6_containers, p6_fills, p7_found, p7_uses, p7_shares, p7_tempered, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_labels, p4_found, p4_pairs, p4_units, p5_found, p5_files, p5_rates, p6_containers, p6_fills, p7_found, p7_uses, p7_shares, p7_tempered, p8_found, p8_pieces)}
 SQL: dict[str, str] = {}
