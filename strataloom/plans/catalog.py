@@ -1,7 +1,7 @@
 """All queries of the core, with the SQL of those that have one."""
 
-from strataloom.plans import core_problems
+from strataloom.plans import core_problems, index_queries
 
-QUERIES = {**core_problems.QUERIES}
-SQL = {**core_problems.SQL}
-FLAGSHIP = "p3_states"
+QUERIES = {**core_problems.QUERIES, **index_queries.QUERIES}
+SQL = {**core_problems.SQL, **index_queries.SQL}
+FLAGSHIP = "anchors_inferred"
