@@ -1,7 +1,7 @@
 """All queries of the core, with the SQL of those that have one."""
 
-from strataloom.plans import core_problems, index_queries
+from strataloom.plans import core_problems, extract_queries, index_queries
 
-QUERIES = {**core_problems.QUERIES, **index_queries.QUERIES}
+QUERIES = {**core_problems.QUERIES, **index_queries.QUERIES, **extract_queries.QUERIES}
 SQL = {**core_problems.SQL, **index_queries.SQL}
 FLAGSHIP = "anchors_inferred"
