@@ -100,19 +100,20 @@ def scored(symbols: DataFrame, query: str, allowed: list[str] | None = None, kin
     front = F.col("metadata.frontmatter")
     pages = symbols.where(front.isNotNull()).select(F.col("cache_key").alias("page_key"), F.col("id").alias("page_id"), frontmatter_score(front, query, words).alias("page_score")).groupBy("page_key", "page_id").agg(F.max("page_score").alias("page_score"))
     inherits = (F.col("cache_key") == F.col("page_key")) & (mark["root_id"] == F.col("page_id")) & (mark["root_id"] != F.col("id"))
-    found = rows.join(pages, inherits, "left")
-    own = local_score(query, words)
-    base = own + frontmatter_score(front, query, words)
-    score = F.when(base <= 0, 0.0).otherwise(base + kind_weight(F.col("kind"), F.col("language")))
-    inherited = F.when((own > 0) & (F.coalesce("page_score", F.lit(0.0)) > 0), F.col("page_score") * 0.55).otherwise(0.0)
-    total = score + inherited
+    # Each step is a column of its own, so that no step is worked out more than once.
+    found = rows.join(pages, inherits, "left").withColumn("own", local_score(query, words)).withColumn("front", frontmatter_score(front, query, words))
+    found = found.withColumn("base", F.col("own") + F.col("front")).withColumn("weight", kind_weight(F.col("kind"), F.col("language")))
+    local = F.col("own") > 0
+    found = found.withColumn("inherited", F.when(local & (F.coalesce("page_score", F.lit(0.0)) > 0), F.col("page_score") * 0.55).otherwise(0.0))
+    found = found.withColumn("score", F.when(F.col("base") <= 0, 0.0).otherwise(F.col("base") + F.col("weight")) + F.col("inherited"))
     title = F.lower(F.coalesce(F.try_element_at(front, F.lit("title")), F.lit("")))
     saved = F.coalesce(mark["saved_pct"], F.lit(0))
     if not set(words) & set(PAGE_WORDS):
-        total = F.when((mark["page_root"]) & (saved < 25) & (title != query), total * 0.5).otherwise(total)
-    total = F.when((mark["span_kind"] == "section") & ~F.coalesce(mark["page_root"], F.lit(False)) & (saved >= 50) & (inherited > 0) & (own > 0), total + 8).otherwise(total)
-    total = F.when(in_templates(F.col("file_path")), total * 0.5).otherwise(total)
-    return found.withColumn("score", total).where(F.col("score") > 0).drop("page_key", "page_id", "page_score")
+        found = found.withColumn("score", F.col("score") * F.when((mark["page_root"]) & (saved < 25) & (title != query), 0.5).otherwise(1.0))
+    section = (mark["span_kind"] == "section") & ~F.coalesce(mark["page_root"], F.lit(False)) & (saved >= 50)
+    found = found.withColumn("score", F.col("score") + F.when(section & (F.col("inherited") > 0) & local, 8.0).otherwise(0.0))
+    found = found.withColumn("score", F.col("score") * F.when(in_templates(F.col("file_path")), 0.5).otherwise(1.0))
+    return found.where(F.col("score") > 0).drop("page_key", "page_id", "page_score", "own", "front", "base", "weight", "inherited")
 
 
 def top(symbols: DataFrame, query: str, limit: int = 20, **only) -> DataFrame:
