@@ -245,8 +245,8 @@ def propagate(evidence: DataFrame) -> DataFrame:
     """Posterior of each file: the columns of ``evidence`` and probabilities handwritten .. blob.
 
     A file's message to its directory is summed with its siblings' before it is shuffled.
-    There are as many levels as the deepest path has; every sixth ends the lineage with a
-    checkpoint.
+    There are as many levels as the deepest path has. Each is needed twice, so each is written
+    to the checkpoint folder, and no level is worked out again for the next.
     """
     evidence = cut(evidence)
     leaves = evidence.groupBy("repo", "dir").agg(*(F.sum(f"f{i}").alias(f"f{i}") for i in range(_N)))
@@ -265,9 +265,7 @@ def propagate(evidence: DataFrame) -> DataFrame:
             here = here.select("*", *(F.lit(0.0).alias(f"s{i}") for i in range(_N)))
         else:
             here = here.join(sums, (here.repo == sums.p_repo) & (here.dir == sums.p_dir), "left").select(here["*"], *(F.coalesce(F.col(f"c{i}"), F.lit(0.0)).alias(f"s{i}") for i in range(_N)))
-        here = _stepped(here, ["repo", "dir", "parent"], lambda o, s: [o + s, to_parent(o + s)], "os", "tm")
-        if (deepest - d) % 6 == 5:
-            here = cut(here)
+        here = cut(_stepped(here, ["repo", "dir", "parent"], lambda o, s: [o + s, to_parent(o + s)], "os", "tm"))
         level[d] = here
         sums = here.groupBy(F.col("repo").alias("p_repo"), F.col("parent").alias("p_dir")).agg(*(F.sum(f"m{i}").alias(f"c{i}") for i in range(_N)))
     above: DataFrame | None = None
@@ -279,9 +277,7 @@ def propagate(evidence: DataFrame) -> DataFrame:
         else:
             up = above.select(F.col("repo").alias("p_repo"), F.col("dir").alias("p_dir"), *(F.col(f"b{i}").alias(f"p{i}") for i in range(_N)))
             joined = here.join(up, (here.repo == up.p_repo) & (here.parent == up.p_dir), "inner")
-            here = _stepped(joined, ["repo", "dir"], lambda t, m, p: [t + to_child(p - m)], "tmp", "b")
-        if d % 6 == 5:
-            here = cut(here)
+            here = cut(_stepped(joined, ["repo", "dir"], lambda t, m, p: [t + to_child(p - m)], "tmp", "b"))
         above = here
         beliefs = here if beliefs is None else beliefs.unionByName(here)
     at = beliefs.select(F.col("repo").alias("d_repo"), F.col("dir").alias("d_dir"), *_cols("b"))
