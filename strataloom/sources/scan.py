@@ -54,8 +54,9 @@ def ignored(path: Column, rules: list[tuple[str, bool]]) -> Column:
         return F.lit(False)
 
     def decided(p: Column, is_folder: bool) -> Column:
-        text = F.concat(p, F.lit("/")) if is_folder else p
-        return F.coalesce(*(F.when(p.rlike(r) | (text.rlike(r) if is_folder else F.lit(False)), F.lit(x)) for r, x in reversed(rules)), F.lit(False))
+        text = F.concat(p, F.lit("/"))
+        fits = lambda r: (text.rlike(r) if is_folder else F.lit(False)) if r.endswith("/") else p.rlike(r)
+        return F.coalesce(*(F.when(fits(r), F.lit(x)) for r, x in reversed(rules)), F.lit(False))
 
     above = F.filter(ancestors(path), lambda a: a != "")
     return F.exists(above, lambda a: decided(a, True)) | decided(path, False)
@@ -64,7 +65,8 @@ def ignored(path: Column, rules: list[tuple[str, bool]]) -> Column:
 def listing(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
     """path (relative), modified, bytes and content of every file below ``root``.
 
-    The size filter is pushed to the file listing, so that larger files aren't read.
+    Hidden files (names with a leading dot or underscore) aren't listed by Spark's readers. The
+    size filter is pushed to the file listing, so that larger files aren't read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     if max_bytes is not None:

@@ -48,7 +48,7 @@ class Store:
         stream.close()
         options = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        modes = self.spark._gateway.new_array(options, 1)
+        modes = self.spark.sparkContext._gateway.new_array(options, 1)
         modes[0] = options.OVERWRITE
         context.rename(draft, self._path(path), modes)
 

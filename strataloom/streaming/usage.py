@@ -40,16 +40,16 @@ def _relate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
             out.append((key[0], float(r.ts), r.symbol_id, last[2] if fits else None, rank))
     if last is not None:
         state.update(last)
-        state.setTimeoutDuration(2 * SEARCH_TTL * 1000)
+        state.setTimeoutTimestamp(max(int((last[0] + 2 * SEARCH_TTL) * 1000), state.getCurrentWatermarkMs() + 1))
     made = pd.DataFrame(out, columns=["session", "ts", "symbol_id", "search_id", "search_rank"])
     made["search_rank"] = made["search_rank"].astype("Int32")
     yield made
 
 
-def related_gets(events: DataFrame) -> DataFrame:
+def related_gets(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Each get with the id of the search that explains it and its rank there.
 
-    State is one search per session and is dropped when nothing came for twice its lifetime.
+    State is one search per session, dropped when event time has passed twice its lifetime.
     """
-    rows = events.where("event IN ('get', 'search')").select("session", "ts", "event", "repo", "symbol_id", "search_id", "results")
-    return rows.groupBy("session").applyInPandasWithState(_relate, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = events.where("event IN ('get', 'search')").withWatermark("time", late).select("time", "session", "ts", "event", "repo", "symbol_id", "search_id", "results")
+    return rows.groupBy("session").applyInPandasWithState(_relate, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
