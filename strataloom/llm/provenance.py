@@ -87,7 +87,8 @@ def tail_of(text: str) -> str:
 def file_evidence(path: str | None, content: bytes | None) -> tuple[float, ...]:
     """Log evidence of a file for each label, relative to handwritten.
 
-    Null content or an empty file has no evidence but its name's. The weights are log odds set
+    Null content or an empty file has no evidence but its name's; code without any mark has a
+    little for handwritten. The weights are log odds set
     by hand: about 8 where a mark tells by itself, about 3 where it tells with others.
     """
     generated = minified = vendored = blob = 0.0
@@ -130,6 +131,8 @@ def file_evidence(path: str | None, content: bytes | None) -> tuple[float, ...]:
             # The names count up or repeat a pattern in whatever a tool wrote out of a table.
             if distinct < 0.25 and blob < 4:
                 generated += 8 * min(1.0, (0.33 - distinct) / 0.1)
+    if not (generated or minified or vendored or blob) and size >= 60:
+        return UNMARKED
     return 0.0, generated, minified, vendored, blob
 
 
@@ -146,26 +149,39 @@ def _mostly_data(line: str) -> bool:
     return sum(len(m) for m in _QUOTED_RUN.findall(line)) > 0.8 * len(line)
 
 
-# Log priors of a directory without any mark, and compatibilities P(child | parent).
-DIR_PRIOR = (0.0, -7.0, -7.0, -7.0, -7.0)
-_P = {
+# Log prior of a root, and compatibilities P(file | directory) and P(directory | its parent). A
+# directory without a telling name is nearly always what its parent is.
+ROOT_PRIOR = (0.0, -7.0, -7.0, -7.0, -7.0)
+_FILE = {
     "handwritten": (0.96, 0.01, 0.01, 0.01, 0.01),
     "generated": (0.015, 0.96, 0.005, 0.01, 0.01),
     "minified": (0.30, 0.02, 0.66, 0.01, 0.01),
     "vendored": (0.004, 0.004, 0.004, 0.984, 0.004),
     "blob": (0.30, 0.02, 0.01, 0.01, 0.66),
 }
-COMPATIBLE = np.log(np.array([_P[parent] for parent in LABELS]))
+COMPATIBLE = np.log(np.array([_FILE[parent] for parent in LABELS]))
+#: Log chance of another label than the parent's: what lies below a vendored or generated
+#: directory is of its kind, however many files there look handwritten.
+_SWITCH = {"handwritten": -14.0, "generated": -150.0, "minified": -4.0, "vendored": -150.0, "blob": -4.0}
+COMPATIBLE_DIRS = np.array([[0.0 if child == parent else _SWITCH[parent] for child in LABELS] for parent in LABELS])
+#: Log evidence of code that carries no mark at all: most files of the other labels carry one.
+UNMARKED = (0.0, -3.0, -3.0, -0.5, -3.0)
 _N = len(LABELS)
 
 
 def directory_evidence(name: Column) -> list[Column]:
-    """Log evidence of a directory from its name."""
+    """Log evidence of a directory from its name, or a root's prior."""
     low = F.lower(name)
-    vendored = F.when(low.isin(*VENDOR_DIRS), 20.0).otherwise(0.0)
-    generated = F.when(low.isin(*GENERATED_DIRS), 20.0).otherwise(0.0)
-    minified = F.when(low.isin(*BUILD_DIRS), 4.0).otherwise(0.0)
-    return [F.lit(DIR_PRIOR[0]), generated + DIR_PRIOR[1], minified + DIR_PRIOR[2], vendored + DIR_PRIOR[3], F.lit(DIR_PRIOR[4])]
+    named = [F.lit(0.0), F.when(low.isin(*GENERATED_DIRS), 200.0).otherwise(0.0), F.when(low.isin(*BUILD_DIRS), 4.0).otherwise(0.0), F.when(low.isin(*VENDOR_DIRS), 200.0).otherwise(0.0), F.lit(0.0)]
+    return [F.when(F.col("dir") == "", F.lit(ROOT_PRIOR[i])).otherwise(named[i]) for i in range(_N)]
+
+
+def telling(name: Column) -> Column:
+    """1 if a directory's name alone says what it is, else 0.
+
+    Such a directory's label doesn't depend on its parent's, so no message passes between them.
+    """
+    return F.lower(name).isin(*GENERATED_DIRS, *VENDOR_DIRS).cast("double")
 
 
 def _lse(x: np.ndarray) -> np.ndarray:
@@ -173,14 +189,14 @@ def _lse(x: np.ndarray) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=-1, keepdims=True)))[..., 0]
 
 
-def to_parent(child: np.ndarray) -> np.ndarray:
+def to_parent(child: np.ndarray, compatible: np.ndarray = COMPATIBLE) -> np.ndarray:
     """Log messages of children (a row each) to each label of their directory."""
-    return _lse(child[:, None, :] + COMPATIBLE[None, :, :])
+    return _lse(child[:, None, :] + compatible[None, :, :])
 
 
-def to_child(parent: np.ndarray) -> np.ndarray:
+def to_child(parent: np.ndarray, compatible: np.ndarray = COMPATIBLE) -> np.ndarray:
     """Log messages of directories to each label of a child."""
-    return _lse(parent[:, None, :] + COMPATIBLE.T[None, :, :])
+    return _lse(parent[:, None, :] + compatible.T[None, :, :])
 
 
 def _cols(prefix: str) -> list[Column]:
@@ -254,7 +270,7 @@ def propagate(evidence: DataFrame) -> DataFrame:
     up_to = F.transform(F.sequence(F.lit(0), F.when(F.col("dir") == "", F.lit(0)).otherwise(F.size(steps))), lambda i: F.array_join(F.slice(steps, 1, i), "/"))
     paths = leaves.select("repo", F.explode(up_to).alias("dir")).distinct()
     own = directory_evidence(F.regexp_extract("dir", r"([^/]*)$", 1))
-    marked = paths.join(leaves, ["repo", "dir"], "left").select("repo", "dir", *((own[i] + F.coalesce(F.col(f"f{i}"), F.lit(0.0))).alias(f"o{i}") for i in range(_N)))
+    marked = paths.join(leaves, ["repo", "dir"], "left").select("repo", "dir", *((own[i] + F.coalesce(F.col(f"f{i}"), F.lit(0.0))).alias(f"o{i}") for i in range(_N)), *(telling(F.regexp_extract("dir", r"([^/]*)$", 1)).alias(f"n{i}") for i in range(_N)))
     dirs = cut(_with_depth(marked))
     deepest = dirs.agg(F.max("depth")).first()[0] or 0
     level: dict[int, DataFrame] = {}
@@ -265,7 +281,7 @@ def propagate(evidence: DataFrame) -> DataFrame:
             here = here.select("*", *(F.lit(0.0).alias(f"s{i}") for i in range(_N)))
         else:
             here = here.join(sums, (here.repo == sums.p_repo) & (here.dir == sums.p_dir), "left").select(here["*"], *(F.coalesce(F.col(f"c{i}"), F.lit(0.0)).alias(f"s{i}") for i in range(_N)))
-        here = cut(_stepped(here, ["repo", "dir", "parent"], lambda o, s: [o + s, to_parent(o + s)], "os", "tm"))
+        here = cut(_stepped(here, ["repo", "dir", "parent"], lambda o, s, n: [o + s, (1 - n) * to_parent(o + s, COMPATIBLE_DIRS), n], "osn", "tmn"))
         level[d] = here
         sums = here.groupBy(F.col("repo").alias("p_repo"), F.col("parent").alias("p_dir")).agg(*(F.sum(f"m{i}").alias(f"c{i}") for i in range(_N)))
     above: DataFrame | None = None
@@ -277,7 +293,7 @@ def propagate(evidence: DataFrame) -> DataFrame:
         else:
             up = above.select(F.col("repo").alias("p_repo"), F.col("dir").alias("p_dir"), *(F.col(f"b{i}").alias(f"p{i}") for i in range(_N)))
             joined = here.join(up, (here.repo == up.p_repo) & (here.parent == up.p_dir), "inner")
-            here = cut(_stepped(joined, ["repo", "dir"], lambda t, m, p: [t + to_child(p - m)], "tmp", "b"))
+            here = cut(_stepped(joined, ["repo", "dir"], lambda t, m, n, p: [t + (1 - n) * to_child(p - m, COMPATIBLE_DIRS)], "tmnp", "b"))
         above = here
         beliefs = here if beliefs is None else beliefs.unionByName(here)
     at = beliefs.select(F.col("repo").alias("d_repo"), F.col("dir").alias("d_dir"), *_cols("b"))
