@@ -64,7 +64,7 @@ def graph_anchors(spark, d, question: str, repo: str | None = None, max_anchors:
 
 def graph_neighbors(spark, d, seed_ids: list[str], repo: str | None = None) -> DataFrame:
     """Children and parents by exact containment."""
-    held = _edges(spark, d, repo).where("namespace = 'loci' AND edge_type = 'contains' AND directed AND resolution = 'exact'")
+    held = _edges(spark, d, repo).where("edge_type = 'contains' AND directed AND resolution = 'exact'")
     return graph.neighbours(_seeds(spark, seed_ids), held, "either")
 
 

@@ -226,7 +226,7 @@ def contains_edges(spark, d):
     return rows.select("cache_key", "from_id", "to_id", F.col("evidence.file").alias("file"), F.col("evidence.line").alias("line"))
 
 
-_REF_EDGES = """SELECT cache_key, source_id AS from_id, target_id AS to_id, CASE WHEN coalesce(binding.type_only, false) THEN 'references_type' ELSE 'references' END AS edge_type, true AS directed, 'loci' AS namespace,
+_REF_EDGES = """SELECT cache_key, source_id AS from_id, target_id AS to_id, CASE WHEN coalesce(binding.type_only, false) THEN 'references_type' ELSE 'references' END AS edge_type, true AS directed, 'core' AS namespace,
   coalesce(resolution_basis, 'import-resolved') AS resolution, raw.source_file AS file, raw.line AS line, raw.source_hash AS content_hash FROM ref WHERE status = 'resolved' AND source_id IS NOT NULL AND target_id IS NOT NULL AND source_id <> target_id"""
 
 
@@ -238,7 +238,7 @@ def reference_edges(spark, d):
 
 
 _ALL_EDGES = f"""al AS (SELECT DISTINCT * FROM (SELECT cache_key, from_id, to_id, edge_type, directed, namespace, resolution, evidence.file AS file, evidence.line AS line, evidence.content_hash AS content_hash FROM edges
-  UNION ALL SELECT cache_key, metadata.markdown.parent_id, id, 'contains', true, 'loci', 'exact', file_path, line, content_hash FROM sym WHERE metadata.markdown.parent_id IS NOT NULL AND metadata.markdown.parent_id <> '' AND metadata.markdown.parent_id <> id
+  UNION ALL SELECT cache_key, metadata.markdown.parent_id, id, 'contains', true, 'core', 'exact', file_path, line, content_hash FROM sym WHERE metadata.markdown.parent_id IS NOT NULL AND metadata.markdown.parent_id <> '' AND metadata.markdown.parent_id <> id
   UNION ALL {_REF_EDGES}))"""
 
 
@@ -261,9 +261,9 @@ def best_evidence_per_edge(spark, d):
     return graph.best_evidence(_all_edges(spark, d))
 
 
-@query(f"WITH {_EDG} SELECT edge_id FROM edg WHERE namespace IN ('loci') AND edge_type IN ('calls', 'imports') AND resolution IN ({_list(graph.SAFE_RESOLUTIONS)})")
+@query(f"WITH {_EDG} SELECT edge_id FROM edg WHERE edge_type IN ('calls', 'imports') AND resolution IN ({_list(graph.SAFE_RESOLUTIONS)})")
 def edges_filtered(spark, d):
-    return graph.filtered(tables.edges(spark, d, "namespace", "edge_type", "resolution"), ["loci"], ["calls", "imports"]).select("edge_id")
+    return graph.filtered(tables.edges(spark, d, "namespace", "edge_type", "resolution"), types=["calls", "imports"]).select("edge_id")
 
 
 _USABLE = "us AS (SELECT * FROM edg WHERE from_id IS NOT NULL AND to_id IS NOT NULL AND from_id <> '' AND to_id <> '')"
