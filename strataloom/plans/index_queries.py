@@ -180,7 +180,7 @@ def _search_sql(where: str, tail: str) -> str:
       c AS (SELECT *, CASE WHEN metadata.markdown.page_root AND coalesce(metadata.markdown.saved_pct, 0) < 25 AND {key('title')} <> '{_Q}' THEN (base + inherited) * 0.5 ELSE base + inherited END AS s1 FROM b),
       e AS (SELECT ord, id, CASE WHEN metadata.markdown.span_kind = 'section' AND NOT coalesce(metadata.markdown.page_root, false) AND coalesce(metadata.markdown.saved_pct, 0) >= 50 AND inherited > 0 AND own > 0 THEN s1 + 8 ELSE s1 END
         * CASE WHEN list_contains(string_split(file_path, '/'), '_templates') THEN 0.5 ELSE 1 END AS score FROM c)
-      SELECT ord, id, score FROM e WHERE score > 0 {tail}"""
+      SELECT ord, id, score::DOUBLE AS score FROM e WHERE score > 0 {tail}"""
 
 
 _SEARCHED = ("cache_key", "id", "name", "qualified_name", "signature", "summary", "docstring", "keywords", "metadata")
