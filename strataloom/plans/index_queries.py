@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from strataloom.functions import policy, text as X
 from strataloom.functions.languages import ENDINGS, SPELLINGS
@@ -305,12 +305,20 @@ def khop_simple_paths(spark, d):
     return found.select(F.array_join("path", " > ").alias("path"), F.col("end").alias("end_id"), (F.size("path") - 1).alias("hops"))
 
 
+#: Targets of one path question; a source with more has several questions.
+TARGETS_ASKED = 4
+
+
 @query()
 def paths_budgeted(spark, d):
-    """Bounded paths from each overlay node that files lead to; tested against plain searches."""
+    """Bounded paths from every twentieth symbol to all nodes that its edges lead to, in questions
+    (id#block) of TARGETS_ASKED targets each; tested against plain searches."""
     e = tables.edges(spark, d, "from_id", "to_id", "edge_type", "directed")
-    asked = e.where("edge_id % 500 = 0 AND from_id IS NOT NULL AND to_id <> ''").groupBy(F.col("from_id").alias("question_id")).agg(F.array(F.col("from_id")).alias("sources"), F.array_distinct(F.slice(F.sort_array(F.collect_set("to_id")), 1, 4)).alias("targets"))
-    asked = asked.where(~F.array_contains("targets", F.col("question_id")) | (F.size("targets") > 1))
+    seeds = tables.symbols(spark, d, "id").where("ord % 20 = 0").select(F.col("id").alias("from_id"))
+    led = e.where("to_id <> '' AND from_id <> to_id").join(seeds, "from_id", "left_semi").select("from_id", "to_id").distinct()
+    block = F.floor((F.row_number().over(Window.partitionBy("from_id").orderBy("to_id")) - 1) / TARGETS_ASKED)
+    asked = led.withColumn("block", block).groupBy("from_id", "block").agg(F.sort_array(F.collect_list("to_id")).alias("targets"))
+    asked = asked.select(F.concat_ws("#", "from_id", F.col("block").cast("string")).alias("question_id"), F.array("from_id").alias("sources"), "targets")
     return graph.paths_between(asked, e, graph.Limits())
 
 
