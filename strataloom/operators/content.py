@@ -58,9 +58,8 @@ def outline(symbols: DataFrame) -> DataFrame:
 
 def symbol_context(symbols: DataFrame, files: DataFrame, around: int) -> DataFrame:
     """The lines of each symbol with ``around`` more on both sides, and which lines they are."""
-    ranged = symbols.join(files, (symbols.cache_key == files.cache_key) & (symbols.file_path == files.rel_path))
-    all_lines = lines(F.decode(files.content, "UTF-8"))
-    counted = ranged.select("ord", "line", "end_line", all_lines.alias("all_lines"))
+    lined = files.select("cache_key", "rel_path", lines(F.make_valid_utf8(F.col("content").cast("string"))).alias("all_lines"))
+    counted = symbols.join(lined, (symbols.cache_key == lined.cache_key) & (symbols.file_path == lined.rel_path)).select("ord", "line", "end_line", "all_lines")
     first = F.greatest(F.col("line") - around, F.lit(1))
     last = F.least(F.greatest(F.col("end_line"), F.col("line")) + around, F.size("all_lines"))
     body = F.when(last >= first, F.array_join(F.slice("all_lines", first, last - first + 1), "\n")).otherwise(F.lit(""))

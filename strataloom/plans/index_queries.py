@@ -92,12 +92,21 @@ def symbol_content(spark, d):
   ON s.cache_key = f.cache_key AND s.file_path = f.rel_path WHERE regexp_full_match(hex(f.content), '([0-7].)*'))
   SELECT ord, greatest(line - 2, 1) AS from_line, least(greatest(end_line, line) + 2, len(ls)) AS to_line FROM c""")
 def symbol_context(spark, d):
-    """Line ranges of symbols in plain ASCII files with two lines of context."""
+    """Line ranges of symbols with two lines of context, only in plain ASCII files, as the SQL can't
+    decode others; symbol_context_bodies has all files."""
     plain = tables.files(spark, d, "cache_key", "rel_path", "content").where(F.hex("content").rlike("^([0-7].)*$"))
     rows = content.symbol_context(tables.symbols(spark, d, "cache_key", "file_path", "line", "end_line"), plain, 2)
     return rows.select("ord", "from_line", "to_line")
 
 
+@query()
+def symbol_context_bodies(spark, d):
+    """Line ranges of all symbols in all files with two lines of context, and a hash of these lines;
+    tested against Python."""
+    rows = content.symbol_context(tables.symbols(spark, d, "cache_key", "file_path", "line", "end_line"), tables.files(spark, d, "cache_key", "rel_path", "content"), 2)
+    return rows.select("ord", "from_line", "to_line", F.sha2(F.col("body").cast("binary"), 256).alias("digest"))
+
+
 @query(f"""WITH {_SYM} SELECT cache_key, file_path, count(*) AS symbols, string_agg(concat_ws(' ', line, kind, name), chr(10) ORDER BY line NULLS FIRST, byte_offset NULLS FIRST, ord) AS outline
   FROM sym WHERE kind <> 'file' GROUP BY cache_key, file_path""")
 def outline_by_file(spark, d):

@@ -59,6 +59,23 @@ def test_grep_and_slices(spark):
     assert body == {1: (5, "c\nd"), 2: (0, ""), 3: (0, ""), 4: (1, "")}
 
 
+def test_context_in_files_of_any_text(spark, tmp_path):
+    from hashlib import sha256
+
+    from strataloom.plans import catalog
+
+    texts = ["\ufeffa\nb\nc\nd\ne\n".encode(), "é\r\nü\nx\ny\nz".encode(), "中\u2028文\n字\n\n.".encode(), b"bad \xff\xc3\nb\nc\nd\ne\nf", b"one\ntwo\nthree", b""]
+    spark.createDataFrame([(i, "k", f"f{i}.py", bytearray(t)) for i, t in enumerate(texts)], "file_id long, cache_key string, rel_path string, content binary").write.parquet(f"{tmp_path}/files.parquet")
+    places = [(i, line, end) for i in range(len(texts)) for line, end in ((1, 1), (2, 3), (4, 4), (5, 5))]
+    spark.createDataFrame([(n, "k", f"f{i}.py", "function", "python", line, end) for n, (i, line, end) in enumerate(places)], "ord long, cache_key string, file_path string, kind string, language string, line int, end_line int").write.parquet(f"{tmp_path}/symbols.parquet")
+    plain = []
+    for n, (i, line, end) in enumerate(places):
+        ls = texts[i].decode("utf-8", errors="replace").splitlines()
+        first, last = max(line - 2, 1), min(end + 2, len(ls))
+        plain.append((n, first, last, sha256("\n".join(ls[first - 1:last]).encode()).hexdigest()))
+    assert sorted(map(tuple, catalog.QUERIES["symbol_context_bodies"](spark, str(tmp_path)).collect())) == plain
+
+
 def test_pages(spark):
     rows = spark.range(10).withColumnRenamed("id", "n")
     assert [r.n for r in content.numbered(rows, ["n"], 2, 3).collect()] == [2, 3, 4]
