@@ -2,8 +2,8 @@
 
 A temperature family leads from the sources' natural token shares s to the targets w: weights
 in proportion to s^(1-a) * w^a. The exponent a is bisected to the entropy of the targets, which
-it meets at 1, where the weights are the targets themselves (what the mix asks for), or to the
-largest one at which no source has to repeat beyond its cap. The weights become budgets, and a
+it meets at 1, where the weights are the targets themselves (what the mix asks for, also of
+sources without tokens, whose part the entropy leaves out on both sides), or to the largest one at which no source has to repeat beyond its cap. The weights become budgets, and a
 budget is realised as full passes over the source and one part of a pass. The part is a prefix
 of a permutation of blocks of documents: whole blocks count by their token sums, and only the
 one block of a source that the budget ends in is put in order row by row.
@@ -98,7 +98,7 @@ def collected(totals: DataFrame) -> list[Source]:
 def short_sources(documents: DataFrame, targets: DataFrame, vocabulary: str = DEFAULT) -> DataFrame:
     """Sources that fall short of their weight even with every document used as often as allowed."""
     sources = collected(source_totals(target_documents(documents, targets, vocabulary), targets))
-    total, a = sum(s.tokens for s in sources), exponent_for(sources, entropy([s.weight for s in sources]))
+    total, a = sum(s.tokens for s in sources), exponent_for(sources, entropy(weights_at(sources, 1.0)))
     found = [(s.name,) for s, w in zip(sources, _wanted(sources, a)) if s.cap is not None and w * total > s.cap * s.tokens]
     return documents.sparkSession.createDataFrame(found, "source string")
 
@@ -129,7 +129,7 @@ def mixed(documents: DataFrame, targets: DataFrame, tempered: bool = False, seed
     sized = cut(target_documents(documents, targets, vocabulary))
     sources = collected(source_totals(sized, targets))
     total = sum(s.tokens for s in sources)
-    a = exponent_for(sources, None if tempered else entropy([s.weight for s in sources]))
+    a = exponent_for(sources, None if tempered else entropy(weights_at(sources, 1.0)))
     plan = []
     for s, w in zip(sources, _wanted(sources, a)):
         budget = w * total if s.cap is None else min(w * total, float(s.cap * s.tokens))

@@ -128,6 +128,17 @@ def test_mix(spark):
     assert empty.uses.count() == 0 and empty.shares.count() == 4
 
 
+def test_a_source_without_tokens_keeps_its_weight(spark):
+    documents = docs(spark, *[("word " * 1000, s) for s in "abc" for _ in range(3)], (None, "d"), ("", "d"))
+    targets = spark.createDataFrame([("a", 0.9, 1), ("b", 0.05, 1), ("c", 0.03, 1), ("d", 0.02, 1)], "source string, weight double, max_repeats int")
+    assert sorted(r.source for r in mixing.short_sources(documents, targets).collect()) == ["a", "d"]
+    mix = mixing.mixed(documents, targets)
+    shares = {r.source: r for r in mix.shares.collect()}
+    total = sum(r.tokens for r in shares.values())
+    assert {s: r.target_tokens for s, r in shares.items()} == pytest.approx({s: w * total for s, w in (("a", 0.9), ("b", 0.05), ("c", 0.03), ("d", 0.02))})
+    assert {s for s, r in shares.items() if r.short} == {"a", "d"} and {r.exponent for r in shares.values()} == {1.0}
+
+
 def test_queries_run(spark, small):
     from strataloom.llm.queries import QUERIES
 
