@@ -44,6 +44,9 @@ VENDORED_HEAD = re.compile(
     re.I | re.M,
 )
 _COMMENT = re.compile(r"\s*(//|#|/\*|\*|<!--|--|;)")
+_WORD = re.compile(r"\w")
+_PREAMBLE = re.compile(r"\s*(package|module|from __future__|[\"']use strict)")
+_IMPORT = re.compile(r"\s*(package\b|module\b|[\"']use strict|import\b|from\s+\S+\s+import\b|(pub(\([^)]*\))?\s+)?use\s|extern\s+crate\b|export\b[^=;(]*\bfrom\b|(const|let|var)\s+[^=;]+=\s*require\s*\(|require\s*\()")
 _BANNER = re.compile(r"^\s*/\*[^\n]*?\*/\s*")
 _DOC = re.compile(r'\s*(?:[rbu]{0,2}"""[^"]*"""|[rbu]{0,2}\'\'\'[^\']*\'\'\')')
 _LITERAL_LINE = re.compile(r"""^[\s\[\](){},;:|+&'"-]*(?:(?:-?0[xXbo][0-9a-fA-F_]+|-?\d[\d_.eE+-]*[a-z0-9]{0,3}|[bur]{0,2}"(?:[^"\\\n]|\\.)*"|[bur]{0,2}'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|true|false|null|None|True|False)[\s\[\](){},;:|+=>-]*)+$""")
@@ -55,32 +58,62 @@ _NO_VALUE = frozenset("acdeghijklmopqsvwxyzABCDEGHIJKLMOPQRSUVWXYZ_$#@/*<}")
 MIN_SHAPE_LINES, LONG_LINE, LONG_MEAN = 12, 400, 200
 
 
-def head_of(text: str) -> str:
-    """The comments before a file's first code, also behind a module docstring; 40 lines at most."""
+def _comments(lines: list[str], at: int, skipped: re.Pattern) -> tuple[str, int]:
+    """The comments from line ``at`` on, whole, up to the first line that is neither comment nor
+    skipped; and that line's number. Lines without a word are left out."""
     out: list[str] = []
-    inside = False
-    for line in text.split("\n", 40)[:40]:
+    until, depth = "", 0
+    while at < len(lines):
+        line = lines[at]
         s = line.strip()
-        if inside or _COMMENT.match(line) or not s or s.startswith('"""') or s.startswith("'''"):
-            out.append(line[:400])
-            if not inside and s.startswith("/*") and "*/" not in s:
-                inside = True
-            elif inside and "*/" in s:
-                inside = False
-        elif re.match(r"\s*(package|module|from __future__|[\"']use strict)", line):
-            continue
+        if until:
+            part, end, _ = line.partition(until)
+            out.append(part)
+            until = "" if end else until
+        elif s.startswith("/*"):
+            rest = s
+            while rest.startswith("/*"):
+                part, end, rest = rest[2:].partition("*/")
+                out.append(part)
+                until, rest = "" if end else "*/", rest.lstrip()
+            if _COMMENT.match(rest):
+                out.append(rest)
+        elif s.startswith(('"""', "'''")):
+            part, end, _ = s[3:].partition(s[:3])
+            out.append(part)
+            until = "" if end else s[:3]
+        elif not s or _COMMENT.match(line):
+            out.append(line)
+        elif depth > 0 or skipped.match(line):
+            depth = max(0, depth + sum(map(line.count, "([{")) - sum(map(line.count, ")]}")))
         else:
             break
-    return "\n".join(out)
+        at += 1
+    return "\n".join(x for x in out if _WORD.search(x)), at
+
+
+def heads_of(text: str) -> tuple[str, str]:
+    """The comments before a file's first code, also behind a module docstring, and those from
+    there to the first code that is no import."""
+    lines = text.split("\n")
+    head, at = _comments(lines, 0, _PREAMBLE)
+    return head, _comments(lines, at, _IMPORT)[0]
 
 
 def tail_of(text: str) -> str:
-    """The comment lines behind a file's last code."""
+    """The comments behind a file's last code."""
     out: list[str] = []
-    for line in reversed(text.rstrip().rsplit("\n", 12)[-12:]):
-        if not _COMMENT.match(line):
+    inside = False
+    for line in reversed(text.rstrip().split("\n")):
+        s = line.strip()
+        if not inside and s.endswith("*/") and "/*" not in s:
+            inside = True
+        elif inside:
+            inside = "/*" not in s
+        elif s and not _COMMENT.match(line):
             break
-        out.append(line[:400])
+        if _WORD.search(line):
+            out.append(line)
     return "\n".join(reversed(out))
 
 
@@ -98,12 +131,12 @@ def file_evidence(path: str | None, content: bytes | None) -> tuple[float, ...]:
     if re.search(MINIFIED_ENDINGS, name):
         minified += 8
     text = (content or b"").decode("utf-8", "replace").lstrip("﻿").replace("\r\n", "\n").replace("\r", "\n")
-    head = head_of(text)
+    head, under = heads_of(text)
     tail = tail_of(text)
-    if head or tail:
-        if any(GENERATED_HEAD.search(x) and not NOT_GENERATED.search(x) for x in (head, tail)):
+    if head or under or tail:
+        if any(GENERATED_HEAD.search(x) and not NOT_GENERATED.search(x) for x in (head, under, tail)):
             generated += 9
-        if VENDORED_HEAD.search(head):
+        if VENDORED_HEAD.search(head) or VENDORED_HEAD.search(under):
             vendored += 9
         if NOT_GENERATED.search(head):
             generated -= 3

@@ -43,6 +43,25 @@ def schema_row(i, path, content=PLAIN, language="python", repo="r"):
 FILES = "file_id long, cache_key string, rel_path string, language string, content binary, e0 string"
 
 
+CODE = "def total(values):\n    return sum(v.price for v in values)\n\nclass Basket:\n    pass\n\nprint(total(Basket().rows))\n"
+LICENCE = "# Permission is granted to anyone, as the terms below say.\n"
+
+
+@pytest.mark.parametrize(
+    ("content", "label"),
+    [
+        (LICENCE * 60 + "# Code generated by tool. DO NOT EDIT.\n" + CODE, "generated"),
+        ("/* " + "x " * 300 + "Code generated by tool. DO NOT EDIT. */ " + CODE, "generated"),
+        ("import os\nfrom a import (\n    b,\n)\n\n# Code generated by tool. DO NOT EDIT.\n" + CODE, "generated"),
+        ("import os\n\n# Vendored from github.com/a/b@v1.2\n" + CODE, "vendored"),
+        ('"""Basket.\n\nRows and totals.\n"""\n# Code generated by tool. DO NOT EDIT.\n' + CODE, "generated"),
+        (CODE + "# Code generated by tool. DO NOT EDIT.\n" + "# more\n" * 20, "generated"),
+    ],
+)
+def test_marks_far_from_the_start(content, label):
+    assert P.LABELS[int(np.argmax(P.file_evidence("src/a.py", content.encode())))] == label
+
+
 def test_beliefs_equal_brute_force(spark):
     paths = ["a/vendor/x.py", "a/y.py", "b/gen/z.py", "b/w.min.js", "c.py"]
     rows = spark.createDataFrame([schema_row(i, p) for i, p in enumerate(paths)], FILES).drop("e0")
