@@ -140,6 +140,18 @@ def _parsed(content: bytes) -> ast.Module | str:
         return f"{type(e).__name__}: {e}"[:200]
 
 
+def _statements(body: list[ast.stmt]) -> Iterator[ast.stmt]:
+    """Statements in order, also those in all branches of compound ones; of functions and classes
+    only themselves."""
+    todo = body[::-1]
+    while todo:
+        node = todo.pop()
+        yield node
+        if not isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            inner = [x for part in ("body", "handlers", "orelse", "finalbody", "cases") for x in getattr(node, part, ())]
+            todo += [x for n in inner for x in ([n] if isinstance(n, ast.stmt) else n.body)][::-1]
+
+
 def python_symbols(path: str, content: bytes) -> list[tuple]:
     """Functions, methods, classes and module-level constants in capitals; repeated ids get ~1, ~2."""
     tree = _parsed(content)
@@ -155,7 +167,7 @@ def python_symbols(path: str, content: bytes) -> list[tuple]:
         out.append((f"{base}~{n}" if n else base, name, qualified, kind, start, end - start, signature, doc, decorators, node.lineno, node.end_lineno, None))
 
     def walk(body: list[ast.stmt], above: list[str], inside_class: bool) -> None:
-        for node in body:
+        for node in _statements(body):
             if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 is_class = isinstance(node, ast.ClassDef)
                 kind = "class" if is_class else "method" if inside_class else "function"
@@ -166,8 +178,6 @@ def python_symbols(path: str, content: bytes) -> list[tuple]:
                 for target in node.targets if isinstance(node, ast.Assign) else [node.target]:
                     if isinstance(target, ast.Name) and target.id.isupper():
                         add(node, target.id, "constant", above, None, [], target.id)
-            elif isinstance(node, (ast.If, ast.Try, ast.With)):
-                walk(node.body, above, inside_class)
 
     walk(tree.body, [], False)
     return out
@@ -227,18 +237,19 @@ EXPORT = "name string, kind string, line int, target_module string, target_level
 
 
 def python_exports(path: str, content: bytes) -> list[tuple]:
-    """What a module offers: its own definitions and constants, and names that it imports."""
+    """What a module offers: its own definitions and constants, and names that it imports ('*': all)."""
     tree = _parsed(content)
     if isinstance(tree, str):
         return []
     out = []
-    for node in tree.body:
+    for node in _statements(tree.body):
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
             out.append((node.name, "class" if isinstance(node, ast.ClassDef) else "function", node.lineno, None, None, None))
-        elif isinstance(node, ast.Assign):
-            out += [(t.id, "constant", node.lineno, None, None, None) for t in node.targets if isinstance(t, ast.Name) and t.id.isupper()]
+        elif isinstance(node, (ast.Assign, ast.AnnAssign)):
+            targets = node.targets if isinstance(node, ast.Assign) else [node.target]
+            out += [(t.id, "constant", node.lineno, None, None, None) for t in targets if isinstance(t, ast.Name) and t.id.isupper()]
         elif isinstance(node, ast.ImportFrom):
-            out += [(a.asname or a.name, "import", node.lineno, node.module or "", node.level, a.name) for a in node.names if a.name != "*"]
+            out += [(a.asname or a.name, "import", node.lineno, node.module or "", node.level, a.name) for a in node.names]
     return out
 
 

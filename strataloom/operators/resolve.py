@@ -160,6 +160,27 @@ def rust_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     return asked.join(found, "import_id", "left").select("import_id", status.alias("status"), "target")
 
 
+def star_names(named: DataFrame, stars: DataFrame) -> DataFrame:
+    """Names that star imports bring: cache_key, file_path, name and the file (target) they come from.
+
+    named: cache_key, file_path, name of what files bind themselves, which goes before stars.
+    stars: cache_key, file_path, target. Names that begin with _ aren't brought. Passes go on
+    until none adds a name.
+    """
+    from strataloom.runtime import cut
+
+    key = ["cache_key", "file_path", "name"]
+    own = have = cut(named.select(*key).distinct())
+    count = have.count()
+    while True:
+        brought = stars.join(have.withColumnRenamed("file_path", "target"), ["cache_key", "target"]).where(~F.col("name").startswith("_")).join(own, key, "left_anti").select(*key, "target")
+        have = cut(have.unionByName(brought.select(*key)).distinct())
+        now = have.count()
+        if now == count:
+            return brought
+        count = now
+
+
 def surface_fixpoint(rules: DataFrame, most_passes: int = 128) -> DataFrame:
     """Definitions that each exported name reaches through re-exports.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions.languages import language_of
 from strataloom.operators import extract, resolve, tables
+from strataloom.runtime import cut
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -81,10 +82,14 @@ def rust_imports_resolved(spark, d):
 @query
 def reexport_fixpoint(spark, d):
     """Definitions that names offered by Python modules reach over re-exports."""
-    offered = extract.over_files(_of(spark, d, "python"), extract.python_exports, extract.EXPORT).dropDuplicates(["cache_key", "file_path", "name", "target_name"])
+    offered = extract.over_files(_of(spark, d, "python"), extract.python_exports, extract.EXPORT)
+    offered = cut(offered.dropDuplicates(["cache_key", "file_path", "name", "target_name", "target_module", "target_level"]))
     key = lambda path, name: F.concat_ws("::", "cache_key", path, name)
     own = offered.where("kind <> 'import'").select(key("file_path", "name").alias("source"), F.lit(None).cast("string").alias("target"))
-    asked = _numbered(offered.where("kind = 'import'"), "line", "target_level", "target_module", "target_name").select("import_id", "cache_key", "file_path", F.col("target_level").alias("level"), F.col("target_module").alias("module"), F.col("target_name").alias("name"), F.col("name").alias("bound"))
+    asked = _numbered(offered.where("kind = 'import'"), "line", "target_level", "target_module", "target_name", "name").select("import_id", "cache_key", "file_path", F.col("target_level").alias("level"), F.col("target_module").alias("module"), F.col("target_name").alias("name"), F.col("name").alias("bound"))
     found = asked.join(resolve.python_imports(asked, _paths(spark, d)).where("status = 'resolved'"), "import_id")
-    links = found.select(key("file_path", "bound").alias("source"), key("target", F.col("name")).alias("target"))
+    found = cut(found.select("cache_key", "file_path", "target", "name", "bound"))
+    links = found.where("name <> '*'").select(key("file_path", "bound").alias("source"), key("target", "name").alias("target"))
+    brought = resolve.star_names(offered.where("name <> '*'"), found.where("name = '*'").select("cache_key", "file_path", "target"))
+    links = links.unionByName(brought.select(key("file_path", "name").alias("source"), key("target", "name").alias("target")))
     return resolve.surface_fixpoint(own.unionByName(links))

@@ -281,6 +281,54 @@ def test_python_extraction():
     assert extract.python_symbols("p.py", b"def (")[0][-1].startswith("SyntaxError")
 
 
+def test_python_definitions_in_every_branch():
+    source = b"""try:
+    import x
+except ImportError:
+    def fallback(): pass
+else:
+    class Loaded: pass
+finally:
+    DONE = 1
+if x:
+    pass
+elif y:
+    def second(): pass
+else:
+    def third(): pass
+for i in x:
+    def looped(): pass
+else:
+    AFTER: int = 2
+while x:
+    def turned(): pass
+match x:
+    case 1:
+        def matched(): pass
+try:
+    pass
+except* ValueError:
+    def starred(): pass
+with x:
+    def held(): pass
+from m import *
+"""
+    names = ["fallback", "Loaded", "DONE", "second", "third", "looped", "AFTER", "turned", "matched", "starred", "held"]
+    assert [r[1] for r in extract.python_symbols("a.py", source)] == names
+    assert [r[0] for r in extract.python_exports("a.py", source)] == [*names, "*"]
+
+
+def test_reexports_by_stars(spark, tmp_path):
+    from strataloom.plans import catalog
+
+    texts = {"p/__init__.py": b"from .a import *\ndef own(): pass\n", "p/a.py": b"try:\n    from .b import *\nexcept ImportError:\n    LIMIT: int = 1\ndef own(): pass\n", "p/b.py": b"def deep(): pass\ndef _hidden(): pass\n"}
+    spark.createDataFrame([(i, "k", p, "python", bytearray(t)) for i, (p, t) in enumerate(texts.items())], "file_id long, cache_key string, rel_path string, language string, content binary").write.parquet(f"{tmp_path}/files.parquet")
+    found = {r.source: r.definition for r in catalog.QUERIES["reexport_fixpoint"](spark, str(tmp_path)).collect()}
+    at = lambda f, n: f"k::p/{f}.py::{n}"
+    own = [("__init__", "own"), ("a", "own"), ("a", "LIMIT"), ("b", "deep"), ("b", "_hidden")]
+    assert found == {at(*x): at(*x) for x in own} | {at("__init__", "LIMIT"): at("a", "LIMIT"), at("__init__", "deep"): at("b", "deep"), at("a", "deep"): at("b", "deep")}
+
+
 def test_other_imports():
     js = b"import a, {b as c} from './x'; // import z from 'q'\nexport * from \"y\"\nimport 'side'\nconst r = require('r'); import('dyn')\n"
     assert [(r[1], r[2]) for r in extract.script_specifiers("a.js", js)] == [("./x", "import"), ("y", "reexport"), ("side", "side_effect"), ("r", "require"), ("dyn", "dynamic")]
