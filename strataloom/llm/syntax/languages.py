@@ -9,7 +9,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 from strataloom.llm.syntax import grammars
-from strataloom.llm.syntax.lexers import GoLexer, PythonLexer, RustLexer, ScriptLexer
+from strataloom.llm.syntax.lexers import BAD, GoLexer, PythonLexer, RustLexer, ScriptLexer
 from strataloom.llm.syntax.tables import Grammar, Table
 
 
@@ -61,10 +61,11 @@ def _rust() -> tuple[Table, Callable]:
     c = _Conditions()
 
     def group(k, i, n, p):
-        return p[i] + 1 if p[i] >= 0 else -1
+        # What is jumped over isn't parsed, but it has to be tokens.
+        return p[i] + 1 if p[i] >= 0 and BAD not in k[i : p[i]] else -1
 
     def group_item(k, i, n, p):
-        if p[i] < 0:
+        if p[i] < 0 or BAD in k[i : p[i]]:
             return -1
         after = p[i] + 1
         if k[i] == c.kinds["{"]:

@@ -16,6 +16,8 @@ import re
 from dataclasses import dataclass
 
 BAD = -1
+#: Tokens of Rust that only macros hold.
+MACRO_ONLY = -9
 _OPEN = {"(": ")", "[": "]", "{": "}"}
 
 
@@ -211,7 +213,7 @@ class RustLexer:
         if c.isdigit():
             return t["NUMBER"]
         k = t.get(word)
-        return k if k is not None else t["BINOP"] if word in _BINARY or word in _ASSIGN else BAD
+        return k if k is not None else t["BINOP"] if word in _BINARY or word in _ASSIGN else MACRO_ONLY if word in "$~" else BAD
 
     def quick(self, text: str) -> Tokens | None:
         if text.startswith("#!"):
@@ -249,7 +251,7 @@ class RustLexer:
             elif g == 8:
                 k = t.get(word)
                 if k is None:
-                    k = t["BINOP"] if word in _BINARY or word in _ASSIGN else BAD
+                    k = t["BINOP"] if word in _BINARY or word in _ASSIGN else MACRO_ONLY if word in "$~" else BAD
             else:
                 k = fixed.get(3 if g == 3 else g, t["STRING"] if g == 3 else BAD)
             kinds.append(k)

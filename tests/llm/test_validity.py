@@ -54,6 +54,11 @@ def test_invalid(language, text):
     assert line >= 1 and column >= 1 and message
 
 
+@pytest.mark.parametrize(("text", "valid"), [('fn f() { println!("{}", a); }', True), ('fn f() { println!("{}", a \x01); }', False), ("#[cfg(\x01)]\nfn f() {}", False), ("macro_rules! m { ($a:expr) => { \x01 }; }", False), ("macro_rules! m { ($($a:expr),* $(,)?) => { [$($a),*] }; }", True)])
+def test_what_rust_macros_hold_is_tokens(text, valid):
+    assert (first_error("rust", "a.rs", text.encode()) is None) is valid
+
+
 def test_jsx_needs_its_ending():
     text = b"const A = () => <div className=\"a\" {...p} onClick={() => b < c}>text {x ? <B/> : null} <></></div>;"
     assert first_error("javascript", "a.jsx", text) is None and first_error("javascript", "a.js", text)
