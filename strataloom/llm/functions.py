@@ -4,9 +4,11 @@ A parsing-expression grammar for each language finds functions and methods with
 string that documents them, at their offsets in the source. The grammars are islands: what is
 no function, comment, string or bracket is water, so that files which don't parse still give
 their functions. Semantic actions emit a unit for each function, and units are joined to the
-symbols by place. At last the documentation is judged, again from a grammar's parts: what is
-left of it once marks, tags, templates, notes to tools, licences, disabled code and pointers
-are gone has to hold a word that name, signature and general talk don't.
+symbols by place. Before that the documentation of each pair is judged where it was parsed,
+again from a grammar's parts: what is left of it once marks, tags, templates, notes to tools,
+licences, disabled code and pointers are gone has to hold a word that name, signature and
+general talk don't. Documentation, name and signature are the grammar's own; the symbols only
+lend their keys to the pairs.
 """
 
 from __future__ import annotations
@@ -16,15 +18,15 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from strataloom.functions.languages import PROGRAMMING, language_of
 from strataloom.llm.docwords import informative
-from strataloom.llm.peg import Peg
+from strataloom.llm.peg import Peg, nested
 
 _BRACED = r"""
 File <- (Function / Comment / String / Body / Water / ~[{}]~)*
-Body <- ~\{\s*~ (Function / Comment / String / Body / Water)* ~\}~
+Body <- ~\{\s*~ (Function / Comment / String / Body / Water)* ~\}|\Z~
 Water <- ~[^"'`{}/\n]*\n\s*|[^"'`{}/\n]+|[^{}]~
 String <- ~"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.){0,2}'~
 Comment <- ~//[^\n]*\s*|/\*(?:[^*]|\*(?!/))*\*/\s*~
@@ -78,6 +80,9 @@ DocString <- ~[rRuU]?(?:"{3}(?:[^"\\]|\\[\s\S]|"(?!""))*"{3}|'{3}(?:[^'\\]|\\[\s
 }
 
 
+_BLANKS = re.compile(r"[ \t\n]*")
+
+
 def _span(kind: str):
     return lambda text, start, end, values: [(kind, start, end)]
 
@@ -85,11 +90,13 @@ def _span(kind: str):
 def _function(text: str, start: int, end: int, values: list) -> list:
     """A unit from the parts of one function; units of functions inside it follow."""
     own = {v[0]: v for v in reversed(values) if v[0] != "unit"}
+    inner = [v for v in values if v[0] == "unit"]
     if "name" not in own or "params" not in own:
-        return [v for v in values if v[0] == "unit"]
+        return inner
     doc, name, params = own.get("doc"), own["name"], own["params"]
-    begin = start + (len(text[start:end]) - len(text[start:end].lstrip(" \t\n")))
-    return [("unit", begin, end, text[name[1] : name[2]], text[params[1] : params[2]], text[doc[1] : doc[2]] if doc else None), *(v for v in values if v[0] == "unit")]
+    result = own.get("result", params)
+    begin = start + len(_BLANKS.match(text, start).group())
+    return [("unit", begin, end, text[name[1] : name[2]], text[params[1] : params[2]], text[doc[1] : doc[2]] if doc else None, text[params[1] : max(params[2], result[2])]), *inner]
 
 
 @lru_cache(maxsize=None)
@@ -97,27 +104,25 @@ def grammar(language: str) -> Peg:
     """The grammar of functions and documentation of a language, compiled once in each process."""
     name = "script" if language in ("javascript", "typescript") else language
     doc = _span("doc")
-    return Peg(_GRAMMARS[name], {"Function": _function, "Name": _span("name"), "Params": _span("params"), "DocLines": doc, "DocBlock": doc, "DocString": doc})
+    return Peg(_GRAMMARS[name], {"Function": _function, "Name": _span("name"), "Params": _span("params"), "Result": _span("result"), "DocLines": doc, "DocBlock": doc, "DocString": doc})
 
 
 def units_of(language: str, content: bytes) -> list[tuple[int, int, str, str, str | None]]:
-    """Byte offsets (start, end), name, parameters and raw documentation of each function.
+    """:func:`signed_units` without the signatures."""
+    return [u[:5] for u in signed_units(language, content)]
+
+
+def signed_units(language: str, content: bytes) -> list[tuple[int, int, str, str, str | None, str]]:
+    """Byte offsets (start, end), name, parameters, raw documentation and signature (parameters and result) of each function.
 
     Offsets count from the content's first byte; the documentation in front belongs to the unit.
-    A Python unit ends where its lines' indentation does.
+    A Python unit ends where its lines' indentation does. A function that the file's end cuts off
+    ends there. Nesting may be as deep as the text has brackets.
     """
     text = content.decode("utf-8", "surrogateescape")
-    if language != "python" and text.count("{") > 20_000:
-        deep = 0  # of pathological nesting only the flat parts are read
-        for c in re.findall(r"[{}]", text):
-            deep += 1 if c == "{" else -1
-            if deep > 150:
-                return []
     plain = text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
-    try:
+    with nested(sum(map(plain.count, "{([<"))):
         _, values = grammar(language).parse("File", plain)
-    except RecursionError:
-        return []
     found = [v for v in values if v[0] == "unit"]
     if language == "python":
         found = [(v[0], v[1], _python_end(plain, v[1], v[2]), *v[3:]) for v in found]
@@ -161,11 +166,17 @@ _UNIT = "cache_key string, file_path string, language string, start long, end lo
 _UNIT_ARROW = pa.schema([("cache_key", pa.string()), ("file_path", pa.string()), ("language", pa.string()), ("start", pa.int64()), ("end", pa.int64()), *((x, pa.string()) for x in ("name", "params", "doc", "code"))])
 
 
-def extract_units(files: DataFrame, code: bool = True) -> DataFrame:
+def _text(value: str | None) -> str | None:
+    """``value`` without the lone surrogates that stand for bytes that are no UTF-8."""
+    return value.encode("utf-8", "replace").decode() if value else value
+
+
+def extract_units(files: DataFrame, code: bool = True, documented: bool = False) -> DataFrame:
     """A row for each function in ``files``: its place, name, parameters, raw documentation and code.
 
     A file delivered again gives its units again. Files without a programming language and null
-    contents give none. ``code`` false leaves the code null.
+    contents give none. ``code`` false leaves the code null. With ``documented`` only functions
+    whose documentation says something are given, so that no other leaves the parsing task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,9 +185,11 @@ def extract_units(files: DataFrame, code: bool = True) -> DataFrame:
             rows = []
             for i, (key, path, language) in enumerate(zip(keys, paths, languages)):
                 content = batch.column(3)[i].as_py()
-                for start, end, name, params, doc in units_of(language, content) if content else ():
-                    clean = doc.encode("utf-8", "replace").decode() if doc else doc
-                    rows.append((key, path, language, start, end, name, params.encode("utf-8", "replace").decode(), clean, content[start:end].decode("utf-8", "replace") if code else None))
+                for start, end, name, params, doc, signature in signed_units(language, content) if content else ():
+                    params, doc = _text(params), _text(doc)
+                    if documented and not informative(name, _text(signature), doc):
+                        continue
+                    rows.append((key, path, language, start, end, _text(name), params, doc, content[start:end].decode("utf-8", "replace") if code else None))
             columns = list(zip(*rows)) if rows else [()] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _UNIT_ARROW)], schema=_UNIT_ARROW)
 
@@ -184,36 +197,30 @@ def extract_units(files: DataFrame, code: bool = True) -> DataFrame:
     return rows.where(F.col("language").isin(*PROGRAMMING)).mapInArrow(run, _UNIT)
 
 
-@F.pandas_udf(T.BooleanType())
-def _informative(name, signature, params, doc):
-    import pandas as pd
-
-    return pd.Series([informative(n, f"{s or ''} {p or ''}", d) for n, s, p, d in zip(name, signature, params, doc)], dtype="boolean")
-
-
 def _functions(symbols: DataFrame) -> DataFrame:
     kind = F.lower(F.trim(F.col("kind")))
-    return symbols.where(kind.isin("function", "method"))
+    return symbols.where(kind.isin("function", "method")).select("ord", "cache_key", "file_path", "byte_offset")
 
 
-def documented_functions(symbols: DataFrame, files: DataFrame, code: bool = True) -> DataFrame:
+def documented_functions(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """Pairs of code and documentation of functions and methods whose documentation says something.
 
-    Columns: ord, cache_key, file_path, name, documentation and code. A symbol delivered again
-    counts once (by ord; an arbitrary delivery). The code is what the grammar found where the
-    symbol begins, null if it found no function there (as in files that were cut off), or with
-    ``code`` false. Where the symbol's own signature is empty, the parameters that the grammar
-    found stand for it. Null names, signatures and documentations are empty ones.
+    Columns: ord, cache_key, file_path, name, documentation and code, all but ord as the grammar
+    emitted them; a symbol only lends its ord to the pair at its place. A symbol without a pair
+    at its place (null places included) gives no row; one delivered again, or whose file was,
+    gives one. Null contents and texts have no functions.
     """
-    units = extract_units(files, code)
-    known = units.groupBy("cache_key", "file_path", "start").agg(F.first("params").alias("params"), F.first("code").alias("code"))
-    asked = _functions(symbols).where(F.length(F.trim(F.coalesce("docstring", F.lit("")))) > 0).select("ord", "cache_key", "file_path", "byte_offset", "name", "signature", "docstring").dropDuplicates(["ord"])
-    at = (asked.cache_key == known.cache_key) & (asked.file_path == known.file_path) & (asked.byte_offset == known.start)
-    joined = asked.join(known, at, "left").select(asked["*"], known.params, known.code)
-    kept = joined.where(_informative("name", "signature", "params", "docstring"))
-    return kept.select("ord", "cache_key", "file_path", "name", F.col("docstring").alias("documentation"), "code")
+    pairs = extract_units(files, documented=True).dropDuplicates(["cache_key", "file_path", "start"])
+    asked = _functions(symbols)
+    at = (asked.cache_key == pairs.cache_key) & (asked.file_path == pairs.file_path) & (asked.byte_offset == pairs.start)
+    joined = pairs.join(asked.distinct(), at).select("ord", pairs.cache_key, pairs.file_path, pairs.name, pairs.doc.alias("documentation"), pairs.code)
+    return joined.dropDuplicates(["ord"])
 
 
 def documented_ords(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """ord of the functions and methods whose documentation says something."""
-    return documented_functions(symbols, files, False).select("ord")
+    """ord of the functions and methods at whose place the grammar emits a pair that says something.
+
+    As :func:`documented_functions`; the texts stay in the parsing task and only places are joined.
+    """
+    places = extract_units(files, code=False, documented=True).select("cache_key", "file_path", F.col("start").alias("byte_offset"))
+    return _functions(symbols).join(places, ["cache_key", "file_path", "byte_offset"], "left_semi").select("ord").distinct()

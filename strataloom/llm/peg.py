@@ -9,7 +9,9 @@ rules inside; values of rules without action pass through.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 _TOKEN = re.compile(r"""\s*(?:(~(?:[^~\\]|\\.)+~)|('(?:[^'\\]|\\.)*')|([A-Za-z_]\w*)|([()/*+?!&]))""")
 #: A parser of one expression: text, place, memo -> (end or -1, values).
@@ -17,6 +19,21 @@ _Parser = Callable[[str, int, dict], tuple[int, list]]
 _NONE: list = []
 
 
+@contextmanager
+def nested(levels: int) -> Iterator[None]:
+    """Room for a parse that nests ``levels`` deep.
+
+    The parsers are plain Python calls, whose frames the interpreter keeps on the heap, so the
+    limit on their number is all that bounds the depth.
+    """
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, 1_000 + 16 * levels))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(before)
+
+
 class Peg:
     """A compiled grammar."""
 

@@ -62,9 +62,29 @@ FILES = "file_id long, cache_key string, rel_path string, language string, conte
 
 
 def test_pairs(spark):
-    source = b"def f(node):\n    pass\n"
-    files = spark.createDataFrame([(1, "k", "a.py", "Python", bytearray(source)), (1, "k", "a.py", "Python", bytearray(source)), (2, "k", "n.py", None, None)], FILES)
-    rows = [(1, "k", "f", " Function", "a.py", 0, "", "Node.", None), (2, "k", "f", "method", "a.py", 0, "", "Never blocks.", None), (2, "k", "f", "method", "a.py", 0, "", "Never blocks.", None), (3, "k", "f", "class", "a.py", 0, "", "Never blocks.", None), (4, None, None, "function", None, None, None, "Never blocks.", None), (5, "k", "f", None, "a.py", 0, "", "x y", None)]
-    found = {r.ord: r.code for r in U.documented_functions(spark.createDataFrame(rows, SYMBOLS), files).collect()}
-    assert found == {2: "def f(node):\n    pass", 4: None}
+    source = b"def f(node):\n    '''Never blocks.'''\n"
+    files = spark.createDataFrame([(1, "k", "a.py", "Python", bytearray(source)), (1, "k", "a.py", "Python", bytearray(source)), (2, "k", "n.py", None, None), (3, "k", "b.py", None, bytearray(b"def f(node):\n    '''Node.'''\n"))], FILES)
+    rows = [(6, "k", "f", "function", "b.py", 0, "", "Never blocks.", None), (1, "k", "f", " Function", "a.py", 0, "", "Node.", None), (2, "k", "f", "method", "a.py", 0, "", "Never blocks.", None), (2, "k", "f", "method", "a.py", 0, "", "Never blocks.", None), (3, "k", "f", "class", "a.py", 0, "", "Never blocks.", None), (4, None, None, "function", None, None, None, "Never blocks.", None), (5, "k", "f", None, "a.py", 0, "", "x y", None)]
+    symbols = spark.createDataFrame(rows, SYMBOLS)
+    found = {r.ord: (r.documentation, r.code) for r in U.documented_functions(symbols, files).collect()}
+    # The pair is what the grammar emits: symbols without a function at their place have none.
+    pair = ("'''Never blocks.'''", "def f(node):\n    '''Never blocks.'''")
+    assert found == {1: pair, 2: pair}
+    assert {r.ord for r in U.documented_ords(symbols, files).collect()} == {1, 2}
+    assert U.documented_ords(symbols, files.where("false")).count() == 0
     assert U.documented_ords(spark.createDataFrame([], SYMBOLS), files).count() == 0
+
+
+@pytest.mark.parametrize("levels", [151, 20_000])
+def test_deep_nesting(levels):
+    source = "package a\n\n// Doc.\nfunc f() {\n" + "{\n" * levels + "// Inner.\nfunc g() {}\n" + "}\n" * levels + "}\n\n// Last.\nfunc h() {}\n"
+    assert [u[2] for u in U.units_of("go", source.encode())] == ["f", "g", "h"]
+
+
+CUT = [("go", "// Doc.\nfunc f(a int) {\n\tif a {\n\t\tb("), ("typescript", "/** Doc. */\nfunction f(a) {\n  while (a) {"), ("rust", "/// Doc.\nfn f(a: u8) { if a {"), ("python", "def f(a):\n    '''Doc.'''\n    return (")]
+
+
+@pytest.mark.parametrize(("language", "source"), CUT)
+def test_cut_off_functions_end_with_the_file(language, source):
+    start, end, name, params, doc = U.units_of(language, source.encode())[0]
+    assert (name, "Doc." in doc, end) == ("f", True, len(source))
