@@ -1,9 +1,10 @@
 """Deeply nested records turned into related flat tables.
 
-Each record is parsed into path-value-ordinal triples. The triples are grouped by their nearest
-repeated ancestor (a list on the path, with its positions), and each group is pivoted into the
-row of one table. As a group never leaves its record, grouping and pivoting happen where the
-record is parsed, and nothing is shuffled for them.
+An event parser reads a record's text once, from left to right with a stack of its own, and
+gives path-value-ordinal triples; no document is built. The triples are grouped by their nearest
+repeated ancestor (a list on the path, with its positions), declared or not, and each group is
+pivoted into a row of one table. As a group never leaves its record, grouping and pivoting
+happen where the record is parsed, and only rows of the tables asked for leave that task.
 """
 
 from __future__ import annotations
@@ -16,22 +17,33 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-ROWS = "record_kind string, record_id long, table_name string, child_path string, parent_path string, position int, fields map<string,string>"
-_ARROW = pa.schema([("record_kind", pa.string()), ("record_id", pa.int64()), ("table_name", pa.string()), ("child_path", pa.string()), ("parent_path", pa.string()), ("position", pa.int32()), ("fields", pa.map_(pa.string(), pa.string()))])
+_KEYS = "record_kind string, record_id long, table_name string, child_path string, parent_path string, position int"
+ROWS = f"{_KEYS}, fields map<string,string>"
+_KEY_FIELDS = [("record_kind", pa.string()), ("record_id", pa.int64()), ("table_name", pa.string()), ("child_path", pa.string()), ("parent_path", pa.string()), ("position", pa.int32())]
+_MAP = pa.map_(pa.string(), pa.string())
 
 #: Members under which a list may be wrapped instead of standing at its own place.
 WRAPPERS = ("items", "elements", "entries", "values", "list", "data", "records")
+#: The step of a path that stands for a list's elements, and the value of an object itself.
+LIST, OBJECT = "[]", object()
 
 
 @dataclass(frozen=True)
 class Shape:
-    """What is known of an object: its child lists, single objects and plain members."""
+    """What is known of an object: its child lists, single objects and plain members.
+
+    Lists and objects named here are found in any spelling, wrapping or encoding; those that
+    aren't named are taken as they stand.
+    """
 
     name: str
     lists: dict[str, "Shape"] = field(default_factory=dict)
     objects: dict[str, "Shape"] = field(default_factory=dict)
     members: frozenset[str] = frozenset()
 
+    def known(self) -> set[str]:
+        return {*self.members, *self.lists, *self.objects}
+
 
 BINDING = Shape("binding", members=frozenset({"local_name", "imported_name", "exported_name", "kind", "import_text"}))
 SUPPORT = Shape("support", members=frozenset({"kind", "file", "line", "content_hash", "endpoint_id"}))
@@ -46,155 +58,378 @@ def _plain(name: str) -> str:
     return re.sub(r"[^0-9a-z]", "", name.lower()).rstrip("s")
 
 
-def _decoded(value: object) -> object:
-    """``value``, or what it holds if it is JSON in a string (in a string ...)."""
-    for _ in range(8):
-        if not isinstance(value, str) or value.lstrip()[:1] not in ("{", "[", '"'):
-            return value
-        try:
-            value = json.loads(value)
-        except (ValueError, RecursionError):
-            return value
-    return value
-
-
-def _member(found: dict, name: str) -> object:
-    """The member ``name`` of an object; its own spelling goes before any other."""
-    if name in found:
-        return found[name]
-    want = _plain(name)
-    return next((v for k, v in found.items() if _plain(k) == want), None)
-
-
-def _listed(value: object, shape: Shape) -> list:
-    """The elements at a list's place, whatever stands there."""
-    for _ in range(8):
-        value = _decoded(value)
-        if isinstance(value, list):
-            return value
-        if not isinstance(value, dict):
-            return []
-        known = shape.members | shape.lists.keys() | shape.objects.keys()
-        wrapped = [k for k in value if k.lower() in WRAPPERS]
-        if len(wrapped) == 1 and not any(k in known for k in value):
-            value = value[wrapped[0]]
-        elif value and all(k.isdigit() for k in value):
-            return [value[k] for k in sorted(value, key=int)]
-        else:
-            return [value]
-    return []
+class Path:
+    """A path of members and lists, with what is known of its place; paths are shared by all records."""
 
+    __slots__ = ("names", "shape", "place", "declared", "children", "group", "label")
 
-def triples(record: dict, shape: Shape, skip: bool = False, at: tuple = (), steps: tuple = ()) -> Iterator[tuple[tuple, tuple, object]]:
-    """Path, ordinals and value of each leaf below ``record``, depth first.
+    def __init__(self, names: tuple[str, ...], shape: Shape | None, place: str, declared: bool):
+        self.names, self.shape, self.place, self.declared = names, shape, place, declared
+        self.children: dict[str, Path] = {}
+        self.group, self.label = grouped(names)
 
-    A path names members as ``shape`` does; a list on it is the pair (member, None) whose
-    position stands in ordinals. An object that is an element of a child list also has a triple
-    of its own, with the value ``...``, so that objects without leaves aren't lost. With ``skip``
-    only those are given.
-    """
-    children = {_plain(n): n for n in (*shape.lists, *shape.objects)}
-    for name, below in shape.lists.items():
-        for i, element in enumerate(_listed(_member(record, name), below)):
-            path, ordinals = (*at, (name, None)), (*steps, i)
-            if isinstance(element, dict):
-                yield path, ordinals, ...
-                yield from triples(element, below, skip, path, ordinals)
-    for name, below in shape.objects.items():
-        found = _decoded(_member(record, name))
-        if isinstance(found, dict):
-            yield from triples(found, below, skip, (*at, name), steps)
-    if not skip:
-        for k, v in record.items():
-            if _plain(k) not in children:
-                yield from _leaves(v, (*at, k), steps)
-
-
-def _leaves(value: object, path: tuple, steps: tuple) -> Iterator[tuple[tuple, tuple, object]]:
-    if isinstance(value, dict):
-        for k, v in value.items():
-            yield from _leaves(v, (*path, k), steps)
-    else:
-        yield path, steps, value
-
-
-def shredded(record: dict, shape: Shape, skip: bool = False) -> list[tuple[str, str, str | None, int | None, dict]]:
-    """Table, path, parent's path, position and fields of each row of one record."""
-    rows: dict[tuple, dict] = {((), ()): {}}
-    for path, ordinals, value in triples(record, shape, skip):
-        last = max((i for i, p in enumerate(path) if isinstance(p, tuple)), default=-1) + 1
-        group = rows.setdefault((path[:last], ordinals), {})
-        if value is not ...:
-            group[".".join(path[last:])] = value if isinstance(value, str) or value is None else json.dumps(value, ensure_ascii=False)
-    out = []
-    for (path, ordinals), fields in rows.items():
-        if not path:
-            out.append((shape.name, "", None, None, fields))
-            continue
-        names, numbers = [], iter(ordinals)
-        for p in path:
-            names.append(f"{p[0]}[{next(numbers)}]" if isinstance(p, tuple) else p)
-        outer = max((i for i, p in enumerate(path[:-1]) if isinstance(p, tuple)), default=-1) + 1
-        out.append((path[-1][0], ".".join(names), ".".join(names[:outer]), ordinals[-1], fields))
-    return out
+    def child(self, name: str) -> Path:
+        found = self.children.get(name)
+        if found is None:
+            found = self.children[name] = self._made(name)
+        return found
+
+    def _made(self, name: str) -> Path:
+        if name == LIST:
+            # Elements of a list at a list's place are declared; a list in a list isn't.
+            known = self.place == "list"
+            return Path((*self.names, LIST), self.shape if known else None, "element" if known else "", known and self.declared)
+        shape, want = self.shape, _plain(name)
+        if shape is not None:
+            for names, place in ((shape.lists, "list"), (shape.objects, "object")):
+                for known, below in names.items():
+                    if _plain(known) == want:
+                        return Path((*self.names, known), below, place, self.declared)
+            if self.place == "list" and name.lower() in WRAPPERS:
+                return Path((*self.names, name), shape, "list", self.declared)
+            if self.place == "list" and name.isdigit():
+                return Path((*self.names, name), shape, "element", self.declared)
+        return Path((*self.names, name), None, "", False)
+
+
+def grouped(names: tuple[str, ...]) -> tuple[tuple[str, ...], str]:
+    """The nearest repeated ancestor of a path, and the rest of the path as a field's name."""
+    last = max((i for i, x in enumerate(names) if x == LIST), default=-1) + 1
+    return names[:last], ".".join(names[last:])
+
+
+_BLANK = "[ \t\n\r]*"
+_STRING = r'"([^"\\\x00-\x1f]*(?:\\.[^"\\\x00-\x1f]*)*)"'
+_VALUE = rf"(?:{_STRING}|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|-?Infinity|NaN|true|false)|(null)|([{{\[])){_BLANK}"
+_ELEMENT = re.compile(_VALUE, re.A)
+_MEMBER = re.compile(rf"{_STRING}{_BLANK}:{_BLANK}{_VALUE}", re.A)
+_NEXT = re.compile(rf"([,}}\]]){_BLANK}")
+_SKIP = re.compile(_BLANK)
+
+
+def _decoded(quoted: str) -> str:
+    return json.loads(f'"{quoted}"') if "\\" in quoted else quoted
+
+
+Triple = tuple[Path, tuple[int, ...], object]
 
 
-def _parsed(text: str | None) -> dict | None:
-    """The one whole object that ``text`` is, also if encoded as a string; else None."""
+def read(text: str, root: Path, ordinals: tuple[int, ...], out: list[Triple], special: dict) -> bool:
+    """Append the triples of the document in ``text``; False if it isn't one whole document.
+
+    Values are texts, or None for null; an object itself gives the value OBJECT when it ends.
+    ``special`` gets what has to be known of objects that stand where a list belongs.
+    """
+    skip, element, member, follow = _SKIP.match, _ELEMENT.match, _MEMBER.match, _NEXT.match
+    at, size = skip(text).end(), len(text)
+    stack: list[list] = []  # [is an object, path, ordinals, next position or names]
+    path, found = root, element(text, at)
+    shift = 0
+    try:
+        while True:
+            # One value, at ``path``; its groups are behind those of the member's name.
+            if found is None:
+                return False
+            at = found.end()
+            string, plain, null, opened = found.group(1 + shift, 2 + shift, 3 + shift, 4 + shift)
+            if opened:
+                if opened == "{":
+                    top = [True, path, ordinals, []]
+                    if text[at : at + 1] != "}":
+                        stack.append(top)
+                        found, shift = member(text, at), 1
+                        if found is None:
+                            return False
+                        name = _decoded(found.group(1))
+                        top[3].append(name)
+                        path = path.child(name)
+                        continue
+                    at = skip(text, at + 1).end()
+                    _ended(top, out, special)
+                else:
+                    if text[at : at + 1] != "]":
+                        stack.append([False, path, ordinals, 0])
+                        path, ordinals = path.child(LIST), (*ordinals, 0)
+                        found, shift = element(text, at), 0
+                        continue
+                    at = skip(text, at + 1).end()
+            elif string is not None:
+                value = _decoded(string)
+                if not (path.place in ("list", "object") and value.lstrip()[:1] in ("{", "[", '"') and _inside(value, path, ordinals, out, special)):
+                    out.append((path, ordinals, value))
+            else:
+                out.append((path, ordinals, None if null else plain))
+            # What follows the value.
+            while True:
+                if not stack:
+                    return at == size
+                top = stack[-1]
+                mark = follow(text, at)
+                if mark is None:
+                    return False
+                at = mark.end()
+                is_object, path, ordinals, seen = top
+                if mark.group(1) == ",":
+                    if is_object:
+                        found, shift = member(text, at), 1
+                        if found is None:
+                            return False
+                        name = _decoded(found.group(1))
+                        seen.append(name)
+                        path = path.child(name)
+                    else:
+                        top[3] = seen + 1
+                        path, ordinals = path.child(LIST), (*ordinals, seen + 1)
+                        found, shift = element(text, at), 0
+                    break
+                if is_object != (mark.group(1) == "}"):
+                    return False
+                stack.pop()
+                if is_object:
+                    _ended(top, out, special)
+    except ValueError:
+        return False
+
+
+def _inside(text: str, path: Path, ordinals: tuple, out: list, special: dict) -> bool:
+    """Whether a text at a known place is itself a document; its triples then stand for it."""
+    before = len(out)
+    if read(text, path, ordinals, out, special):
+        return True
+    del out[before:]
+    return False
+
+
+def _ended(top: list, out: list, special: dict) -> None:
+    """The end of an object: its triple, and what its names tell of the list that belongs there."""
+    _, path, ordinals, names = top
+    out.append((path, ordinals, OBJECT))
+    shape = path.shape
+    if shape is None:
+        return
+    if path.place == "list":
+        known = shape.known()
+        wrapped = [n for n in names if n.lower() in WRAPPERS]
+        if len(wrapped) == 1 and not any(n in known for n in names):
+            special[path.names, ordinals] = ("under", wrapped[0])
+        elif names and all(n.isdigit() for n in names):
+            special[path.names, ordinals] = ("keyed", sorted(names, key=int))
+        else:
+            special[path.names, ordinals] = ("one", None)
+    if len(names) > 1:
+        # Of several spellings of one list or object its own goes first, then the first one.
+        spelt: dict[tuple, list[str]] = {}
+        for n in names:
+            found = path.child(n)
+            if found.place in ("list", "object"):
+                spelt.setdefault(found.names, []).append(n)
+        if any(len(set(x)) > 1 for x in spelt.values()):
+            raise _Respelt({n for key, x in spelt.items() for n in x if n != (key[-1] if key[-1] in x else x[0])})
+
+
+class _Respelt(Exception):
+    """Names of an object that are second spellings of its lists or objects."""
+
+
+def _placed(names: tuple[str, ...], ordinals: tuple[int, ...], special: dict) -> tuple[tuple, tuple] | None:
+    """A path and its ordinals as they would be if every list stood at its place."""
+    out: list[str] = []
+    steps: list[int] = []
+    i = k = 0
+    while True:
+        what, how = special.get((names[:i], ordinals[:k]), ("", None))
+        if what == "under":
+            if i == len(names) or names[i] != how:
+                return None
+            i += 1
+            continue
+        if what == "keyed":
+            if i == len(names):
+                return None
+            out.append(LIST)
+            steps.append(how.index(names[i]))
+            i += 1
+            continue
+        if what == "one":
+            out.append(LIST)
+            steps.append(0)
+        if i == len(names):
+            return tuple(out), tuple(steps)
+        if names[i] == LIST:
+            steps.append(ordinals[k])
+            k += 1
+        out.append(names[i])
+        i += 1
+
+
+def triples(text: str | None, root: Path) -> list[Triple] | None:
+    """The triples of one whole object, also if encoded as a string; None if ``text`` isn't one."""
     if text is None:
         return None
-    value = _decoded(text.lstrip("﻿"))
-    return value if isinstance(value, dict) else None
+    text = text.lstrip("﻿").strip(" \t\n\r")
+    while text[:1] == '"':
+        try:
+            text = json.loads(text)
+        except ValueError:
+            return None
+        if not isinstance(text, str):
+            return None
+        text = text.strip(" \t\n\r")
+    if text[:1] != "{":
+        return None
+    out: list[Triple] = []
+    special: dict = {}
+    try:
+        if not read(text, root, (), out, special):
+            return None
+    except _Respelt:
+        return triples(_respelt(text, root), root)
+    if not special:
+        return out
+    moved = []
+    for path, ordinals, value in out:
+        place = _placed(path.names, ordinals, special)
+        if place is not None:
+            found = root
+            for name in place[0]:
+                found = found.child(name)
+            moved.append((found, place[1], value))
+    return moved
+
+
+def _respelt(text: str, root: Path) -> str:
+    """``text`` without second spellings of one member (rare, so by way of the document)."""
+
+    def kept(pairs: list[tuple[str, object]]) -> dict:
+        names = [n for n, _ in pairs]
+        known = {_plain(x): x for s in (STATE, REFERENCE, RAW) for x in (*s.lists, *s.objects)}
+        first: dict[str, str] = {}
+        for n in names:
+            own = known.get(_plain(n))
+            if own and (own not in first or n == own):
+                first[own] = n
+        return {n: v for n, v in pairs if known.get(_plain(n)) is None or first[known[_plain(n)]] == n}
+
+    return json.dumps(json.loads(text, object_pairs_hook=kept), ensure_ascii=False)
+
+
+Row = tuple[str, str, "str | None", "int | None", dict]
+
+
+def shredded(found: list[Triple], root: Path, declared: bool = False) -> list[Row]:
+    """Table, path, parent's path, position and fields of each row of one record's triples.
+
+    A list's elements that aren't objects hold their position and give no row in a declared
+    table; of an undeclared list each gives a row with the field ``value``. With ``declared``
+    the rows of undeclared lists are left out.
+    """
+    rows: dict[tuple, list] = {((), ()): [root, {}, True]}
+    for path, ordinals, value in found:
+        key = (path.group, ordinals)
+        row = rows.get(key)
+        if row is None:
+            row = rows[key] = [None, {}, False]
+        if value is OBJECT:
+            if not path.label:
+                row[0], row[2] = path, True
+        else:
+            if row[0] is None and not path.label:
+                row[0] = path
+            row[1][path.label or "value"] = value
+    out: list[Row] = []
+    for (group, ordinals), (path, fields, is_object) in rows.items():
+        if not group:
+            out.append((root.shape.name, "", None, None, fields))
+            continue
+        if path is None or (path.declared and not is_object) or (declared and not path.declared):
+            continue
+        spelt, n, outer = "", 0, 0
+        last = inner = len(group) - 1
+        while group[inner] == LIST:  # of a list in a list, the parent is the object around both
+            inner -= 1
+        for i, name in enumerate(group):
+            if name == LIST:
+                spelt += f"[{ordinals[n]}]"
+                n += 1
+                if i < inner:
+                    outer = len(spelt)
+            else:
+                spelt = f"{spelt}.{name}" if spelt else name
+        named = group[last - 1] if group[last - 1] != LIST else "".join(group[-3:] if last > 1 else group)
+        out.append((named, spelt, spelt[:outer], ordinals[-1], fields))
+    return out
 
 
-def shred(records: DataFrame, kind: str, key: str, text: str, shape: Shape, fields: bool = True) -> DataFrame:
+def shred(records: DataFrame, kind: str, key: str, text: str, shape: Shape, fields: bool = True, tables: tuple[str, ...] | None = None, columns: tuple[str, ...] | None = None, declared: bool = False) -> DataFrame:
     """All rows of all tables in the JSON texts ``text`` of ``records``, with their parents.
 
     Columns: record_kind, record_id, table_name, child_path, parent_path, position and fields
     (members as text). A record that is null or not one whole object gives no row; otherwise it
     has a row of its own with an empty child_path. An object where a list belongs has position
     0; elements that aren't objects hold their position and give no row. A null key keeps its
-    rows, with a null record_id. With ``fields`` false the column fields is null and cheap.
+    rows, with a null record_id. ``tables`` names those that are wanted, ``declared`` leaves out
+    lists that the shape doesn't name. With ``columns`` those fields are columns of text instead
+    of the map, and with ``fields`` false there are none.
     """
+    wanted = set(tables) if tables is not None else None
+    last = [("fields", _MAP)] if columns is None and fields else [(f"c{i}", pa.string()) for i in range(len(columns or ()))]
+    arrow = pa.schema(_KEY_FIELDS + last)
+    schema = ROWS if columns is None and fields else ", ".join([_KEYS, *(f"c{i} string" for i in range(len(columns or ())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root = Path((), shape, "object", True)
         for batch in batches:
             rows: list[tuple] = []
-            for record_id, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                record = _parsed(found)
-                if record is not None:
-                    rows += [(record_id, *x) for x in shredded(record, shape, not fields)]
+            for record_id, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = triples(record, root)
+                if found is not None:
+                    rows += [(record_id, *x) for x in shredded(found, root, declared) if wanted is None or x[0] in wanted]
             ids, names, paths, parents, positions, values = list(zip(*rows)) if rows else [()] * 6
-            maps = [list(v.items()) for v in values] if fields else [None] * len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.string()), pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(paths, pa.string()), pa.array(parents, pa.string()), pa.array(positions, pa.int32()), pa.array(maps, _ARROW.field("fields").type)], schema=_ARROW)
+            if columns is None and fields:
+                end = [pa.array([list(v.items()) for v in values], _MAP)]
+            else:
+                end = [pa.array([v.get(c) for v in values], pa.string()) for c in columns or ()]
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.string()), pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(paths, pa.string()), pa.array(parents, pa.string()), pa.array(positions, pa.int32()), *end], schema=arrow)
 
-    return records.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, ROWS)
+    return records.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, schema)
 
 
-def shred_references(references: DataFrame, fields: bool = True) -> DataFrame:
+def shred_references(references: DataFrame, fields: bool = True, **how) -> DataFrame:
     """:func:`shred` of the table symbol_references; its records' own members come along."""
-    used = ["raw", "support"] if not fields else [c for c in references.columns if c not in ("ref_id", "received_at")]
-    return shred(references.select("ref_id", F.to_json(F.struct(*used)).alias("text")), "reference", "ref_id", "text", REFERENCE, fields)
+    used = [F.col("raw"), F.col("support")]
+    if fields:
+        used = [F.col(c) for c in references.columns if c not in ("ref_id", "received_at")]
+    return shred(references.select("ref_id", F.to_json(F.struct(*used)).alias("text")), "reference", "ref_id", "text", REFERENCE, fields, **how)
 
 
-def shred_states(states: DataFrame, fields: bool = True) -> DataFrame:
+def shred_states(states: DataFrame, fields: bool = True, **how) -> DataFrame:
     """:func:`shred` of the table graph_states."""
-    return shred(states, "state", "state_id", "state_json", STATE, fields)
+    return shred(states, "state", "state_id", "state_json", STATE, fields, **how)
 
 
-def all_rows(references: DataFrame, states: DataFrame, fields: bool = True) -> DataFrame:
-    """Rows of both tables, each once however often its record was delivered."""
-    rows = shred_references(references, fields).unionByName(shred_states(states, fields))
+def all_rows(references: DataFrame, states: DataFrame) -> DataFrame:
+    """Rows of all tables of both sources, each once however often its record was delivered."""
+    rows = shred_references(references).unionByName(shred_states(states))
     return rows.dropDuplicates(["record_kind", "record_id", "child_path"])
 
 
 def child_objects(references: DataFrame, states: DataFrame) -> DataFrame:
-    """record_kind, record_id and child_path of every object in a child list."""
-    rows = shred_references(references, False).unionByName(shred_states(states, False))
+    """record_kind, record_id and child_path of every object in a declared child list.
+
+    They are the keys of the tables' rows: parsed, grouped and pivoted as for those.
+    """
+    rows = shred_references(references, False, declared=True).unionByName(shred_states(states, False, declared=True))
     return rows.where("child_path != ''").select("record_kind", "record_id", "child_path").distinct()
 
 
-def flat_table(references: DataFrame, states: DataFrame, name: str, columns: dict[str, str]) -> DataFrame:
-    """One typed flat table: its key, its parent's path, its position and ``columns``."""
-    rows = all_rows(references, states).where(F.col("table_name") == name)
-    return rows.select("record_kind", "record_id", "child_path", "parent_path", "position", *(F.col("fields")[c].try_cast(t).alias(c.replace(".", "_")) for c, t in columns.items()))
+def flat_table(references: DataFrame | None, states: DataFrame | None, names: tuple[str, ...], columns: dict[str, str]) -> DataFrame:
+    """One typed flat table: its key, its parent's path, its position and ``columns``.
+
+    ``names`` are the table's names in both sources, either of which may be left out. Only its
+    rows and columns leave the parsing task; they are typed before redeliveries are taken out.
+    """
+    how = {"tables": names, "columns": tuple(columns), "declared": True}
+    parts = ([shred_references(references, **how)] if references is not None else []) + ([shred_states(states, **how)] if states is not None else [])
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    typed = rows.select("record_kind", "record_id", "child_path", "parent_path", "position", *(F.col(f"c{i}").try_cast(t).alias(c.replace(".", "_")) for i, (c, t) in enumerate(columns.items())))
+    return typed.dropDuplicates(["record_kind", "record_id", "child_path"])

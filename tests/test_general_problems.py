@@ -107,7 +107,55 @@ JSON = st.recursive(st.none() | st.booleans() | st.integers() | st.text(max_size
 @given(st.dictionaries(st.sampled_from(["edges", "symbol_references", "x"]), JSON, max_size=3))
 @settings(max_examples=150, deadline=None)
 def test_every_row_has_its_parent(record):
-    rows = nested.shredded(record, nested.STATE)
+    root = nested.Path((), nested.STATE, "object", True)
+    rows = nested.shredded(nested.triples(json.dumps(record), root), root)
     paths = {p for _, p, *_ in rows}
     assert len(paths) == len(rows)
     assert all(parent is None or parent in paths for _, _, parent, *_ in rows)
+
+
+def rows_of(text, shape=nested.STATE, **how):
+    root = nested.Path((), shape, "object", True)
+    found = nested.triples(text, root)
+    return None if found is None else {r[1]: r for r in nested.shredded(found, root, **how)}
+
+
+def test_lists_that_nobody_declared_are_tables_too():
+    rows = rows_of('{"nodes": [{"id": "n", "tags": [{"t": 1}, "x"]}], "edges": [], "deep": [[{"a": 2}], 3]}')
+    assert rows["nodes[0]"] == ("nodes", "nodes[0]", "", 0, {"id": "n"})
+    assert rows["nodes[0].tags[0]"] == ("tags", "nodes[0].tags[0]", "nodes[0]", 0, {"t": "1"})
+    assert rows["nodes[0].tags[1]"][4] == {"value": "x"} and rows["deep[0][0]"][4] == {"a": "2"} and rows["deep[1]"][4] == {"value": "3"}
+    assert set(rows_of('{"nodes": [{"support": [{}]}], "edges": [{"support": [{}]}]}', declared=True)) == {"", "edges[0]"}
+
+
+@pytest.mark.parametrize("levels", [1, 9, 14])
+def test_lists_encoded_any_number_of_times(levels):
+    text = json.dumps([{"from": "a"}])
+    for _ in range(levels):
+        text = json.dumps(text)
+    assert set(rows_of('{"edges": %s}' % text)) == {"", "edges[0]"}
+    wrapped = [{"from": "a"}]
+    for _ in range(levels):
+        wrapped = {"items": wrapped}
+    assert set(rows_of(json.dumps({"edges": wrapped}))) == {"", "edges[0]"}
+
+
+def test_odd_shapes_of_lists():
+    assert set(rows_of('{"edges": {"10": {"from": "b"}, "2": {"from": "a"}, "11": 3}}')) == {"", "edges[0]", "edges[1]"}
+    assert rows_of('{"edges": {"10": {"from": "b"}, "2": {"from": "a"}}}')["edges[0]"][4] == {"from": "a"}
+    assert rows_of('{"Edges": [{"from": 1}], "edges": [{"from": 2}, {"from": 3}]}')["edges[0]"][4] == {"from": "2"}
+    assert set(rows_of('{"edges": {"items": {"from": 1}}}')) == {"", "edges[0]"}
+    assert rows_of('{"edges": [{"a": 1}, {"a": "\\u00e9\\n"}]}')["edges[1]"][4] == {"a": "é\n"}
+    deep = '{"x": ' + '{"y": ' * 50_000 + "1" + "}" * 50_001
+    assert len(rows_of(deep)) == 1
+
+
+@given(st.text(alphabet='{}[]",:\\ 1eE.-tru\n', max_size=30) | JSON.map(json.dumps))
+@settings(max_examples=400, deadline=None)
+def test_whole_documents_are_those_that_a_json_reader_takes(text):
+    try:
+        whole = isinstance(json.loads(text), dict)
+    except ValueError:
+        whole = False
+    if text.lstrip()[:1] != '"':
+        assert (rows_of(text) is not None) == whole
