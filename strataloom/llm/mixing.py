@@ -1,12 +1,16 @@
 """Sources mixed to target shares of all tokens, no document used more often than its cap.
 
 A temperature family leads from the sources' natural token shares s to the targets w: weights
-in proportion to s^(1-a) * w^a. The exponent a is bisected to the entropy of the targets, which
-it meets at 1, where the weights are the targets themselves (what the mix asks for, also of
-sources without tokens, whose part the entropy leaves out on both sides), or to the largest one at which no source has to repeat beyond its cap. The weights become budgets, and a
-budget is realised as full passes over the source and one part of a pass. The part is a prefix
-of a permutation of blocks of documents: whole blocks count by their token sums, and only the
-one block of a source that the budget ends in is put in order row by row.
+in proportion to s^(1-a) * w^a, which at 1 are the targets themselves. Sources without tokens
+have no natural share; they keep their targets at every exponent, and only the rest is tempered.
+
+For each source the exponent is bisected to its repetition limit: the largest at which its cap
+still yields its weight. A source whose limit is reached before 1 is short, and what it gives is
+its weight at that exponent; the others give their targets. A tempered mix takes for all sources
+the one exponent at which none is short, or that of a given entropy. The weights become budgets,
+and a budget is realised as full passes over the source and one part of a pass. The part is a
+prefix of a permutation of blocks of documents: whole blocks count by their token sums, and only
+the one block of a source that the budget ends in is put in order row by row.
 """
 
 from __future__ import annotations
@@ -14,13 +18,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from strataloom.llm.tokens import DEFAULT, token_table
 from strataloom.runtime import cut
 
 #: Rows of a block of one source on average, and the sources a mix may have at most.
-BLOCK_ROWS, MAX_SOURCES = 5_000, 100_000
+BLOCK_ROWS, MAX_SOURCES = 5_000, 4_096
 
 
 @dataclass
@@ -33,11 +38,42 @@ class Source:
 
 
 def weights_at(sources: list[Source], exponent: float) -> list[float]:
-    """The family's normalised weights; sources without tokens or weight get none."""
+    """The family's weights. They sum to what the targets do; sources without weight get none."""
     total = sum(s.tokens for s in sources)
     raw = [(s.tokens / total) ** (1 - exponent) * s.weight**exponent if s.tokens and s.weight > 0 else 0.0 for s in sources]
-    whole = sum(raw)
-    return [x / whole if whole else 0.0 for x in raw]
+    whole, held = sum(raw), sum(s.weight for s in sources if s.tokens)
+    return [x / whole * held if s.tokens and whole else s.weight if not s.tokens else 0.0 for s, x in zip(sources, raw)]
+
+
+def limit_exponents(sources: list[Source], steps: int = 60) -> list[float]:
+    """For each source the largest exponent at which its cap yields its weight; 1 if it isn't short.
+
+    Along the family a source's weight over its natural share is log-concave, so from 1 down to
+    0 it leaves its limit once. All sources are bisected together. A source without tokens but
+    with a weight is short at every exponent, hence 0.
+    """
+    total = sum(s.tokens for s in sources)
+    short = [s.cap is not None and s.weight * total > s.cap * s.tokens for s in sources]
+    out = [0.0 if x else 1.0 for x in short]
+    at = [i for i, s in enumerate(sources) if short[i] and s.tokens]
+    live = [s for s in sources if s.tokens and s.weight > 0]
+    if not at:
+        return out
+    held = sum(s.weight for s in live)
+    base = np.log(np.array([s.tokens / total for s in live]))
+    pull = np.log(np.array([s.weight for s in live])) - base
+    own = np.array([math.log(sources[i].tokens / total) for i in at])
+    tug = np.array([math.log(sources[i].weight) for i in at]) - own
+    most = np.array([sources[i].cap * sources[i].tokens / total for i in at])
+    lo, hi = np.zeros(len(at)), np.ones(len(at))
+    for _ in range(steps):
+        mid = (lo + hi) / 2
+        whole = np.exp(base[None, :] + mid[:, None] * pull[None, :]).sum(axis=1)
+        kept = np.exp(own + mid * tug) / whole * held <= most
+        lo, hi = np.where(kept, mid, lo), np.where(kept, hi, mid)
+    for i, a in zip(at, lo):
+        out[i] = float(a)
+    return out
 
 
 def entropy(weights: list[float]) -> float:
@@ -48,13 +84,13 @@ def exponent_for(sources: list[Source], target_entropy: float | None = None, ste
     """The exponent in 0..1 by bisection.
 
     With ``target_entropy``, the one at which the entropy is nearest to it; else the largest at
-    which every source stays within its cap (0 if none does).
+    which every source with tokens stays within its cap (0 if none does).
     """
     total = sum(s.tokens for s in sources)
 
     def kept(a: float) -> bool:
         found = weights_at(sources, a)
-        return all(s.cap is None or w * total <= s.cap * s.tokens * (1 + 1e-12) for s, w in zip(sources, found))
+        return all(s.cap is None or not s.tokens or w * total <= s.cap * s.tokens * (1 + 1e-12) for s, w in zip(sources, found))
 
     lo, hi = 0.0, 1.0
     if target_entropy is None:
@@ -96,18 +132,13 @@ def collected(totals: DataFrame) -> list[Source]:
 
 
 def short_sources(documents: DataFrame, targets: DataFrame, vocabulary: str = DEFAULT) -> DataFrame:
-    """Sources that fall short of their weight even with every document used as often as allowed."""
+    """Sources that fall short of their weight even with every document used as often as allowed:
+    those whose repetition limit is reached at an exponent below 1."""
     sources = collected(source_totals(target_documents(documents, targets, vocabulary), targets))
-    total, a = sum(s.tokens for s in sources), exponent_for(sources, entropy(weights_at(sources, 1.0)))
-    found = [(s.name,) for s, w in zip(sources, _wanted(sources, a)) if s.cap is not None and w * total > s.cap * s.tokens]
+    found = [(s.name,) for s, a in zip(sources, limit_exponents(sources)) if a < 1.0]
     return documents.sparkSession.createDataFrame(found, "source string")
 
 
-def _wanted(sources: list[Source], exponent: float) -> list[float]:
-    """Weights to be realised: at exponent 1 the targets as given, also of sources without tokens."""
-    return [s.weight for s in sources] if exponent == 1.0 else weights_at(sources, exponent)
-
-
 @dataclass
 class Mix:
     uses: DataFrame
@@ -117,8 +148,8 @@ class Mix:
 def mixed(documents: DataFrame, targets: DataFrame, tempered: bool = False, seed: int = 0, vocabulary: str = DEFAULT) -> Mix:
     """Uses of every document with a target, and what share each source has in the end.
 
-    uses: doc_id, source, n_tokens, uses (0 and more). shares: source, weight, exponent,
-    target_tokens, tokens, documents, actual_tokens, actual_share, repeats, short. The total is
+    uses: doc_id, source, n_tokens, uses (0 and more). shares: source, weight, exponent (of the
+    mix), limit_exponent (of the source), target_tokens, tokens, documents, actual_tokens, actual_share, repeats, short. The total is
     that of all documents with a target, each counted once. A source that can't reach its
     target within its cap gives every document max_repeats times and is short; the others keep
     their targets. With ``tempered``, the exponent is lowered until no source is short. Null or
@@ -129,14 +160,20 @@ def mixed(documents: DataFrame, targets: DataFrame, tempered: bool = False, seed
     sized = cut(target_documents(documents, targets, vocabulary))
     sources = collected(source_totals(sized, targets))
     total = sum(s.tokens for s in sources)
-    a = exponent_for(sources, None if tempered else entropy(weights_at(sources, 1.0)))
+    a = exponent_for(sources) if tempered else 1.0
+    limits = limit_exponents(sources)
+    # A short source gives its weight at its own limit.
+    given = [w if tempered or e == 1.0 else weights_at(sources, e)[i] if s.tokens else 0.0 for i, (s, w, e) in enumerate(zip(sources, weights_at(sources, a), limits))]
     plan = []
-    for s, w in zip(sources, _wanted(sources, a)):
-        budget = w * total if s.cap is None else min(w * total, float(s.cap * s.tokens))
+    for s, w, g, limit in zip(sources, weights_at(sources, a), given, limits):
+        budget = g * total if s.tokens else 0.0
+        if s.cap is not None:
+            # What bisection leaves between its weight and its limit is less than a token.
+            budget = float(s.cap * s.tokens) if budget > s.cap * s.tokens - 0.5 else budget
         passes = int(budget // s.tokens) if s.tokens else 0
         blocks = max(1, -(-s.documents // BLOCK_ROWS))
-        plan.append((s.name, s.weight, a, w * total, budget, passes, budget - passes * s.tokens, blocks, s.cap, s.tokens, s.documents))
-    columns = "source string, weight double, exponent double, target_tokens double, budget double, passes int, rest double, blocks int, cap int, tokens long, documents long"
+        plan.append((s.name, s.weight, a, w * total, budget, passes, budget - passes * s.tokens, blocks, s.cap, s.tokens, s.documents, limit))
+    columns = "source string, weight double, exponent double, target_tokens double, budget double, passes int, rest double, blocks int, cap int, tokens long, documents long, limit_exponent double"
     table = spark.createDataFrame(plan, columns)
     # The plan has a row per target: at most MAX_SOURCES short rows, so it is broadcast.
     placed = sized.join(F.broadcast(table.select("source", "passes", "rest", "blocks")), "source").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("blocks")))
@@ -160,7 +197,7 @@ def mixed(documents: DataFrame, targets: DataFrame, tempered: bool = False, seed
     held = uses.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("actual_tokens"), F.max("uses").alias("repeats"))
     grand = held.agg(F.sum("actual_tokens")).scalar()
     shares = table.join(held, "source", "left").select(
-        "source", "weight", "exponent", "target_tokens", "tokens", "documents", F.coalesce("actual_tokens", F.lit(0)).alias("actual_tokens"),
+        "source", "weight", "exponent", "limit_exponent", "target_tokens", "tokens", "documents", F.coalesce("actual_tokens", F.lit(0)).alias("actual_tokens"),
         F.coalesce(F.col("actual_tokens") / grand, F.lit(0.0)).alias("actual_share"), F.coalesce("repeats", F.lit(0)).alias("repeats"), (F.col("target_tokens") > F.col("budget") * (1 + 1e-12)).alias("short"),
     )
     return Mix(uses, shares)

@@ -144,3 +144,45 @@ def test_queries_run(spark, small):
 
     for name in ("p1_found", "p4_found", "p5_rates", "p6_fills", "p7_shares", "p8_found"):
         assert QUERIES[name](spark, small).count() >= 1
+
+
+def test_limits_are_bisected_to_where_a_cap_yields_the_weight():
+    rng = random.Random(4)
+    for _ in range(200):
+        s = sources(*((rng.random(), rng.choice([None, 1, 2, 5]), rng.choice([0, rng.randrange(1, 9999)])) for _ in range(rng.randrange(1, 7))))
+        whole = sum(x.weight for x in s)
+        for x in s:
+            x.weight /= whole
+        total = sum(x.tokens for x in s)
+        for i, (x, a) in enumerate(zip(s, mixing.limit_exponents(s))):
+            assert (a < 1.0) == (x.cap is not None and x.weight * total > x.cap * x.tokens)
+            if x.tokens and 0 < a < 1.0:
+                assert mixing.weights_at(s, a)[i] * total == pytest.approx(x.cap * x.tokens, rel=1e-6)
+
+
+def test_an_empty_source_is_short_and_the_rest_keeps_its_targets():
+    s = sources((0.2, 1, 100), (0.5, 5, 50), (0.3, 1, 0))
+    assert mixing.limit_exponents(s) == [1.0, 1.0, 0.0]
+    assert mixing.weights_at(s, 1.0) == pytest.approx([0.2, 0.5, 0.3])
+    assert mixing.weights_at(s, 0.0)[2] == 0.3
+
+
+def test_turns_that_ask_bear_no_loss():
+    k = counter()
+    text = "Q: How many?\nA: Three of them.\n\n@asker: Why: because?\nIndex: So."
+    loss = k.count("\nA: Three of them.") + k.count("\nIndex: So.")
+    assert packing.parts_of(text, None, k, 2048, 2048) == [(k.count(text), loss)]
+    assert packing.parts_of("Title\n\nBody text", "Title", k, 2048, 2048) == [(k.count("Title\n\nBody text"), k.count("\n\nBody text"))]
+    assert packing.parts_of("No turns here? None.", None, k, 2048, 2048)[0][1] == k.count("No turns here? None.")
+    assert packing.parts_of(None, None, k, 8, 8) == [(0, 0)]
+    long = "Q: " + "what " * 30 + "?\nA: " + "that " * 30
+    parts = packing.parts_of(long, None, k, 16, 16)
+    assert sum(a for a, _ in parts) == k.count(long) and all(b <= a <= 16 for a, b in parts)
+    assert sum(b for _, b in parts) == packing.parts_of(long, None, k, 2048, 2048)[0][1]
+
+
+def test_every_limit_can_bind(spark):
+    rows = docs(spark, *[("word", "s")] * 200, *[("Q: " + "what " * 60 + "?\nA: " + "that " * 30, "s")] * 40)
+    boxes = {r.container: r for r in packing.containers(rows, 512, 16, 100).collect()}
+    assert all(r.used <= 512 and r.segments <= 16 and r.loss <= 100 for r in boxes.values())
+    assert any(r.segments == 16 for r in boxes.values()) and any(r.loss > 60 and r.used < 400 for r in boxes.values())
