@@ -16,13 +16,12 @@ _SEARCHED = ("cache_key", "id", "name", "qualified_name", "signature", "summary"
 
 
 def _symbols(spark: SparkSession, d: str, repo: str | None, *columns: str) -> DataFrame:
-    rows = tables.symbols(spark, d, "cache_key", *columns)
-    return rows if repo is None else rows.where(F.col("cache_key") == repo)
+    return tables.symbols(spark, d, "cache_key", *columns, where=None if repo is None else F.col("cache_key") == repo)
 
 
 def _edges(spark: SparkSession, d: str, repo: str | None) -> DataFrame:
-    rows = tables.edges(spark, d, "cache_key", "from_id", "to_id", "edge_type", "directed", "namespace", "resolution", "evidence")
-    return rows if repo is None else rows.where(F.col("cache_key") == repo)
+    held = None if repo is None else F.col("cache_key") == repo
+    return tables.edges(spark, d, "cache_key", "from_id", "to_id", "edge_type", "directed", "namespace", "resolution", "evidence", where=held)
 
 
 def search(spark, d, query: str, repo: str | None = None, kind: str | None = None, lang: str | None = None, limit: int = 20, file_paths: list[str] | None = None) -> DataFrame:
@@ -39,20 +38,21 @@ def outline(spark, d, repo: str, file: str | None = None) -> DataFrame:
 
 def get(spark, d, repo: str, symbol_ids: list[str], context: int = 0) -> DataFrame:
     """Bodies of symbols, or their lines with ``context`` more on both sides."""
-    rows = _symbols(spark, d, repo, "id", "byte_offset", "byte_length", "line", "end_line").where(F.col("id").isin(*symbol_ids))
-    files = tables.files(spark, d, "cache_key", "rel_path", "content")
+    asked = (F.col("cache_key") == repo) & F.col("id").isin(*symbol_ids)
+    rows = tables.symbols(spark, d, "cache_key", "id", "byte_offset", "byte_length", "line", "end_line", where=asked)
+    files = tables.files(spark, d, "cache_key", "rel_path", "content", where=F.col("cache_key") == repo)
     if context:
         return content.symbol_context(rows, files, context)
     return content.byte_ranges(rows, files).select("ord", "id", F.decode("body", "UTF-8").alias("body"))
 
 
 def file(spark, d, repo: str, path: str, start_line: int = 1, end_line: int = 2**31 - 1) -> DataFrame:
-    rows = tables.files(spark, d, "cache_key", "rel_path", "content").where((F.col("cache_key") == repo) & (F.col("rel_path") == path))
+    rows = tables.files(spark, d, "cache_key", "rel_path", "content", where=(F.col("cache_key") == repo) & (F.col("rel_path") == path))
     return content.file_slice(rows, "rel_path", decoded(F.col("content")), start_line, end_line)
 
 
 def grep(spark, d, repo: str, pattern: str) -> DataFrame:
-    rows = tables.files(spark, d, "cache_key", "rel_path", "content").where(F.col("cache_key") == repo)
+    rows = tables.files(spark, d, "cache_key", "rel_path", "content", where=F.col("cache_key") == repo)
     return content.grep_context(rows, "rel_path", decoded(F.col("content")), pattern)
 
 
@@ -143,7 +143,7 @@ def graph_calls(spark, d, repo: str | None = None, offset: int = 0, limit: int =
 
 
 def verify(spark, d, repo: str | None = None) -> DataFrame:
-    s = _symbols(spark, d, repo, "name", "signature", "byte_offset", "byte_length")
+    s = _symbols(spark, d, repo, "name", "signature", "byte_offset", "byte_length", "content_hash", "metadata")
     return integrity.verify_symbols(s, tables.files(spark, d, "cache_key", "rel_path", "content")).where("problem IS NOT NULL")
 
 
@@ -160,9 +160,17 @@ def store_health(spark, d) -> DataFrame:
     return rows.select("cache_key", "path", state.alias("state"))
 
 
-def stats(spark, d) -> DataFrame:
-    return telemetry.stats_by_group(telemetry.from_events(table(spark, d, "events")))
+def _log(spark: SparkSession, d: str, repo: str | None, days: int | None, now) -> DataFrame:
+    rows = telemetry.since(telemetry.from_events(table(spark, d, "events")), days, now)
+    return rows if repo is None else rows.where(F.col("repo") == repo)
 
 
-def analyze(spark, d) -> DataFrame:
-    return telemetry.summary(telemetry.from_events(table(spark, d, "events")))
+def stats(spark, d, repo: str | None = None, since_days: int | None = 7, all_time: bool = False, now=None) -> DataFrame:
+    """Savings per repo and lane with subtotals, of the last days before ``now``."""
+    return telemetry.stats_by_group(_log(spark, d, repo, None if all_time else since_days, now))
+
+
+def analyze(spark, d, repo: str | None = None, since_days: int = 30, now=None) -> tuple[DataFrame, DataFrame]:
+    """The summary of the last days and all findings."""
+    log = _log(spark, d, repo, since_days, now)
+    return telemetry.summary(log), telemetry.findings(log, tables.symbols(spark, d))

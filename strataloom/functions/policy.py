@@ -21,9 +21,13 @@ def exclusion_root(path: Column) -> Column:
 
 
 def exclusion_reason(path: Column) -> Column:
-    """policy_excluded, sensitive_or_binary, unsupported_file_type or null."""
-    name = F.lower(F.element_at(F.split(path, "/"), -1))
-    ending = F.regexp_extract(name, r"(\.[^.]*)$", 1)
+    """policy_excluded, sensitive_or_binary, unsupported_file_type or null.
+
+    Names count as they are written and endings in any case; what begins with its only dot has
+    no ending, nor has what ends with a dot.
+    """
+    name = F.element_at(F.split(path, "/"), -1)
+    ending = F.lower(F.regexp_extract(name, r"(?s)^.+(\.[^.]+)$", 1))
     return (
         F.when(exclusion_root(path).isNotNull(), "policy_excluded").when(name.isin(*EXCLUDED_NAMES) | ending.isin(*EXCLUDED_ENDINGS), "sensitive_or_binary")
         .when(~ending.isin(*SUPPORTED_ENDINGS), "unsupported_file_type")

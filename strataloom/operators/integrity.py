@@ -14,22 +14,33 @@ def content_hashes(files: DataFrame) -> DataFrame:
     return files.select("file_id", (F.sha2("content", 256) == F.col("sha256")).alias("hash_matches"), (F.col("bytes").isNull() | (F.col("bytes") == size)).alias("size_matches"), size.cast("long").alias("size"))
 
 
-def verify_symbols(symbols: DataFrame, files: DataFrame) -> DataFrame:
+def verify_symbols(symbols: DataFrame, files: DataFrame, live: DataFrame | None = None) -> DataFrame:
     """The first thing wrong with each symbol, null if nothing is.
 
-    In this order: source_file_missing, range_outside_file, name_not_in_bytes,
-    signature_not_in_bytes. File and section symbols needn't hold their own name.
+    In this order: source_file_missing, name_not_in_bytes (files, nodes of packages and crates and
+    pages with a made-up name needn't hold theirs), signature_not_in_bytes (headings of markdown
+    only) and content_drift, where the bytes in ``live`` (the same files if not given) don't have
+    the symbol's content_hash any more; of a file or such a node, the whole file counts. A
+    symbol without a hash or without a live file hasn't drifted. Offsets past the end give empty
+    bytes.
     """
     at = (symbols.cache_key == files.cache_key) & (symbols.file_path == files.rel_path)
-    body = F.decode(F.substring(files.content, (F.col("byte_offset") + 1).cast("int"), F.col("byte_length").cast("int")), "UTF-8")
-    joined = symbols.join(files, at, "left").select(symbols["*"], body.alias("body"), F.length(files.content).alias("size"))
-    named = F.col("kind").isin("function", "method", "class", "constant", "interface")
-    short = F.when(F.col("signature").isNull(), "").otherwise(F.trim(F.substring_index("signature", "\n", 1)))
+    part = lambda content: F.substring(content, (F.col("byte_offset") + 1).cast("int"), F.col("byte_length").cast("int"))
+    whole = F.col("kind").isin("file", "package", "crate")
+    if live is None:
+        found = symbols.join(files, at, "left").select(symbols["*"], part(files.content).alias("body"), files.content.isNotNull().alias("has"), F.sha2(F.when(whole, files.content).otherwise(part(files.content)), 256).alias("now"))
+    else:
+        now = live.select(F.col("cache_key").alias("l_key"), F.col("rel_path").alias("l_path"), F.col("content").alias("l_content"))
+        there = symbols.join(files, at, "left").select(symbols["*"], part(files.content).alias("body"), files.content.isNotNull().alias("has"))
+        found = there.join(now, (there.cache_key == now.l_key) & (there.file_path == now.l_path), "left").withColumn("now", F.sha2(F.when(whole, F.col("l_content")).otherwise(part(F.col("l_content"))), 256))
+    text = F.decode("body", "UTF-8")
+    made_up = F.coalesce(F.col("metadata.markdown.synthetic_name"), F.lit(False)) if "metadata" in symbols.columns else F.lit(False)
+    heading = (F.col("language") == "markdown") & F.ltrim(F.coalesce("signature", F.lit(""))).startswith("#")
     problem = (
-        F.when(F.col("size").isNull(), "source_file_missing").when(F.col("byte_offset") + F.col("byte_length") > F.col("size"), "range_outside_file")
-        .when(named & ~F.col("body").contains(F.col("name")), "name_not_in_bytes").when(named & (short != "") & ~F.col("body").contains(short), "signature_not_in_bytes")
+        F.when(~F.coalesce("has", F.lit(False)), "source_file_missing").when(~whole & ~made_up & (F.coalesce("name", F.lit("")) != "") & ~text.contains(F.col("name")), "name_not_in_bytes")
+        .when(heading & ~text.contains(F.col("signature")), "signature_not_in_bytes").when((F.coalesce("content_hash", F.lit("")) != "") & (F.col("now") != F.col("content_hash")), "content_drift")
     )
-    return joined.select("ord", problem.alias("problem"))
+    return found.select("ord", problem.alias("problem"))
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from strataloom.functions.times import iso, within_days
+
 #: Seconds for which a search may explain a later get.
 SEARCH_TTL = 300
 
@@ -23,6 +25,7 @@ def from_events(events: DataFrame) -> DataFrame:
         F.when(get, F.when(k % 3 == 0, "function").otherwise("method")).alias("kind"), symbol_bytes.alias("symbol_bytes"), F.when(get, symbol_bytes + k * 7).alias("file_bytes"),
         F.when(get & (k % 5 != 0), k % 10).alias("search_rank"), F.when(get & (k % 4 != 0), k).alias("search_id"), F.when(kind.isin("error", "click"), F.concat(F.lit("q"), k.cast("string"))).alias("query"),
         F.when(kind == "click", F.col("value") > 5.0).alias("has_results"),
+        F.when(kind == "signup", F.when(k % 3 == 0, F.array(F.lit("markdown"))).when(k % 3 == 1, F.array(F.lit("python"), F.lit("markdown")))).alias("languages"),
     )
 
 
@@ -53,6 +56,19 @@ def _savings_sets(gets: DataFrame, by: list[str]) -> DataFrame:
     return rows.select(*by, "gets", "symbol_bytes", saved.alias("saved_bytes"), F.floor(saved / 4).alias("saved_tokens"), F.when(F.col("file_bytes") > 0, F.floor(saved / F.col("file_bytes") * 100)).otherwise(F.lit(0)).alias("saved_pct"), "last_ts")
 
 
+def outline_lanes(log: DataFrame) -> DataFrame:
+    """Outlines per lane: one counts for each lane that it surfaced, and for code if none was noted."""
+    listed = F.coalesce("languages", F.array().cast("array<string>"))
+    code = F.exists(listed, lambda x: x != "markdown") | (F.size(listed) == 0)
+    lanes = F.array_compact(F.array(F.when(code, F.lit("code")), F.when(F.array_contains(listed, "markdown"), F.lit("docs"))))
+    return log.where("event = 'outline'").select(F.explode(lanes).alias("lane")).groupBy("lane").agg(F.count("*").alias("outlines"))
+
+
+def since(log: DataFrame, days: int | None, now: Column | None = None) -> DataFrame:
+    """Events of the last ``days`` before ``now`` (the present if not given); all with None."""
+    return log.where(within_days(F.col("ts"), days, F.current_timestamp() if now is None else now))
+
+
 def stats_by_file(log: DataFrame) -> DataFrame:
     file = F.concat_ws("/", "repo", F.substring_index("symbol_id", "::", 1))
     return _savings(log.where("event = 'get'").withColumn("file", file), "file")
@@ -105,11 +121,35 @@ def hotspots(log: DataFrame, most: int = 10) -> DataFrame:
 
 
 def summary(log: DataFrame) -> DataFrame:
-    """Counts of events, when the first and the last were, and the rate of misses."""
+    """Counts of events, when the first and the last were (also in ISO form), the rate of misses
+    and the share of gets that are related to a search."""
     count = lambda e: F.count(F.when(F.col("event") == e, 1))
     rows = log.agg(count("get").alias("gets"), count("search").alias("searches"), count("miss").alias("misses"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     total = F.col("gets") + F.col("misses")
-    return rows.withColumn("miss_rate", F.when(total > 0, F.col("misses") / total).otherwise(0.0))
+    related = correlated(log).agg(F.count("*").alias("correlated"))
+    rate = F.round(F.when(total > 0, F.col("misses") / total).otherwise(0.0), 3)
+    share = F.round(F.when(F.col("gets") > 0, F.col("correlated") / F.col("gets")).otherwise(0.0), 3)
+    # Both sides are one row.
+    both = rows.withColumn("one", F.lit(1)).join(related.withColumn("one", F.lit(1)), "one").drop("one")
+    return both.select("gets", "searches", "misses", "first_ts", "last_ts", iso(F.col("first_ts")).alias("period_from"), iso(F.col("last_ts")).alias("period_to"), rate.alias("miss_rate"), share.alias("correlated_pct"))
+
+
+def findings(log: DataFrame, symbols: DataFrame) -> DataFrame:
+    """All findings in one table: finding, subject and count; what can't be found gives no row."""
+    none = F.lit(None).cast("string")
+    row = lambda df, name, subject, count: df.select(F.lit(name).alias("finding"), subject.alias("subject"), count.cast("long").alias("count"))
+    parts = [
+        row(search_misses(log), "search_miss", F.col("query"), F.col("misses")),
+        row(blind_spots(log), "search_blind_spot", none, F.col("blind_spots")),
+        row(poor_ranking(log), "search_ranking_poor", none, F.col("poor_ranked")),
+        row(dead_kinds(log, symbols), "kind_dead_weight", F.col("kind"), F.col("indexed_count")),
+        row(poor_extraction(log), "poor_extraction", F.col("language"), F.col("symbol_bytes")),
+        row(hotspots(log), "refetch_hotspot", F.col("symbol_id"), F.col("fetch_count")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def last_search(log: DataFrame, ttl: int = SEARCH_TTL) -> DataFrame:

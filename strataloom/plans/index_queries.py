@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from strataloom.functions import policy, text as X
+from strataloom.functions import policy, text as X, times
 from strataloom.functions.languages import ENDINGS, SPELLINGS
 from strataloom.operators import anchors, content, graph, integrity, resolve, search, tables, telemetry
 from strataloom.runtime import table
@@ -88,21 +88,10 @@ def symbol_content(spark, d):
     return rows.select("ord", F.sha2(F.hex("body").cast("binary"), 256).alias("digest"))
 
 
-@query(f"""WITH {_SYM}, {_FIL}, c AS (SELECT s.ord, s.line, s.end_line, {_lines("replace(decode(f.content), chr(65279), '')")} AS ls FROM sym s JOIN fil f
-  ON s.cache_key = f.cache_key AND s.file_path = f.rel_path WHERE regexp_full_match(hex(f.content), '([0-7].)*'))
-  SELECT ord, greatest(line - 2, 1) AS from_line, least(greatest(end_line, line) + 2, len(ls)) AS to_line FROM c""")
+@query(f"""WITH {_SYM}, {_FIL}, c AS (SELECT s.ord, s.line, s.end_line, {_lines("decode(f.content)")} AS ls FROM sym s JOIN fil f ON s.cache_key = f.cache_key AND s.file_path = f.rel_path)
+  SELECT ord, greatest(line - 2, 1) AS from_line, least(greatest(end_line, line) + 2, len(ls)) AS to_line, sha256(coalesce(array_to_string(ls[greatest(line - 2, 1):least(greatest(end_line, line) + 2, len(ls))], chr(10)), '')) AS digest FROM c""")
 def symbol_context(spark, d):
-    """Line ranges of symbols with two lines of context, only in plain ASCII files, as the SQL can't
-    decode others; symbol_context_bodies has all files."""
-    plain = tables.files(spark, d, "cache_key", "rel_path", "content").where(F.hex("content").rlike("^([0-7].)*$"))
-    rows = content.symbol_context(tables.symbols(spark, d, "cache_key", "file_path", "line", "end_line"), plain, 2)
-    return rows.select("ord", "from_line", "to_line")
-
-
-@query()
-def symbol_context_bodies(spark, d):
-    """Line ranges of all symbols in all files with two lines of context, and a hash of these lines;
-    tested against Python."""
+    """Line ranges of all symbols in all files with two lines of context, and a hash of these lines."""
     rows = content.symbol_context(tables.symbols(spark, d, "cache_key", "file_path", "line", "end_line"), tables.files(spark, d, "cache_key", "rel_path", "content"), 2)
     return rows.select("ord", "from_line", "to_line", F.sha2(F.col("body").cast("binary"), 256).alias("digest"))
 
@@ -113,9 +102,10 @@ def outline_by_file(spark, d):
     return content.outline(tables.symbols(spark, d, "cache_key", "name", "line", "byte_offset"))
 
 
-@query()
+@query(f"""WITH {_SYM}, {_FIL} SELECT ord, (len(list_filter(regexp_extract_all(substring(hex(f.content), 1, (s.byte_offset * 2)::BIGINT), '..'), lambda x: x = '0A')) + 1)::INT AS line
+  FROM sym s JOIN fil f ON s.cache_key = f.cache_key AND s.file_path = f.rel_path""")
 def symbol_lines(spark, d):
-    """The line that each symbol's byte offset lies in; tested against counting in Python."""
+    """The line that each symbol's byte offset lies in."""
     s, f = tables.symbols(spark, d, "cache_key", "file_path", "byte_offset"), tables.files(spark, d, "cache_key", "rel_path", "content")
     return s.join(f, (s.cache_key == f.cache_key) & (s.file_path == f.rel_path)).select("ord", X.line_at(f.content, s.byte_offset).alias("line"))
 
@@ -331,10 +321,11 @@ def paths_budgeted(spark, d):
     return graph.paths_between(asked, e, graph.Limits())
 
 
-@query()
+@query(f"""WITH RECURSIVE {_EDG}, e AS (SELECT DISTINCT from_id AS a, to_id AS b FROM edg WHERE from_id <> '' AND to_id <> ''), f AS (SELECT * FROM e SEMI JOIN (SELECT b AS x FROM e) y ON e.a = y.x SEMI JOIN (SELECT a AS z FROM e) w ON e.b = w.z),
+  r(a, b) AS (SELECT a, b FROM f UNION SELECT r.a, f.b FROM r JOIN f ON r.b = f.a), c AS (SELECT DISTINCT a FROM r WHERE a = b) SELECT DISTINCT a AS node_id FROM (SELECT a FROM c UNION ALL SELECT e.a FROM e JOIN c ON e.b = c.a UNION ALL SELECT e.a FROM e JOIN r ON e.b = r.a JOIN c ON r.b = c.a)""")
 def cycle_reachable(spark, d):
-    """Nodes from which a cycle of import edges can be reached; tested against Python."""
-    return graph.reaching_cycles(tables.edges(spark, d, "from_id", "to_id", "edge_type", "directed").where("edge_type = 'imports'").withColumn("directed", F.lit(True)))
+    """Nodes from which a cycle of edges of any type, each taken in its direction, can be reached."""
+    return graph.reaching_cycles(tables.edges(spark, d, "from_id", "to_id", "edge_type", "directed").withColumn("directed", F.lit(True)))
 
 
 @query(f"""WITH {_EDG}, {_SYM}, nd AS (SELECT DISTINCT id FROM (SELECT id FROM sym UNION ALL SELECT id FROM node_overlays))
@@ -417,18 +408,25 @@ def content_hash_verify(spark, d):
     return integrity.content_hashes(tables.files(spark, d, "content", "sha256", "bytes"))
 
 
-@query()
+_BYTES = "unhex(substring(hex(f.content), (s.byte_offset * 2 + 1)::BIGINT, (s.byte_length * 2)::BIGINT))"
+
+
+@query(f"""WITH {_SYM}, {_FIL}, j AS (SELECT s.*, f.content, TRY(decode({_BYTES})) AS body, {_BYTES} AS part FROM sym s LEFT JOIN fil f ON s.cache_key = f.cache_key AND s.file_path = f.rel_path)
+  SELECT ord, CASE WHEN content IS NULL THEN 'source_file_missing' WHEN kind NOT IN ('file', 'package', 'crate') AND NOT coalesce(metadata.markdown.synthetic_name, false) AND coalesce(name, '') <> '' AND NOT contains(body, name) THEN 'name_not_in_bytes'
+  WHEN language = 'markdown' AND ltrim(coalesce(signature, '')) LIKE '#%' AND NOT contains(body, signature) THEN 'signature_not_in_bytes'
+  WHEN coalesce(content_hash, '') <> '' AND sha256(CASE WHEN kind IN ('file', 'package', 'crate') THEN content ELSE part END) <> content_hash THEN 'content_drift' END AS problem FROM j""")
 def symbols_verified(spark, d):
-    """What is wrong with each symbol's place in its file; tested against Python."""
-    s = tables.symbols(spark, d, "cache_key", "name", "signature", "byte_offset", "byte_length")
+    """What is wrong with each symbol's place in its file."""
+    s = tables.symbols(spark, d, "cache_key", "name", "signature", "byte_offset", "byte_length", "content_hash", "metadata")
     return integrity.verify_symbols(s, tables.files(spark, d, "cache_key", "rel_path", "content"))
 
 
 _PARTS = "string_split(rel_path, '/')"
 _EXCLUDED = f"[{_list(policy.EXCLUDED_DIRECTORIES)}]"
-_NAME = f"lower({_PARTS}[-1])"
-_REASON = f"""CASE WHEN len(list_intersect({_PARTS}, {_EXCLUDED})) > 0 THEN 'policy_excluded' WHEN {_NAME} IN ({_list(policy.EXCLUDED_NAMES)}) OR regexp_extract({_NAME}, '(\\.[^.]*)$', 1) IN ({_list(policy.EXCLUDED_ENDINGS)}) THEN 'sensitive_or_binary'
-  WHEN regexp_extract({_NAME}, '(\\.[^.]*)$', 1) NOT IN ({_list(policy.SUPPORTED_ENDINGS)}) THEN 'unsupported_file_type' END"""
+_NAME = f"{_PARTS}[-1]"
+_SUFFIX = f"CASE WHEN {_NAME} LIKE '_%.%' AND {_NAME} NOT LIKE '%.' AND strpos(substring({_NAME}, 2), '.') > 0 THEN '.' || lower(string_split({_NAME}, '.')[-1]) ELSE '' END"
+_REASON = f"""CASE WHEN len(list_intersect({_PARTS}, {_EXCLUDED})) > 0 THEN 'policy_excluded' WHEN {_NAME} IN ({_list(policy.EXCLUDED_NAMES)}) OR {_SUFFIX} IN ({_list(policy.EXCLUDED_ENDINGS)}) THEN 'sensitive_or_binary'
+  WHEN {_SUFFIX} NOT IN ({_list(policy.SUPPORTED_ENDINGS)}) THEN 'unsupported_file_type' END"""
 _ROOT = f"array_to_string({_PARTS}[1:list_position(list_transform({_PARTS}, lambda x: list_contains({_EXCLUDED}, x)), true)], '/')"
 
 
@@ -455,6 +453,25 @@ def snapshot_diff_samples(spark, d):
     return integrity.diff_samples(integrity.snapshot_diff(*_snapshots(spark, d)))
 
 
+@query(f"""WITH {_EDG}, {_SYM}, nd AS (SELECT id FROM sym)
+  SELECT id, count(*) AS edges FROM (SELECT from_id AS id FROM edg UNION ALL SELECT to_id FROM edg) e WHERE id IS NOT NULL AND id <> '' AND NOT EXISTS (SELECT 1 FROM nd WHERE nd.id = e.id) GROUP BY id""")
+def endpoints_outside_symbols(spark, d):
+    """Endpoints that no symbol is: those that node overlays have to stand for."""
+    return integrity.missing_endpoints(tables.edges(spark, d, "from_id", "to_id"), tables.symbols(spark, d, "id"))
+
+
+_TREE = "r AS (SELECT cache_key, regexp_replace(path, '/+$', '') AS path FROM repositories WHERE path <> '' UNION SELECT cache_key || '#' || split_part(rel_path, '/', 1), regexp_replace(path, '/+$', '') || '/' || split_part(rel_path, '/', 1) FROM files JOIN repositories USING (cache_key) WHERE rel_path LIKE '%/%' AND path <> '')"
+
+
+@query(f"""WITH {_TREE} SELECT a.cache_key, a.path, b.cache_key AS outer_key, b.path AS outer_path FROM r a JOIN r b ON starts_with(a.path, b.path || '/') WHERE b.path <> ''""")
+def nested_root_overlap(spark, d):
+    """Overlaps if every top directory of a repository were a root of its own."""
+    roots = table(spark, d, "repositories").select("cache_key", "path")
+    top = F.split_part("rel_path", F.lit("/"), F.lit(1))
+    inner = table(spark, d, "files").where("rel_path LIKE '%/%'").select("cache_key", top.alias("top")).distinct().join(roots.where("path <> ''"), "cache_key")
+    return integrity.root_overlaps(roots.unionByName(inner.select(F.concat_ws("#", "cache_key", "top").alias("cache_key"), F.concat_ws("/", F.regexp_replace("path", "/+$", ""), "top").alias("path"))))
+
+
 @query("""WITH r AS (SELECT cache_key, regexp_replace(path, '/+$', '') AS path FROM repositories WHERE path <> '')
   SELECT a.cache_key, a.path, b.cache_key AS outer_key, b.path AS outer_path FROM r a JOIN r b ON starts_with(a.path, b.path || '/') WHERE b.path <> ''""")
 def root_overlap(spark, d):
@@ -547,7 +564,8 @@ def finding_refetch_hotspot(spark, d):
     return telemetry.hotspots(_log(spark, d))
 
 
-@query(f"WITH {_LOG}, x AS (SELECT count(*) FILTER (event = 'get') AS gets, count(*) FILTER (event = 'search') AS searches, count(*) FILTER (event = 'miss') AS misses, min(ts) AS first_ts, max(ts) AS last_ts FROM lg) SELECT *, misses / (gets + misses) AS miss_rate FROM x")
+@query(f"""WITH {_LOG}, {_CORRELATED}, x AS (SELECT count(*) FILTER (event = 'get') AS gets, count(*) FILTER (event = 'search') AS searches, count(*) FILTER (event = 'miss') AS misses, min(ts) AS first_ts, max(ts) AS last_ts FROM lg)
+  SELECT *, strftime(first_ts, '%Y-%m-%dT%H:%M:%SZ') AS period_from, strftime(last_ts, '%Y-%m-%dT%H:%M:%SZ') AS period_to, round(misses / (gets + misses), 3) AS miss_rate, round((SELECT count(*) FROM co) / gets, 3) AS correlated_pct FROM x""")
 def usage_summary(spark, d):
     return telemetry.summary(_log(spark, d))
 
@@ -557,3 +575,34 @@ def usage_summary(spark, d):
 def asof_last_search(spark, d):
     return telemetry.last_search(_log(spark, d))
 
+
+
+@query("""WITH o AS (SELECT json_extract_string(props, '$.k')::INT % 3 AS m FROM events WHERE event_type NOT IN ('view', 'purchase', 'click', 'error')), l AS (SELECT 'code' AS lane FROM o WHERE m <> 0 UNION ALL SELECT 'docs' FROM o WHERE m <> 2) SELECT lane, count(*) AS outlines FROM l GROUP BY lane""")
+def stats_outline_lanes(spark, d):
+    return telemetry.outline_lanes(_log(spark, d))
+
+
+_NOW = "2024-01-20 00:00:00"
+
+
+@query(f"WITH {_LOG}, r AS (SELECT * FROM gt WHERE ts >= TIMESTAMP '{_NOW}' - INTERVAL 7 DAY) SELECT repo, lane, {_SAVED} FROM r GROUP BY CUBE (repo, lane)")
+def stats_since(spark, d):
+    """Savings of the seven days before a fixed time."""
+    return telemetry.stats_by_group(telemetry.since(_log(spark, d), 7, F.lit(_NOW).cast("timestamp_ntz")))
+
+
+@query(f"""WITH {_LOG}, {_SYM}, {_CORRELATED}, b AS (SELECT count(*) AS n, count(*) FILTER (search_rank IS NULL) AS blind, count(search_rank) AS ranked, count(*) FILTER (search_rank >= 3) AS poor FROM co)
+  SELECT 'search_miss' AS finding, query AS subject, count(*) AS count FROM lg WHERE event = 'miss' AND query IS NOT NULL AND query <> '' GROUP BY query
+  UNION ALL SELECT 'search_blind_spot', NULL, blind FROM b WHERE n > 0 AND blind >= 0.15 * n UNION ALL SELECT 'search_ranking_poor', NULL, poor FROM b WHERE ranked > 0 AND poor >= 0.2 * ranked
+  UNION ALL SELECT 'kind_dead_weight', kind, count(*) FROM sym WHERE kind <> '' AND kind NOT IN (SELECT kind FROM gt WHERE kind IS NOT NULL) GROUP BY kind HAVING count(*) > 50
+  UNION ALL SELECT 'poor_extraction', language, sum(symbol_bytes)::BIGINT FROM gt WHERE language IS NOT NULL GROUP BY language HAVING sum(file_bytes) > 0 AND 2 * (sum(file_bytes) - sum(symbol_bytes)) < sum(file_bytes)
+  UNION ALL SELECT 'refetch_hotspot', symbol_id, n FROM (SELECT symbol_id, count(*) AS n FROM gt GROUP BY symbol_id HAVING count(*) >= 3 ORDER BY n DESC, symbol_id LIMIT 10)""")
+def usage_findings(spark, d):
+    return telemetry.findings(_log(spark, d), tables.symbols(spark, d))
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, CASE WHEN age < 3600 THEN (age // 60) || 'm ago' WHEN age < 86400 THEN (age // 3600) || 'h ago' WHEN age < 604800 THEN (age // 86400) || 'd ago' ELSE strftime(ts, '%b %-d') END AS ago
+  FROM (SELECT *, (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts)) // 1000000 AS age FROM events)""")
+def event_times(spark, d):
+    """Times of events in ISO form and relative to a fixed time."""
+    return table(spark, d, "events").select("event_id", times.iso(F.col("ts")).alias("iso"), times.relative(F.col("ts"), F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")).alias("ago"))

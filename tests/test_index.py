@@ -73,7 +73,7 @@ def test_context_in_files_of_any_text(spark, tmp_path):
         ls = texts[i].decode("utf-8", errors="replace").splitlines()
         first, last = max(line - 2, 1), min(end + 2, len(ls))
         plain.append((n, first, last, sha256("\n".join(ls[first - 1:last]).encode()).hexdigest()))
-    assert sorted(map(tuple, catalog.QUERIES["symbol_context_bodies"](spark, str(tmp_path)).collect())) == plain
+    assert sorted(map(tuple, catalog.QUERIES["symbol_context"](spark, str(tmp_path)).collect())) == plain
 
 
 def test_pages(spark):
