@@ -1,10 +1,10 @@
 """Documents cut into pieces of at most so many tokens, at natural boundaries where possible.
 
 A text's boundaries form a hierarchy: sections, paragraphs, sentences and lines, words, and at
-last characters. From where a piece begins, the longest stretch that fits is found, and the
-piece ends at the last boundary of the coarsest kind that lies in the stretch's later part;
-only where there is none does a finer kind serve. The next piece begins with the end of this
-one, as much of it as fits the overlap, from a sentence's start if it has one.
+last characters. What is too large is split at all its boundaries of the coarsest kind that it
+has; neighbouring parts are packed greedily as long as they fit, and a part that is itself too
+large is split in the same way by the next finer kind. A piece then begins with the end of the
+one before, as much of it as the overlap allows, from a sentence's start if it has one.
 """
 
 from __future__ import annotations
@@ -87,39 +87,55 @@ class Cutter:
         if size <= self.limit:
             return [(0, len(text), size, 0)], size
         starts, levels, sums, total = self._stretches(text)
-        n, rough = len(starts), bool((levels == 4).any())
+        rough = bool((levels == 4).any())
         offsets = np.append(starts, len(text))
         at = [np.flatnonzero(levels <= k) for k in range(5)]
         out: list[tuple[int, int, int, int]] = []
-        begin = body = 0  # of the piece with its overlap, and of what is new in it
-        while body < n:
-            room = self.limit - (sums[body] - sums[begin])
-            fits = int(np.searchsorted(sums, sums[body] + room, "right")) - 1
-            end = n if fits >= n else self._end(at, sums, body, max(fits, body + 1))
+        waiting = self._split(at, sums, 0, len(starts), 0)[::-1]
+        before = (0, 0)  # what is new in the piece before
+        while waiting:
+            body, end = waiting.pop()
+            begin = self._overlap(at[2], sums, *before) if out else body
             tokens = int(sums[end] - sums[begin])
             if rough:
                 # Sums over parts of an atom are estimates of the whole's tokens.
-                while (tokens := self.tokens.count(text[offsets[begin] : offsets[end]])) > self.limit and end > body + 1:
-                    end -= 1
+                tokens = self.tokens.count(text[offsets[begin] : offsets[end]])
                 if tokens > self.limit and begin < body:
                     begin = body
+                    tokens = self.tokens.count(text[offsets[begin] : offsets[end]])
+                if tokens > self.limit and end > body + 1:
+                    middle = (body + end) // 2
+                    waiting += [(middle, end), (body, middle)]
                     continue
             out.append((int(offsets[begin]), int(offsets[end]), tokens, int(sums[body] - sums[begin])))
-            begin, body = self._overlap(at[2], sums, body, end), end
+            before = (body, end)
         return out, total
 
-    def _end(self, at: list[np.ndarray], sums: np.ndarray, body: int, fits: int) -> int:
-        """Where the piece ends: the last boundary of the coarsest kind in the later half."""
-        least = sums[body] + (sums[fits] - sums[body]) / 2
-        for bounds in at:
-            i = int(np.searchsorted(bounds, fits, "right")) - 1
-            if i >= 0 and bounds[i] > body and sums[bounds[i]] >= least:
-                return int(bounds[i])
-        return fits
+    def _split(self, at: list[np.ndarray], sums: np.ndarray, first: int, last: int, level: int) -> list[tuple[int, int]]:
+        """Stretches of parts that together are ``first`` to ``last``, each with room for the overlap."""
+        room = self.limit - self.overlap
+        if sums[last] - sums[first] <= room or last - first == 1:
+            return [(first, last)]
+        inside = at[level][np.searchsorted(at[level], first, "right") : np.searchsorted(at[level], last, "left")]
+        if not len(inside):
+            return self._split(at, sums, first, last, level + 1)
+        edges = np.concatenate([[first], inside, [last]])
+        up_to = sums[edges]
+        out: list[tuple[int, int]] = []
+        k = 0
+        while k < len(edges) - 1:
+            fits = int(np.searchsorted(up_to, up_to[k] + room, "right")) - 1
+            if fits > k:
+                out.append((int(edges[k]), int(edges[fits])))
+                k = fits
+            else:
+                out += self._split(at, sums, int(edges[k]), int(edges[k + 1]), level + 1)
+                k += 1
+        return out
 
     def _overlap(self, sentences: np.ndarray, sums: np.ndarray, body: int, end: int) -> int:
-        """Where the next piece begins, before ``end`` by at most the overlap."""
-        first = max(int(np.searchsorted(sums, sums[end] - self.overlap, "left")), body)
+        """Where the next piece begins, before ``end`` by at most the overlap and behind the start of ``body``."""
+        first = max(int(np.searchsorted(sums, sums[end] - self.overlap, "left")), body + 1)
         if first >= end:
             return end
         i = int(np.searchsorted(sentences, first, "left"))

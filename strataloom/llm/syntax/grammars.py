@@ -40,9 +40,9 @@ Switch: 'switch' Head? '{' (('case' Exprs | 'default') ':' Stmts)* '}' ;
 Select: 'select' '{' (('case' Simple | 'default') ':' Stmts)* '}' ;
 For: 'for' ForHead? Block ;
 ForHead: 'range' Expr~ | Ranged~ (';' Simple~? ';' Simple~?)? | ';' Simple~? ';' Simple~? ;
-Ranged~: Exprs~ (ASSIGN Exprs~ | '=' Range~ | ':=' Range~ | '++' | '--')? ;
+Ranged~: Exprs~ (ASSIGN Exprs~ | '=' Range~ | &names ':=' Range~ | '++' | '--')? ;
 Range~: 'range' Expr~ | Exprs~ ;
-Simple~: Exprs~ (ASSIGN Exprs~ | '=' Exprs~ | ':=' Exprs~ | '++' | '--')? ;
+Simple~: Exprs~ (ASSIGN Exprs~ | '=' Exprs~ | &names ':=' Exprs~ | '++' | '--')? ;
 Exprs~: Expr~ (',' Expr~)* ;
 Expr~: Unary~ (Bin Unary~)* ;
 Bin: BINOP | '*' | '<-' | '|' | '+' | '&' | '^' | '-' ;
@@ -143,10 +143,12 @@ SCRIPT = r"""
 File: Item* EOF ;
 Item: Statement CUT ;
 Block: '{' Item* '}' ;
-Statement: Block | 'var' Vars &semi | 'const' ConstRest | 'let' Vars &semi | ';' | 'if' '(' Expr ')' Statement ('else' Statement)? | 'for' 'await'? '(' ForHead ')' Statement | 'while' '(' Expr ')' Statement | 'do' Statement 'while' '(' Expr ')' &anysemi | 'continue' (&sameline Name)? &semi | 'break' (&sameline Name)? &semi | 'return' (&sameline Expr)? &semi | 'throw' &sameline Expr &semi | 'try' Block (Catch Finally? | Finally) | 'switch' '(' Expr ')' '{' Case* '}' | 'debugger' &semi | Import | Export | 'function' '*'? Name FnRest | &asyncfn ONLY 'async' 'function' '*'? Name FnRest | Decorator* &nextclass &ts 'abstract' Class | Decorator* Class | &label ONLY Name ':' Statement | &typedecl &ts ONLY TypeDecl | &exprstart Expr &semi ;
+Statement: Block | 'var' Vars &semi | 'const' ConstRest | 'let' Vars &semi | ';' | 'if' '(' Expr ')' Statement ('else' Statement)? | 'for' 'await'? '(' ForHead ')' Statement | 'while' '(' Expr ')' Statement | 'do' Statement 'while' '(' Expr ')' &anysemi | &inloop 'continue' (&sameline Name)? &semi | &inswitch 'break' (&sameline Name)? &semi | &infunction 'return' (&sameline Expr)? &semi | 'throw' &sameline Expr &semi | 'try' Block (Catch Finally? | Finally) | 'switch' '(' Expr ')' '{' Case* '}' | 'debugger' &semi | Import | Export | 'function' '*'? Name FnRest | &asyncfn ONLY 'async' 'function' '*'? Name FnRest | Decorator* &nextclass &ts 'abstract' Class | Decorator* Class | &label ONLY Name ':' Statement | &typedecl &ts ONLY TypeDecl | &exprstart Expr &semi ;
 Catch: 'catch' ('(' Binding TypeAnn? ')')? Block ;
 Finally: 'finally' Block ;
-ConstRest: 'enum' &ts Name EnumBody | Vars &semi ;
+ConstRest: 'enum' &ts Name EnumBody | Consts &semi ;
+Consts: Const (',' Const)* ;
+Const: Binding (TypeAnn ('=' Assign)? | '=' Assign) ;
 Case: ('case' Expr | 'default') ':' Item* ;
 Vars: Var (',' Var)* ;
 Var: Binding ('!' &ts)? TypeAnn? ('=' Assign)? ;
@@ -163,7 +165,7 @@ Export: Decorator* 'export' ExportRest ;
 ExportRest: '*' ('as' (Word | STRING))? 'from' STRING With? &semi | &braceorstar &ts ONLY 'type' (NamedImports ('from' STRING With?)? | '*' ('as' Word)? 'from' STRING) &semi | NamedImports ('from' STRING With?)? &semi | 'default' Default | '=' &ts Expr &semi | 'as' &ts 'namespace' Name &semi | 'import' &ts 'type'? Name '=' Assign &semi | 'var' Vars &semi | 'let' Vars &semi | 'const' ConstRest | 'function' '*'? Name FnRest | &asyncfn ONLY 'async' 'function' '*'? Name FnRest | Decorator* &nextclass &ts 'abstract' Class | Decorator* Class | &ts TypeDecl ;
 Default: 'function' '*'? Name? FnRest | &asyncfn ONLY 'async' 'function' '*'? Name? FnRest | Decorator* (&nextclass &ts 'abstract')? Class | &nameafter &ts ONLY 'interface' Interface | &exprnotdecl Assign &semi ;
 TypeDecl: 'type' Name TypeParams? '=' Type &semi | 'interface' Interface | 'enum' Name EnumBody | 'declare' Declared | ('namespace' | 'module') (Name ('.' Name)* | STRING) (Block | &semi) | 'global' Block ;
-Declared: 'var' Vars &semi | 'let' Vars &semi | 'const' ConstRest | 'function' '*'? Name FnRest | 'async'? 'function' Name FnRest | 'abstract'? Class | TypeDecl ;
+Declared: 'var' Vars &semi | 'let' Vars &semi | 'const' ('enum' Name EnumBody | Vars &semi) | 'function' '*'? Name FnRest | 'async'? 'function' Name FnRest | 'abstract'? Class | TypeDecl ;
 Interface: Name TypeParams? ('extends' Type (',' Type)*)? TypeBody ;
 EnumBody: '{' (EnumMember (',' EnumMember)* ','?)? '}' ;
 EnumMember: (Word | STRING | '[' Expr ']') ('=' Assign)? ;
@@ -182,7 +184,7 @@ Modifier: &memberafter ('static' | 'async' | 'get' | 'set' | 'accessor' | 'publi
 ClassName: &indexsig &ts ONLY '[' Name ':' Type ']' TypeAnn? &semi | PropName (('?' | '!') &ts)? (TypeParams? Params TypeRet? (Block | &ts &semi) | TypeAnn? ('=' Assign)? &semi) ;
 PropName: Word | STRING | NUMBER | PRIVATE | '[' Assign ']' ;
 Expr: Assign (',' Assign)* ;
-Assign: &arrow ONLY Arrow | &arrowmaybe &ts Arrow | 'yield' (&sameline '*'? Assign)? | Cond (AssignOp Assign)? ;
+Assign: &arrow ONLY Arrow | &arrowmaybe &ts Arrow | 'yield' (&sameline '*'? Assign)? | Cond (&target AssignOp Assign)? ;
 AssignOp: '=' | ASSIGN ;
 Arrow: 'async'? (Name | TypeParams? Params TypeRet?) &sameline '=>' (Block | Assign) ;
 Cond: Binary ('?' Assign ':' Assign)? ;
@@ -200,8 +202,8 @@ Array: '[' ','* (Arg (','+ Arg)* ','*)? ']' ;
 Object: '{' (Prop (',' Prop)* ','?)? '}' ;
 Prop: '...' Assign |  &shorthand ONLY Name ('=' Assign)? | &propafter ONLY ('get' | 'set' | 'async') '*'? PropName TypeParams? Params TypeRet? Block | '*' PropName Params TypeRet? Block | PropName (':' Assign | TypeParams? Params TypeRet? Block) ;
 Jsx: JSX_OPEN (JSX_BRACE ('...'? Assign)? JSX_END)* JSX_CLOSE ;
-Word: Name | KEYWORD | 'var' | 'const' | 'if' | 'else' | 'for' | 'while' | 'do' | 'continue' | 'break' | 'return' | 'throw' | 'try' | 'catch' | 'finally' | 'switch' | 'case' | 'default' | 'debugger' | 'import' | 'export' | 'function' | 'class' | 'extends' | 'in' | 'instanceof' | 'typeof' | 'void' | 'delete' | 'new' | 'this' | 'super' | 'null' | 'true' | 'false' | 'enum' | 'with' ;
-Name: IDENT | 'let' | 'async' | 'of' | 'from' | 'as' | 'satisfies' | 'type' | 'interface' | 'declare' | 'namespace' | 'module' | 'global' | 'abstract' | 'static' | 'get' | 'set' | 'accessor' | 'public' | 'private' | 'protected' | 'readonly' | 'override' | 'implements' | 'asserts' | 'is' | 'keyof' | 'unique' | 'infer' | 'await' | 'yield' | 'assert' | 'out' ;
+Word: Name | 'await' | 'yield' | KEYWORD | 'var' | 'const' | 'if' | 'else' | 'for' | 'while' | 'do' | 'continue' | 'break' | 'return' | 'throw' | 'try' | 'catch' | 'finally' | 'switch' | 'case' | 'default' | 'debugger' | 'import' | 'export' | 'function' | 'class' | 'extends' | 'in' | 'instanceof' | 'typeof' | 'void' | 'delete' | 'new' | 'this' | 'super' | 'null' | 'true' | 'false' | 'enum' | 'with' ;
+Name: IDENT | 'let' | 'async' | 'of' | 'from' | 'as' | 'satisfies' | 'type' | 'interface' | 'declare' | 'namespace' | 'module' | 'global' | 'abstract' | 'static' | 'get' | 'set' | 'accessor' | 'public' | 'private' | 'protected' | 'readonly' | 'override' | 'implements' | 'asserts' | 'is' | 'keyof' | 'unique' | 'infer' | 'assert' | 'out' ;
 TypeParams: &ts '<' TypeParam (',' TypeParam)* ','? '>' ;
 TypeParam: ('const' | 'in' | &nameafter 'out')* Name ('extends' Type)? ('=' Type)? ;
 TypeArgs: &ts '<' Type (',' Type)* ','? '>' ;
@@ -229,7 +231,7 @@ Dots: ('.' | '...')+ ;
 Dotted: IDENT ('.' IDENT)* ;
 ImportNames: '*' | '(' ImportName (',' ImportName)* ','? ')' | ImportName (',' ImportName)* ;
 ImportName: IDENT ('as' IDENT)? ;
-Assigned: AUGMENTED Right | ':' Test ('=' Right)? | ('=' Right)* ;
+Assigned: &single AUGMENTED Right | &single ':' Test ('=' Right)? | (&targets '=' Right)* ;
 Right: 'yield' Yield | Stars ;
 Compound: 'if' Named Suite ('elif' Named Suite)* ('else' Suite)? | 'while' Named Suite ('else' Suite)? | For | 'try' Suite (Except+ ('else' Suite)? ('finally' Suite)? | 'finally' Suite) | With | Def | Class | Decorated | 'async' (Def | With | For) | 'match' Stars ':' NEWLINE INDENT Case+ DEDENT ;
 For: 'for' Targets 'in' Stars Suite ('else' Suite)? ;

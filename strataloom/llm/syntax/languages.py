@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import ast
 import re
-import warnings
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -50,9 +48,18 @@ def _go() -> tuple[Table, Callable]:
     c = _Conditions()
     c["&closing"] = c.here(") }")
     c["&label"] = c.next(":")
+    def names(k, i, n, p):
+        # What := declares are names, behind each other.
+        x, j = c.kinds, i - 1
+        while k[j] == x["IDENT"] and k[j - 1] == x[","]:
+            j -= 2
+        return i if k[j] == x["IDENT"] and k[j - 1] not in after else -1
+
+    c["&names"] = names
     c["&literal"] = lambda k, i, n, p: i if k[i - 1] == c.kinds["IDENT"] or k[i - 1] == c.kinds["]"] else -1
     table = Table(Grammar(grammars.GO), "File", c)
     c.kinds = table.kinds
+    after = c.numbers(". + - * & ^ ! ~ <- | BINOP")
     lexer = GoLexer(table.kinds)
     return table, lambda text, path, exact=False: (not exact and lexer.quick(text)) or lexer.tokens(text)
 
@@ -195,8 +202,102 @@ def _script(typed: bool) -> tuple[Table, Callable]:
         x, a = c.kinds, k[i]
         return -1 if a in (x["{"], x["function"], x["class"]) or a == x["let"] and k[i + 1] == x["["] else i
 
+    def opener(k: list[int], i: int) -> int:
+        """The opening bracket of the closing one at ``i``."""
+        depth = 0
+        while i >= 0:
+            if k[i] in closing:
+                depth += 1
+            elif k[i] in opening:
+                depth -= 1
+                if not depth:
+                    return i
+            i -= 1
+        return -1
+
+    def target(k, i, n, p):
+        # What is assigned to isn't a literal, a call or part of a larger expression.
+        x, j = c.kinds, i - 1
+        if k[i] != x["="] and k[i] != x["ASSIGN"]:
+            return i
+        while True:
+            a, b = k[j], k[j - 1] if j else 0
+            if b == x["."] or b == x["?."]:
+                if b == x["?."] and j == i - 1:
+                    return -1
+                j -= 2
+                a = k[j]
+                if a in words:
+                    if j and k[j - 1] in (x["."], x["?."]):
+                        continue
+                    break
+                if a in (x[")"], x["]"], x["}"]):
+                    j = opener(k, j)
+                    if j > 0 and (k[j - 1] in words or k[j - 1] in (x[")"], x["]"])) and k[j - 1] not in blocks:
+                        j -= 1
+                        continue
+                break
+            if a in literals:
+                return -1
+            if a == x[")"]:
+                j = opener(k, j)
+                if j > 0 and j != i - 1 and (k[j - 1] in names or k[j - 1] in (x[")"], x["]"])) and not n[j]:
+                    return -1
+                return i
+            if a == x["]"]:
+                j = opener(k, j)
+                if j > 0 and (k[j - 1] in words or k[j - 1] in (x[")"], x["]"])) and not n[j] and k[j - 1] not in blocks:
+                    j -= 1
+                    if k[j] in (x[")"], x["]"]):
+                        return i
+                    continue
+                return i
+            break
+        before = k[j - 1] if j > 0 else 0
+        return -1 if before in operators and not (n[j] and before in steps) else i
+
+    def owner(k: list[int], brace: int) -> int:
+        """The word that a block belongs to, 0 if it stands alone, -1 for a function or what may be one."""
+        x = c.kinds
+        b = k[brace - 1] if brace else 0
+        if not brace or b in (x[";"], x["{"], x["}"]):
+            return 0
+        if b in (x["else"], x["do"], x["try"], x["finally"]):
+            return b
+        if b == x[")"]:
+            j = opener(k, brace - 1)
+            word = k[j - 1] if j > 0 else 0
+            return word if word in blocks and k[j - 2 if j > 1 else 0] != x["."] else -1
+        return -1
+
+    def enclosed(wanted: frozenset[int], functions: bool) -> Callable:
+        def check(k, i, n, p):
+            x = c.kinds
+            if not functions and (k[i - 1] not in (x[";"], x["{"], x["}"]) or not i or k[i + 1] in names and not n[i + 1]):
+                return i
+            brace = p.around(i, jumps)
+            while brace >= 0:
+                found = owner(k, brace)
+                if found == -1:
+                    # A function's body, or what isn't known to be none.
+                    return i if functions or k[brace - 1] not in (x["=>"], x[")"]) else -1
+                if found in wanted:
+                    return i
+                if not functions and found:
+                    # A loop without a brace may stand before the word.
+                    j = brace - 1 if found in (x["else"], x["do"], x["try"], x["finally"]) else opener(k, brace - 1) - 1
+                    if j > 0 and k[j - 1] not in (x[";"], x["{"], x["}"]):
+                        return i
+                brace = p.around(brace, jumps)
+            return -1
+
+        return check
+
     sameline = lambda k, i, n, p: -1 if n[i] else i
     c |= {"&semi": semi, "&arrow": arrow, "&arrowmaybe": arrow_maybe, "&fntype": function_type, "&typedecl": type_declaration, "&typeimport": type_import, "&labelled": labelled, "&mapped": mapped, "&aftertypes": after_types, "&exprstart": expression_start, "&sameline": sameline}
+    c["&target"] = target
+    for name in ("&inloop", "&inswitch", "&infunction"):
+        c[name] = lambda k, i, n, p, name=name: within[name](k, i, n, p)
     c["&anysemi"] = lambda k, i, n, p: i + 1 if k[i] == c.kinds[";"] else i
     c["&exprnotdecl"] = c.here("function class", False)
     c["&label"] = c.next(":")
@@ -223,6 +324,15 @@ def _script(typed: bool) -> tuple[Table, Callable]:
     names |= {v for v, k in by_number.items() if k == "IDENT" or k.isalpha() and k.islower() and k not in reserved}
     declared = c.numbers("var let const function async abstract class type interface enum namespace module global")
     calls = c.numbers("( TEMPLATE TEMPLATE_HEAD")
+    opening, closing = c.numbers("( [ {"), c.numbers(") ] }")
+    words = frozenset(v for k, v in table.kinds.items() if k in ("IDENT", "KEYWORD", "PRIVATE") or k.isalpha() and k.islower())
+    literals = c.numbers("NUMBER STRING REGEX TEMPLATE TEMPLATE_TAIL null true false this super")
+    operators = c.numbers("BINOP UNOP + - * | & ! typeof void delete await instanceof ++ --" + ("" if typed else " < >"))
+    steps = c.numbers("++ --")
+    blocks = c.numbers("if for while switch catch with")
+    jumps = c.numbers("return break continue")
+    loops = c.numbers("for while do")
+    within = {"&inloop": enclosed(loops, False), "&inswitch": enclosed(loops | c.numbers("switch"), False), "&infunction": enclosed(frozenset(), True)}
     operands = names | c.numbers("NUMBER STRING REGEX this super null true false [ { function class new import PRIVATE JSX_OPEN ! + - typeof void delete ++ -- UNOP")
     lexer = ScriptLexer(table.kinds, typed)
     return table, lambda text, path, exact=False: (not exact and lexer.quick(text, _has_jsx(path))) or lexer.tokens(text, _has_jsx(path))
@@ -230,10 +340,85 @@ def _script(typed: bool) -> tuple[Table, Callable]:
 
 def _python() -> tuple[Table, Callable]:
     c = _Conditions()
+
+    def closed(k: list[int], i: int, end: int) -> int:
+        """The closing bracket of the opening one at ``i``, before ``end``."""
+        depth = 0
+        for j in range(i, end):
+            depth += (k[j] in opening) - (k[j] in closing)
+            if not depth:
+                return j
+        return end
+
+    def one(k: list[int], a: int, b: int, plain: bool) -> bool:
+        """Whether tokens ``a`` to ``b`` are one target; ``plain`` ones are no lists of targets."""
+        x = c.kinds
+        if not plain and k[a] == x["*"]:
+            a += 1
+        if a >= b:
+            return False
+        last, j = k[a], a + 1
+        if k[a] in opening:
+            j = closed(k, a, b) + 1
+            if j >= b:
+                if k[a] == x["{"]:
+                    return False
+                return one(k, a + 1, b - 1, True) if plain and k[a] == x["("] else not plain and several(k, a + 1, b - 1)
+            last = -1
+        elif k[a] != x["IDENT"]:
+            if k[a] not in atoms:
+                return False
+            last = -1
+        while j < b:
+            if k[j] == x["."]:
+                last, j = x["IDENT"], j + 2
+            elif k[j] == x["["] or k[j] == x["("]:
+                last = x["IDENT"] if k[j] == x["["] else -1
+                j = closed(k, j, b) + 1
+            else:
+                return False
+        return last == x["IDENT"]
+
+    def several(k: list[int], a: int, b: int) -> bool:
+        x, start, depth = c.kinds, a, 0
+        for j in range(a, b):
+            if k[j] in opening:
+                depth += 1
+            elif k[j] in closing:
+                depth -= 1
+            elif not depth and k[j] == x[","]:
+                if not one(k, start, j, False):
+                    return False
+                start = j + 1
+        return start >= b and b >= a or one(k, start, b, False)
+
+    def assigned(plain: bool) -> Callable:
+        def check(k, i, n, p):
+            x, j, depth = c.kinds, i - 1, 0
+            if plain and k[i] != x["AUGMENTED"] and k[i] != x[":"] or not plain and k[i] != x["="]:
+                return i
+            while j >= 0:
+                a = k[j]
+                if a in closing:
+                    depth += 1
+                elif a in opening:
+                    depth -= 1
+                elif not depth and a in edges:
+                    break
+                j -= 1
+            if not plain and k[j + 1] == x["yield"]:
+                return -1
+            return i if (one(k, j + 1, i, True) if plain else several(k, j + 1, i)) else -1
+
+        return check
+
+    c["&single"], c["&targets"] = assigned(True), assigned(False)
     c["&walrus"] = c.next(":=")
     c["&kwarg"] = c.next("=")
     table = Table(Grammar(grammars.PYTHON), "File", c)
     c.kinds = table.kinds
+    opening, closing, edges = c.numbers("( [ {"), c.numbers(") ] }"), c.numbers("NEWLINE INDENT DEDENT ; = :")
+    atoms = c.numbers("STRINGS NUMBER None True False ...")
     lexer = PythonLexer(table.kinds)
     return table, lambda text, path, exact=False: (not exact and lexer.quick(text)) or lexer.tokens(text)
 
@@ -248,7 +433,7 @@ def first_error(language: str, path: str, content: bytes) -> tuple[int, int, str
     """Line and column (from 1) and message of the first unrecoverable error, or None if valid.
 
     An empty content and a leading byte order mark are valid. Bytes that aren't UTF-8 are an
-    error where they stand. For Python, the interpreter's own grammar decides after the table.
+    error where they stand. What Python's formatted strings hold is parsed by the same table.
     """
     if content.startswith(b"\xef\xbb\xbf"):
         content = content[3:]
@@ -257,18 +442,31 @@ def first_error(language: str, path: str, content: bytes) -> tuple[int, int, str
     try:
         text = content.decode("utf-8")
     except UnicodeDecodeError as e:
-        if language != "python":
-            return (*_place(content[: e.start].decode("utf-8", "replace"), e.start), "not UTF-8")
-        text = content.decode("utf-8", "replace")
+        at = content[: e.start].decode("utf-8", "replace")
+        if language != "python" or not _CODING.match(content):
+            return (*_place(at, len(at)), "not UTF-8")
+        text = content.decode("latin-1")
     table, lexer = parser(language)
     tokens = lexer(text, path.lower())
     failed = table.parse(tokens.kinds, tokens.newline, tokens.partner)
     if failed >= 0 and not tokens.starts:
         tokens = lexer(text, path.lower(), True)
         failed = table.parse(tokens.kinds, tokens.newline, tokens.partner)
+    if failed >= 0:
+        return _reported(text, tokens, failed)
     if language == "python":
-        return _checked_python(content, text, tokens, failed)
-    return _reported(text, tokens, failed) if failed >= 0 else None
+        for literal in tokens.strings:
+            problem = _formatted(literal.lstrip(" \t\f"))
+            if problem:
+                return (*_place(text, text.find(literal)), problem)
+        at = text.find("\0")
+        if at >= 0:
+            return (*_place(text, at), "null character")
+    return None
+
+
+#: A Python source that names its own encoding in one of its first two lines.
+_CODING = re.compile(rb"(?:[^\n]*\n)?[ \t\f]*#[^\n]*?coding[:=][ \t]*[-\w.]+")
 
 
 def _place(text: str, offset: int) -> tuple[int, int]:
@@ -282,15 +480,87 @@ def _reported(text: str, tokens, failed: int) -> tuple[int, int, str]:
     return (*_place(text, start), f"unexpected {found}")
 
 
-def _checked_python(content: bytes, text: str, tokens, failed: int) -> tuple[int, int, str] | None:
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(content)
+_PREFIX = re.compile(r"([A-Za-z]{0,2})(\"{3}|'{3}|[\"'])")
+
+
+def _formatted(literal: str) -> str | None:
+    """What is wrong with the fields of a formatted string, None for other strings."""
+    m = _PREFIX.match(literal)
+    if not m or not {"f", "t"} & set(m[1].lower()):
         return None
-    except SyntaxError as e:
-        if failed >= 0:
-            return _reported(text, tokens, failed)
-        return e.lineno or 1, e.offset or 1, str(e.msg)
-    except (ValueError, RecursionError, MemoryError) as e:
-        return 1, 1, str(e)
+    body = literal[m.end() : len(literal) - len(m[2])]
+    return _fields(body.replace("\\N", "\\n") if "r" in m[1].lower() else body, False)
+
+
+@lru_cache(maxsize=50_000)
+def _fields(body: str, spec: bool) -> str | None:
+    """What is wrong with the fields in a formatted string's body, or in a field's format."""
+    i, n = 0, len(body)
+    while i < n:
+        c = body[i]
+        if c == "\\" and not spec:
+            named = body.find("}", i) if body.startswith("\\N{", i) else -1
+            i = named + 1 if named > 0 else i + (1 if body[i + 1 : i + 2] in ("{", "}") else 2)
+            continue
+        if c in "{}" and body[i : i + 2] == c + c and not spec:
+            i += 2
+            continue
+        if c == "}":
+            return "single } in a formatted string"
+        if c != "{":
+            i += 1
+            continue
+        start = i = i + 1
+        depth, quote = 0, ""
+        while i < n:
+            c = body[i]
+            if quote:
+                if c == "\\":
+                    i += 1
+                elif body.startswith(quote, i):
+                    i += len(quote) - 1
+                    quote = ""
+            elif c in "\"'":
+                quote = body[i : i + 3] if body[i : i + 3] == 3 * c else c
+                i += len(quote) - 1
+            elif c in "([{":
+                depth += 1
+            elif depth and c in ")]}":
+                depth -= 1
+            elif not depth and (c in "}:" or c == "!" and body[i + 1 : i + 2] != "="):
+                break
+            i += 1
+        expression = body[start:i].rstrip()
+        if expression.endswith("=") and not expression.endswith(("==", "!=", "<=", ">=")):
+            expression = expression[:-1]
+        if i >= n or not expression.strip() or not _expression(expression.strip()):
+            return "invalid expression in a formatted string"
+        if body[i] == "!":
+            m = re.compile(r"![rsa](?=[:}])").match(body, i)
+            if not m:
+                return "invalid conversion in a formatted string"
+            i = m.end()
+        if body[i] == ":":
+            start, depth = i + 1, 0
+            while i + 1 < n:
+                i += 1
+                if body[i] == "{":
+                    depth += 1
+                elif body[i] == "}":
+                    if not depth:
+                        break
+                    depth -= 1
+            if i >= n or body[i] != "}" or depth:
+                return "unclosed field in a formatted string"
+            problem = _fields(body[start:i], True)
+            if problem:
+                return problem
+        i += 1
+    return None
+
+
+@lru_cache(maxsize=50_000)
+def _expression(text: str) -> bool:
+    table, lexer = parser("python")
+    tokens = lexer(f"({text}\n)", "", True)
+    return table.parse(tokens.kinds, tokens.newline, tokens.partner) < 0 and not any(map(_formatted, tokens.strings))

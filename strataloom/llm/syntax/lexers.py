@@ -13,7 +13,7 @@ places), and ``tokens`` then serves. Starts are wanted only where there is an er
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 BAD = -1
 #: Tokens of Rust that only macros hold.
@@ -27,6 +27,8 @@ class Tokens:
     starts: list[int]
     newline: list[bool]
     partner: Partners | list
+    #: Python's strings that hold braces, for those that are formatted.
+    strings: list[str] = field(default_factory=list)
 
 
 class _Memo(dict):
@@ -53,7 +55,7 @@ class Partners:
     """
 
     def __init__(self, kinds: list[int], table: dict[str, int]):
-        self.kinds, self.table, self.found = kinds, table, None
+        self.kinds, self.table, self.found, self.braces = kinds, table, None, None
 
     def __getitem__(self, i: int) -> int:
         if self.found is None:
@@ -71,6 +73,22 @@ class Partners:
         return self.found[i]
 
 
+    def around(self, i: int, asked: frozenset[int]) -> int:
+        """The innermost brace that is open at token ``i`` (one of the kinds ``asked``, or a brace), or -1."""
+        if self.braces is None:
+            t, self.braces, waiting = self.table, {}, [-1]
+            for j, k in enumerate(self.kinds):
+                if k == t["{"]:
+                    self.braces[j] = waiting[-1]
+                    waiting.append(j)
+                elif k == t["}"]:
+                    if len(waiting) > 1:
+                        waiting.pop()
+                elif k in asked:
+                    self.braces[j] = waiting[-1]
+        return self.braces.get(i, -1)
+
+
 # What the memos say of texts that aren't tokens of the grammar.
 _SKIP, _LINE, _SKIP_LINES, _SLOW, _PARTS = -10, -11, -12, -13, -14
 
@@ -553,8 +571,8 @@ class PythonLexer:
         r"\#[^\n\r]*",
         r"\\(?:\r\n|\r|\n)",
         rf"(?:[fFtT][rR]?|[rR][fFtT])(?:{_HOLES_2}|{_HOLES_1})|"
-        r'''(?:[rRbBuUfFtT]{0,2})(?:"""(?:[^\\]|\\[\s\S])*?"""|"(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*")'''
-        r"""|(?:[rRbBuUfFtT]{0,2})(?:'''(?:[^\\]|\\[\s\S])*?'''|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*')""",
+        r'''(?:[rRbBuUfFtT]{0,2})(?:"""(?:[^\\]|\\[\s\S])*?"""|"(?!"")(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*")'''
+        r"""|(?:[rRbBuUfFtT]{0,2})(?:'''(?:[^\\]|\\[\s\S])*?'''|'(?!'')(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*')""",
         r"[^\W\d]\w*",
         r"0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?",
         r"\*\*=|//=|>>=|<<=|\.\.\.|!=|->|:=|\+=|-=|\*=|/=|%=|@=|&=|\|=|\^=|==|<=|>=|\*\*|//|<<|>>|[-+*/%@&|^~<>=()\[\]{},:.;]",
@@ -620,7 +638,7 @@ class PythonLexer:
             kinds.append(new)
         kinds += [dedent] * (len(indents) - 1)
         kinds.append(0)
-        return Tokens(kinds, [], [], [])
+        return Tokens(kinds, [], [], [], [x for x, k in zip(texts, found) if k == strings and ("{" in x or "}" in x)])
 
     def tokens(self, text: str) -> Tokens:
         t = self.table
@@ -628,6 +646,7 @@ class PythonLexer:
         starts: list[int] = []
         first: list[int] = []  # indexes of the tokens that begin logical lines
         texts: list[str] = []
+        strings: list[str] = []
         depth, fresh, begin, white, indents = 0, True, int(text[:1] in (" ", "\t", "\f")), "", [0]
 
         def add(k: int, at: int, word: str = "") -> None:
@@ -666,6 +685,8 @@ class PythonLexer:
             if g == 5:
                 k = self.names.get(word, t["IDENT"])
             elif g == 4:
+                if "{" in word or "}" in word:
+                    strings.append(word)
                 if kinds and kinds[-1] == t["STRINGS"]:
                     continue
                 k = t["STRINGS"]
@@ -697,4 +718,4 @@ class PythonLexer:
                 kinds[i] = t["type"]
         kinds.append(0)
         starts.append(len(text))
-        return Tokens(kinds, starts, [], [])
+        return Tokens(kinds, starts, [], [], strings)

@@ -175,7 +175,7 @@ class Table:
                 return self._expanded(self._alone(options[0]) + a[1:], k, depth + 1)
         return a
 
-    def parse(self, kinds: Sequence[int], newline: Sequence[bool] | None = None, partner: Sequence[int] | None = None, most_steps: int = 50_000_000) -> int:
+    def parse(self, kinds: Sequence[int], newline: Sequence[bool] | None = None, partner: Sequence[int] | None = None) -> int:
         """-1 if the tokens are a sentence of the grammar, else the index of the first that can't be.
 
         ``kinds`` ends with 0. ``newline`` tells of each token whether a line ends before it, and
@@ -184,7 +184,7 @@ class Table:
         actions = self.actions
         stack: tuple | None = (self.start, None)
         choices: list[tuple] = []
-        at = furthest = steps = 0
+        at = furthest = 0
         kind = kinds[0]
         while stack is not None:
             symbol, stack = stack
@@ -224,8 +224,7 @@ class Table:
                     continue
             if at > furthest:
                 furthest = at
-            steps += 1
-            if not choices or steps > most_steps:
+            if not choices:
                 return furthest
             entry, i, stack, at = choices.pop()
             kind = kinds[at]

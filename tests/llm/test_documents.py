@@ -186,3 +186,15 @@ def test_every_limit_can_bind(spark):
     boxes = {r.container: r for r in packing.containers(rows, 512, 16, 100).collect()}
     assert all(r.used <= 512 and r.segments <= 16 and r.loss <= 100 for r in boxes.values())
     assert any(r.segments == 16 for r in boxes.values()) and any(r.loss > 60 and r.used < 400 for r in boxes.values())
+
+
+def test_what_is_too_large_is_split_by_the_next_finer_kind():
+    small, large = "few words here.\n\n", "\n\n".join("some words in one paragraph " * 40 + "end." for _ in range(12))
+    text = f"# A\n\n{small}# B\n\n{large}\n\n# C\n\n{small}# D\n\n{small}"
+    found, _ = pieces.Cutter(counter()).pieces(text)
+    ends = [text[b:].lstrip()[:3] for _, b, *_ in found]
+    # The large section is cut at its paragraphs, and what is around it stays together.
+    assert ends[0] == "# B" and ends[-2] == "# C" and ends[-1] == ""
+    assert all(e == "som" for e in ends[1:-2]) and len(ends) >= 5
+    for (a, b, tokens, shared), (c, *_) in zip(found, found[1:]):
+        assert tokens <= 1024 and c <= b

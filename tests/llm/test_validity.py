@@ -112,3 +112,49 @@ def test_operator(spark):
     assert [r.file_id for r in validity.invalid_files(files).collect()] == [2]
     assert {(r.cache_key, r.language, r.files, r.invalid, r.rate) for r in validity.validity_rates(files).collect()} == {("k", "go", 2, 1, 0.5), (None, "rust", 1, 0, 0.0)}
     assert validity.checked_files(spark.createDataFrame([], schema)).count() == 0
+
+
+EARLY = {
+    "javascript": ["1 = 2;", "const a;", "return 1;", "function f(){ break; }", "await = 1", "f() = 1", "a + b = 1", "if (x) { return }", "while (x) { (() => { continue; })() }"],
+    "go": ["package a\nfunc f() { a + b := 1 }\n", "package a\nfunc f() { x.y, c := 1 }\n"],
+    "python": ["1 = 2", "f() = 1", "x, f() = 1", "a + b = 1", "x: int, y = 1", "(a, b) += 1", 'f"{a!z}"', 'f"{}"', 'f"{a +}"', 'f"{(a}"', 'f"{a:{b+}}"', '"""a"b" ""', "'''a\n''"],
+}
+LATE = {
+    "javascript": ["a = b = c; a.b = 1; [a, b] = c; ({a} = b); f().x = 1; x = y\n++z\nw = 1\nthis.x = 1; a.this = 2; a.b[c](d).e = 5; for (;;) if (x) { break } switch (x) { case 1: f(); break; default: { break; } }", "x.map(function () { return 1 }); class A { m() { if (x) { return } try { return } catch { return } } } lbl: { break lbl; } do { break; } while (x); const z = await f();"],
+    "typescript": ["a! = 1; (a as any) = 2; const c: number; declare const d; function f(this: A): B<C> { return 1 } class Q { x: number = 1; m(): { a: 1 } { return 1 } }"],
+    "go": ["package a\nfunc f() { for i, x := range y { }; if v, ok := m[x]; ok {}; a := 1 }\n"],
+    "python": ["a = b = 1; a.b, c[0] = 1, 2; (a) = 1; (a, b) = 1; [a, *b] = c; a.b += 1; self.x: int = 2\nx = yield\n() = x\n'a'.b = 1\n", "f\"{a!r:>{w}} {b=} {c:%Y-%m} {{}} {d['x']} {'a' if b != c else {1: 2}[1]}\" rf'{x}\\{y}'\n"],
+}
+
+
+@pytest.mark.parametrize(("language", "text"), [(k, t) for k, ts in EARLY.items() for t in ts])
+def test_early_errors(language, text):
+    assert first_error(language, f"a.{ENDING[language]}", text.encode()) is not None
+
+
+@pytest.mark.parametrize(("language", "text"), [(k, t) for k, ts in LATE.items() for t in ts])
+def test_what_looks_like_early_errors(language, text):
+    assert first_error(language, f"a.{ENDING[language]}", text.encode()) is None
+
+
+def test_the_python_table_agrees_with_the_interpreter(small):
+    import random
+    import re
+
+    import duckdb
+
+    rows = [c.decode().lstrip("﻿") for (c,) in duckdb.sql(f"SELECT DISTINCT ON (file_id) content FROM '{small}/files.parquet' WHERE rel_path LIKE '%.py' AND content IS NOT NULL").fetchall()]
+    rng = random.Random(9)
+    for n in range(600):
+        words = re.findall(r"\w+|[^\w\s]|\s+", rng.choice(rows)[:3000]) or ["x"]
+        k, j = rng.randrange(len(words)), rng.randrange(len(words))
+        words[k : k + 1] = [[], [words[k], words[j]], [words[j]]][n % 3]
+        text = "".join(words) if n > 20 else rows[n % len(rows)]
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                ast.parse(text.encode())
+            valid = True
+        except SyntaxError:
+            valid = False
+        assert (first_error("python", "a.py", text.encode()) is None) is valid or not text.strip(), text
