@@ -1,10 +1,12 @@
 """Source files that were generated, minified or vendored, or that are data saved as code.
 
-Every file and every directory of a repository's tree is a variable with five labels. A file's
-own evidence (name, head and shape of its content) and a directory's own evidence (its name)
-are unary factors; a directory and its children, files as well as directories, are joined by a
-compatibility, so that siblings tell of each other through their directory. The graph is a
-tree, and sum-product belief propagation is exact with one pass up and one pass down, a level
+Every file and every directory of a repository's tree is a variable with five labels, of which
+generated and vendored have two states: of those that leave marks in their files and of those
+that leave none. A file's own evidence (name, head and shape of its content) is a unary factor;
+a directory and its children, files as well as directories, are joined by a compatibility, so
+that siblings tell of each other through their directory. What a directory's name says is part
+of its compatibility with its parent: a name like vendor marks where something else begins. All
+factors are finite and messages pass both ways along every edge. The graph is a tree, and sum-product belief propagation is exact with one pass up and one pass down, a level
 of directories at a time. Messages of files are summed before they are shuffled, and the passes
 run over the table of directories; files are joined to it once at the end.
 """
@@ -23,6 +25,8 @@ from strataloom.functions.languages import is_programming
 from strataloom.runtime import cut
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
+#: States of a variable: the labels, and generated and vendored without marks.
+STATES = (*LABELS, "generated_unmarked", "vendored_unmarked")
 
 # Directory names and file name endings that tell of a file's origin.
 VENDOR_DIRS = ("vendor", "vendored", "_vendor", "node_modules", "bower_components", "jspm_packages", "third_party", "third-party", "thirdparty", "3rdparty", "external", "extern", "site-packages", "dist-packages", "godeps")
@@ -49,7 +53,7 @@ _PREAMBLE = re.compile(r"\s*(package|module|from __future__|[\"']use strict)")
 _IMPORT = re.compile(r"\s*(package\b|module\b|[\"']use strict|import\b|from\s+\S+\s+import\b|(pub(\([^)]*\))?\s+)?use\s|extern\s+crate\b|export\b[^=;(]*\bfrom\b|(const|let|var)\s+[^=;]+=\s*require\s*\(|require\s*\()")
 _BANNER = re.compile(r"^\s*/\*[^\n]*?\*/\s*")
 _DOC = re.compile(r'\s*(?:[rbu]{0,2}"""[^"]*"""|[rbu]{0,2}\'\'\'[^\']*\'\'\')')
-_LITERAL_LINE = re.compile(r"""^[\s\[\](){},;:|+&'"-]*(?:(?:-?0[xXbo][0-9a-fA-F_]+|-?\d[\d_.eE+-]*[a-z0-9]{0,3}|[bur]{0,2}"(?:[^"\\\n]|\\.)*"|[bur]{0,2}'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|true|false|null|None|True|False)[\s\[\](){},;:|+=>-]*)+$""")
+_LITERAL_LINE = re.compile(r"""^[\s\[\](){},;:|+&'"-]*(?>(?:-?0[xXbo][0-9a-fA-F_]+|-?\d[\d_.eE+-]*[a-z0-9]{0,3}|[bur]{0,2}"(?:[^"\\\n]|\\.)*"|[bur]{0,2}'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|true|false|null|None|True|False)[\s\[\](){},;:|+=>-]*+)++$""")
 _DATA_START = re.compile(r"""^\s*(?:(?:pub|export|static|const|let|var|final|default)\s+)*(?:static|const|let|var)?\s*[\w$.]+(?:\s*:\s*[^=]{1,60})?\s*(?:=|:=)?\s*(?:&?\[|\{|\(|\[\]\w+\{|b?["'`])|^\s*(?:package|module|use|import|from)\b[^(){}]*$""")
 _WORDS, _NUMBERS = re.compile(r"[A-Za-z_$]\w*"), re.compile(r"\d+")
 _QUOTED_RUN = re.compile(r"""["'`][^"'`\n]{60,}["'`]|(?:-?(?:0x[0-9a-fA-F]+|\d+(?:\.\d+)?)\s*,\s*){12,}""")
@@ -118,7 +122,7 @@ def tail_of(text: str) -> str:
 
 
 def file_evidence(path: str | None, content: bytes | None) -> tuple[float, ...]:
-    """Log evidence of a file for each label, relative to handwritten.
+    """Log evidence of a file for each state, relative to handwritten.
 
     Null content or an empty file has no evidence but its name's; code without any mark has a
     little for handwritten. The weights are log odds set
@@ -166,7 +170,7 @@ def file_evidence(path: str | None, content: bytes | None) -> tuple[float, ...]:
                 generated += 8 * min(1.0, (0.33 - distinct) / 0.1)
     if not (generated or minified or vendored or blob) and size >= 60:
         return UNMARKED
-    return 0.0, generated, minified, vendored, blob
+    return 0.0, generated, minified, vendored, blob, generated - MARKED, vendored - MARKED
 
 
 def _is_literal(line: str) -> bool:
@@ -174,7 +178,7 @@ def _is_literal(line: str) -> bool:
     if len(line) >= 120 and _mostly_data(line):
         return True
     first = line.lstrip()[:1]
-    return first not in _NO_VALUE and len(line) < 5000 and _LITERAL_LINE.match(line) is not None
+    return first not in _NO_VALUE and _LITERAL_LINE.match(line) is not None
 
 
 def _mostly_data(line: str) -> bool:
@@ -182,39 +186,72 @@ def _mostly_data(line: str) -> bool:
     return sum(len(m) for m in _QUOTED_RUN.findall(line)) > 0.8 * len(line)
 
 
-# Log prior of a root, and compatibilities P(file | directory) and P(directory | its parent). A
-# directory without a telling name is nearly always what its parent is.
-ROOT_PRIOR = (0.0, -7.0, -7.0, -7.0, -7.0)
-_FILE = {
-    "handwritten": (0.96, 0.01, 0.01, 0.01, 0.01),
-    "generated": (0.015, 0.96, 0.005, 0.01, 0.01),
-    "minified": (0.30, 0.02, 0.66, 0.01, 0.01),
-    "vendored": (0.004, 0.004, 0.004, 0.984, 0.004),
-    "blob": (0.30, 0.02, 0.01, 0.01, 0.66),
-}
-COMPATIBLE = np.log(np.array([_FILE[parent] for parent in LABELS]))
-#: Log chance of another label than the parent's: what lies below a vendored or generated
-#: directory is of its kind, however many files there look handwritten.
-_SWITCH = {"handwritten": -14.0, "generated": -150.0, "minified": -4.0, "vendored": -150.0, "blob": -4.0}
-COMPATIBLE_DIRS = np.array([[0.0 if child == parent else _SWITCH[parent] for child in LABELS] for parent in LABELS])
-#: Log evidence of code that carries no mark at all: most files of the other labels carry one.
-UNMARKED = (0.0, -3.0, -3.0, -0.5, -3.0)
-_N = len(LABELS)
+#: Log prior of a root, by state.
+ROOT_PRIOR = (0.0, -7.0, -7.0, -7.0, -7.0, -7.5, -7.5)
+# P(file | its directory) by states in their order. What files without marks say is nearly the
+# same for directories of handwritten and of unmarked files.
+_FILE = (
+    (0.963, 0.008, 0.008, 0.008, 0.003, 0.005, 0.005),
+    (0.020, 0.940, 0.005, 0.010, 0.005, 0.015, 0.005),
+    (0.300, 0.020, 0.640, 0.010, 0.010, 0.010, 0.010),
+    (0.010, 0.005, 0.005, 0.955, 0.005, 0.005, 0.015),
+    (0.300, 0.020, 0.010, 0.010, 0.640, 0.010, 0.010),
+    (0.020, 0.006, 0.008, 0.008, 0.003, 0.950, 0.005),
+    (0.012, 0.004, 0.004, 0.008, 0.003, 0.005, 0.956),
+)
+# P(directory | its parent): mostly it is what its parent is.
+_DIRECTORY = (
+    (0.9825, 0.0020, 0.0040, 0.0040, 0.0020, 0.0025, 0.0030),
+    (0.0200, 0.9630, 0.0040, 0.0040, 0.0030, 0.0020, 0.0040),
+    (0.1800, 0.0100, 0.7800, 0.0100, 0.0100, 0.0050, 0.0050),
+    (0.0080, 0.0020, 0.0030, 0.9800, 0.0030, 0.0020, 0.0020),
+    (0.1800, 0.0100, 0.0100, 0.0100, 0.7800, 0.0050, 0.0050),
+    (0.0150, 0.0008, 0.0040, 0.0012, 0.0020, 0.9750, 0.0020),
+    (0.0080, 0.0008, 0.0030, 0.0012, 0.0020, 0.0020, 0.9830),
+)
+#: Log evidence of code that carries no mark at all: many files of the other labels carry one.
+UNMARKED = (0.0, -2.5, -3.0, -0.7, -3.0, 0.0, 0.0)
+_N = len(STATES)
+
+
+def _balanced(rows: np.ndarray, evidence: np.ndarray) -> np.ndarray:
+    """``rows`` with those states' own entries set so that files of ``evidence`` say the same of them as
+    of handwritten: however many unmarked files there are, they don't speak for unmarked origins."""
+    out, weight = rows.copy(), np.exp(evidence)
+    for i in (STATES.index("generated_unmarked"), STATES.index("vendored_unmarked")):
+        out[i, i] += (out[0] @ weight - out[i] @ weight) / weight[i]
+    return out
+
+
+COMPATIBLE = np.log(_balanced(np.array(_FILE), np.array(UNMARKED)))
+
+
+def _named(states: tuple[str, ...], begins: float, goes_on: float, otherwise: float) -> np.ndarray:
+    """P(a directory has a name of some kind | parent, directory): by whether the directory is in one
+    of ``states`` and its parent isn't, whether both are, and else."""
+    inside = np.array([s in states for s in STATES])
+    return np.where(inside[None, :], np.where(inside[:, None], goes_on, begins), otherwise)
+
+
+_VENDOR_NAMED = _named(("vendored", "vendored_unmarked"), 0.7, 0.002, 5e-5)
+_GENERATED_NAMED = _named(("generated", "generated_unmarked"), 0.6, 0.002, 5e-5)
+#: Log compatibility of a directory with its parent by the kind of its name: plain, vendor, generated.
+COMPATIBLE_DIRS = np.log(np.array(_DIRECTORY)[None] * np.stack([1 - _VENDOR_NAMED - _GENERATED_NAMED, _VENDOR_NAMED, _GENERATED_NAMED]))
+#: What a mark speaks against the states without marks.
+MARKED = 7.0
 
 
 def directory_evidence(name: Column) -> list[Column]:
-    """Log evidence of a directory from its name, or a root's prior."""
+    """Log evidence of a directory for minified files from its name, or a root's prior."""
     low = F.lower(name)
-    named = [F.lit(0.0), F.when(low.isin(*GENERATED_DIRS), 200.0).otherwise(0.0), F.when(low.isin(*BUILD_DIRS), 4.0).otherwise(0.0), F.when(low.isin(*VENDOR_DIRS), 200.0).otherwise(0.0), F.lit(0.0)]
+    named = [F.when(low.isin(*BUILD_DIRS), 4.0).otherwise(0.0) if s == "minified" else F.lit(0.0) for s in STATES]
     return [F.when(F.col("dir") == "", F.lit(ROOT_PRIOR[i])).otherwise(named[i]) for i in range(_N)]
 
 
-def telling(name: Column) -> Column:
-    """1 if a directory's name alone says what it is, else 0.
-
-    Such a directory's label doesn't depend on its parent's, so no message passes between them.
-    """
-    return F.lower(name).isin(*GENERATED_DIRS, *VENDOR_DIRS).cast("double")
+def name_kind(name: Column) -> Column:
+    """Which compatibility a directory's name asks for: 0 plain, 1 vendor, 2 generated."""
+    low = F.lower(name)
+    return F.when(low.isin(*VENDOR_DIRS), 1.0).when(low.isin(*GENERATED_DIRS), 2.0).otherwise(0.0)
 
 
 def _lse(x: np.ndarray) -> np.ndarray:
@@ -223,13 +260,18 @@ def _lse(x: np.ndarray) -> np.ndarray:
 
 
 def to_parent(child: np.ndarray, compatible: np.ndarray = COMPATIBLE) -> np.ndarray:
-    """Log messages of children (a row each) to each label of their directory."""
-    return _lse(child[:, None, :] + compatible[None, :, :])
+    """Log messages of children (a row each) to each state of their directory."""
+    return _lse(child[:, None, :] + compatible)
 
 
 def to_child(parent: np.ndarray, compatible: np.ndarray = COMPATIBLE) -> np.ndarray:
-    """Log messages of directories to each label of a child."""
-    return _lse(parent[:, None, :] + compatible.T[None, :, :])
+    """Log messages of directories to each state of a child."""
+    return _lse(parent[:, None, :] + np.swapaxes(compatible, -1, -2))
+
+
+def of_kind(kinds: np.ndarray) -> np.ndarray:
+    """The compatibility of each directory with its parent, by its name's kind (first of its row)."""
+    return COMPATIBLE_DIRS[kinds[:, 0].astype(np.int64)]
 
 
 def _cols(prefix: str) -> list[Column]:
@@ -260,7 +302,7 @@ def _stepped(df: DataFrame, keep: list[str], step: Callable[..., list[np.ndarray
 
 
 def evidence_table(files: DataFrame) -> DataFrame:
-    """file_id, repo, dir and log evidence e0..e4 of each file, once per file_id.
+    """file_id, repo, dir and log evidence e0..e6 of each file, once per file_id.
 
     Where deliveries of one file_id differ, an arbitrary one of them counts. A null path lies
     in the root; a null repository is one of its own.
@@ -291,7 +333,8 @@ def _with_depth(dirs: DataFrame) -> DataFrame:
 
 
 def propagate(evidence: DataFrame) -> DataFrame:
-    """Posterior of each file: the columns of ``evidence`` and probabilities handwritten .. blob.
+    """Posterior of each file: the columns of ``evidence`` and probabilities handwritten .. blob, the
+    states of a label together.
 
     A file's message to its directory is summed with its siblings' before it is shuffled.
     There are as many levels as the deepest path has. Each is needed twice, so each is written
@@ -303,7 +346,7 @@ def propagate(evidence: DataFrame) -> DataFrame:
     up_to = F.transform(F.sequence(F.lit(0), F.when(F.col("dir") == "", F.lit(0)).otherwise(F.size(steps))), lambda i: F.array_join(F.slice(steps, 1, i), "/"))
     paths = leaves.select("repo", F.explode(up_to).alias("dir")).distinct()
     own = directory_evidence(F.regexp_extract("dir", r"([^/]*)$", 1))
-    marked = paths.join(leaves, ["repo", "dir"], "left").select("repo", "dir", *((own[i] + F.coalesce(F.col(f"f{i}"), F.lit(0.0))).alias(f"o{i}") for i in range(_N)), *(telling(F.regexp_extract("dir", r"([^/]*)$", 1)).alias(f"n{i}") for i in range(_N)))
+    marked = paths.join(leaves, ["repo", "dir"], "left").select("repo", "dir", *((own[i] + F.coalesce(F.col(f"f{i}"), F.lit(0.0))).alias(f"o{i}") for i in range(_N)), name_kind(F.regexp_extract("dir", r"([^/]*)$", 1)).alias("n0"), *(F.lit(0.0).alias(f"n{i}") for i in range(1, _N)))
     dirs = cut(_with_depth(marked))
     deepest = dirs.agg(F.max("depth")).first()[0] or 0
     level: dict[int, DataFrame] = {}
@@ -314,7 +357,7 @@ def propagate(evidence: DataFrame) -> DataFrame:
             here = here.select("*", *(F.lit(0.0).alias(f"s{i}") for i in range(_N)))
         else:
             here = here.join(sums, (here.repo == sums.p_repo) & (here.dir == sums.p_dir), "left").select(here["*"], *(F.coalesce(F.col(f"c{i}"), F.lit(0.0)).alias(f"s{i}") for i in range(_N)))
-        here = cut(_stepped(here, ["repo", "dir", "parent"], lambda o, s, n: [o + s, (1 - n) * to_parent(o + s, COMPATIBLE_DIRS), n], "osn", "tmn"))
+        here = cut(_stepped(here, ["repo", "dir", "parent"], lambda o, s, n: [o + s, to_parent(o + s, of_kind(n)), n], "osn", "tmn"))
         level[d] = here
         sums = here.groupBy(F.col("repo").alias("p_repo"), F.col("parent").alias("p_dir")).agg(*(F.sum(f"m{i}").alias(f"c{i}") for i in range(_N)))
     above: DataFrame | None = None
@@ -326,7 +369,7 @@ def propagate(evidence: DataFrame) -> DataFrame:
         else:
             up = above.select(F.col("repo").alias("p_repo"), F.col("dir").alias("p_dir"), *(F.col(f"b{i}").alias(f"p{i}") for i in range(_N)))
             joined = here.join(up, (here.repo == up.p_repo) & (here.parent == up.p_dir), "inner")
-            here = cut(_stepped(joined, ["repo", "dir"], lambda t, m, n, p: [t + (1 - n) * to_child(p - m, COMPATIBLE_DIRS)], "tmnp", "b"))
+            here = cut(_stepped(joined, ["repo", "dir"], lambda t, m, n, p: [t + to_child(p - m, of_kind(n))], "tmnp", "b"))
         above = here
         beliefs = here if beliefs is None else beliefs.unionByName(here)
     at = beliefs.select(F.col("repo").alias("d_repo"), F.col("dir").alias("d_dir"), *_cols("b"))
@@ -337,7 +380,8 @@ def propagate(evidence: DataFrame) -> DataFrame:
         return [np.exp(z - _lse(z)[:, None])]
 
     final = _stepped(joined, ["file_id", "repo", "path", "code"], posterior, "efb", "z")
-    return final.select("file_id", "repo", "path", "code", *(F.col(f"z{i}").alias(LABELS[i]) for i in range(_N)))
+    of_label = [[i for i, s in enumerate(STATES) if s.split("_")[0] == label] for label in LABELS]
+    return final.select("file_id", "repo", "path", "code", *(sum((F.col(f"z{i}") for i in at[1:]), F.col(f"z{at[0]}")).alias(label) for label, at in zip(LABELS, of_label)))
 
 
 def origin_of_files(files: DataFrame) -> DataFrame:

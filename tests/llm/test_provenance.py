@@ -67,22 +67,65 @@ def test_beliefs_equal_brute_force(spark):
     rows = spark.createDataFrame([schema_row(i, p) for i, p in enumerate(paths)], FILES).drop("e0")
     found = {r.path: [r[x] for x in P.LABELS] for r in P.propagate(P.evidence_table(rows)).collect()}
     dirs = ["", "a", "a/vendor", "b", "b/gen"]
-    own = {}
-    for d in dirs:
-        name = d.rsplit("/", 1)[-1]
-        own[d] = [0.0, 200 * (name in P.GENERATED_DIRS), 4 * (name in P.BUILD_DIRS), 200 * (name in P.VENDOR_DIRS), 0.0] if d else list(P.ROOT_PRIOR)
+    n = len(P.STATES)
+    name = lambda d: d.rsplit("/", 1)[-1]
+    own = {d: [4.0 * (x == "minified" and name(d) in P.BUILD_DIRS) for x in P.STATES] if d else list(P.ROOT_PRIOR) for d in dirs}
+    kind = {d: 1 if name(d) in P.VENDOR_DIRS else 2 if name(d) in P.GENERATED_DIRS else 0 for d in dirs}
     up = lambda p: p.rsplit("/", 1)[0] if "/" in p else ""
     evidence = {p: P.file_evidence(p, PLAIN) for p in paths}
-    total = {p: np.zeros(5) for p in paths}
-    for labels in itertools.product(range(5), repeat=len(dirs)):
-        at = dict(zip(dirs, labels))
-        w = sum(own[d][at[d]] for d in dirs) + sum(P.COMPATIBLE_DIRS[at[up(d)], at[d]] for d in dirs if d and d.rsplit("/", 1)[-1] not in (*P.VENDOR_DIRS, *P.GENERATED_DIRS))
-        sums = {p: np.exp(np.array(evidence[p]) + P.COMPATIBLE[at[up(p)]]) for p in paths}
+    total = {p: np.zeros(n) for p in paths}
+    message = {p: np.exp(np.array(evidence[p])[None, :] + P.COMPATIBLE) for p in paths}
+    for states in itertools.product(range(n), repeat=len(dirs)):
+        at = dict(zip(dirs, states))
+        w = sum(own[d][at[d]] for d in dirs) + sum(P.COMPATIBLE_DIRS[kind[d]][at[up(d)], at[d]] for d in dirs if d)
+        sums = {p: message[p][at[up(p)]] for p in paths}
+        every = math.exp(w) * math.prod(v.sum() for v in sums.values())
         for p in paths:
-            others = math.prod(sums[q].sum() for q in paths if q != p)
-            total[p] += math.exp(w - 400) * others * sums[p]
+            total[p] += every * sums[p] / sums[p].sum()
     for p in paths:
-        assert np.allclose(found[p], total[p] / total[p].sum(), atol=1e-9)
+        joined = np.array([sum(total[p][i] for i, x in enumerate(P.STATES) if x.split("_")[0] == label) for label in P.LABELS])
+        assert np.allclose(found[p], joined / joined.sum(), atol=1e-9)
+
+
+VENDORED = b"// Vendored from github.com/a/b@v1.2\n" + PLAIN
+
+
+def labels_of(spark, files):
+    rows = spark.createDataFrame([schema_row(i, p, content=c) for i, (p, c) in enumerate(files)], FILES).drop("e0")
+    return {r.rel_path: r.label for r in P.origin_of_files(rows).collect()}
+
+
+def test_siblings_alone_turn_a_label(spark):
+    other = [(f"src/m{i}.js", PLAIN) for i in range(6)]
+    marked = [(f"pkg/b{i}.js", VENDORED) for i in range(6)]
+    # A file without any mark is handwritten by itself, and vendored among vendored ones.
+    assert labels_of(spark, [("pkg/a.js", PLAIN), *other])["pkg/a.js"] == "handwritten"
+    assert labels_of(spark, [("pkg/a.js", PLAIN), *marked, *other])["pkg/a.js"] == "vendored"
+    assert labels_of(spark, [("pkg/a.js", PLAIN), *marked, *other])["src/m0.js"] == "handwritten"
+
+
+def posterior(own, *siblings):
+    """Handwritten share of a file with evidence ``own`` in a directory with ``siblings`` below a root."""
+    files = np.array([own, *siblings])
+    messages = P.to_parent(files)
+    below = messages.sum(axis=0)
+    root = np.array(P.ROOT_PRIOR) + 6 * P.to_parent(np.array([P.UNMARKED]))[0]
+    directory = below + P.to_child(root[None], P.COMPATIBLE_DIRS[0][None])[0]
+    z = files[0] + P.to_child((directory - messages[0])[None])[0]
+    z = np.exp(z - z.max())
+    return z[0] / z.sum()
+
+
+def test_handwritten_siblings_turn_a_weak_mark():
+    weak = (0.0, 4.7, 0.0, 0.0, 0.0, 4.7 - P.MARKED, -P.MARKED)
+    assert posterior(weak) < 0.5 < posterior(weak, *[P.UNMARKED] * 8)
+    strong = (0.0, 9.0, 0.0, 0.0, 0.0, 9.0 - P.MARKED, -P.MARKED)
+    assert posterior(strong, *[P.UNMARKED] * 50) < 0.5
+
+
+def test_unmarked_files_speak_for_nothing_but_handwritten():
+    assert posterior(*[P.UNMARKED] * 5000) > 0.9
+    assert np.isfinite(P.COMPATIBLE).all() and np.isfinite(P.COMPATIBLE_DIRS).all() and np.abs(P.COMPATIBLE_DIRS).max() < 25
 
 
 def test_paths_tell(spark):
