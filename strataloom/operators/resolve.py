@@ -7,15 +7,27 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from strataloom.functions.text import ancestors
 
 
+#: Widths of bins of spans, as powers of two: of narrow spans, and of all that are wider than most files.
+_NARROWEST, _WIDEST = 8, 32
+
+
 def nearest_owner(observations: DataFrame, spans: DataFrame) -> DataFrame:
     """The narrowest span of the same file around each observation.
 
     observations: obs_id, cache_key, file_path, start, end; spans: cache_key, file_path, span_id,
     s_start, s_end. A span of the same extent holds too; of equally wide ones the later start and
-    then the lesser id wins. Observations without a span keep a null span_id. The join is on the
-    file; what is aggregated per observation is one struct.
+    then the lesser id wins. Observations without a span keep a null span_id.
+
+    A span is as wide as some power of two at most, and lies in one or two bins of that width; an
+    observation looks into the one bin of each width that it lies in. So the join is on file and
+    bin, and a large file's observations aren't compared with all of its spans.
     """
-    near = observations.join(spans, ["cache_key", "file_path"], "left").where(F.col("span_id").isNull() | ((F.col("s_start") <= F.col("start")) & (F.col("end") <= F.col("s_end"))))
+    width = F.greatest(F.col("s_end") - F.col("s_start"), F.lit(1 << _NARROWEST))
+    level = F.least(F.ceil(F.log2(width)), F.lit(_WIDEST)).cast("int")
+    shifted = lambda at: F.floor(at / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    placed = spans.withColumn("level", level).withColumn("bin", F.explode(F.array_distinct(F.array(shifted(F.col("s_start")), shifted(F.col("s_end"))))))
+    asked = observations.select("obs_id", "cache_key", "file_path", "start", "end", F.explode(F.sequence(F.lit(_NARROWEST), F.lit(_WIDEST))).alias("level")).withColumn("bin", shifted(F.col("start")))
+    near = asked.join(placed, ["cache_key", "file_path", "level", "bin"]).where((F.col("s_start") <= F.col("start")) & (F.col("end") <= F.col("s_end")))
     best = near.groupBy("obs_id").agg(F.min(F.struct((F.col("s_end") - F.col("s_start")).alias("width"), (-F.col("s_start")).alias("later"), "span_id")).alias("best"))
     return observations.select("obs_id").distinct().join(best, "obs_id", "left").select("obs_id", F.col("best.span_id").alias("span_id"))
 
@@ -64,13 +76,17 @@ def python_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     roots = tops.unionByName(files.select("cache_key", F.lit("").alias("root"))).distinct()
     up = F.array_join(F.slice(folder, F.lit(1), F.greatest(F.size(folder) - F.col("level") + 1, F.lit(0))), "/")
     relative = asked.where("ok AND level > 0").withColumn("root", up)
-    absolute = asked.where("ok AND level = 0").join(roots, "cache_key")
-    names = relative.columns
-    based = relative.unionByName(absolute.select(*names))
+    # Absolute imports meet files by their path below a root, so that no import is joined with all roots.
+    absolute = asked.where("ok AND level = 0").withColumn("root", F.lit(""))
+    based = relative.unionByName(absolute)
     place = _joined(F.col("root"), F.when(F.col("module") != "", F.replace("module", F.lit("."), F.lit("/"))))
     named = F.when((F.col("name") != "") & (F.col("name") != "*"), _joined(place, F.col("name")))
     candidates = F.filter(F.array(F.concat(named, F.lit(".py")), F.concat(named, F.lit("/__init__.py")), F.when(place != "", F.concat(place, F.lit(".py"))), F.when(place != "", F.concat(place, F.lit("/__init__.py"))).otherwise(F.lit("__init__.py"))), lambda c: c.isNotNull())
-    probes = based.select("import_id", "cache_key", "root", F.posexplode(candidates).alias("rank", "target")).join(py, ["cache_key", "target"])
+    tried = based.select("import_id", "cache_key", "root", "level", F.posexplode(candidates).alias("rank", "target"))
+    inside_root = F.when(F.col("root") == "", F.col("target")).otherwise(F.expr("substring(target, length(root) + 2)"))
+    rooted = py.select("cache_key", "target", F.explode(ancestors(F.col("target"))).alias("root")).join(roots, ["cache_key", "root"]).select("cache_key", "root", inside_root.alias("below"), F.col("target").alias("found"))
+    below = tried.where("level = 0").select("import_id", "cache_key", "rank", F.col("target").alias("below")).join(rooted, ["cache_key", "below"]).select("import_id", "root", "rank", F.col("found").alias("target"))
+    probes = tried.where("level > 0").join(py, ["cache_key", "target"]).select("import_id", "root", "rank", "target").unionByName(below)
     per_root = probes.groupBy("import_id", "root").agg(F.min_by("target", "rank").alias("target"))
     found = per_root.groupBy("import_id").agg(F.countDistinct("target").alias("n"), F.min("target").alias("target"))
     out = asked.join(found, "import_id", "left")
