@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from strataloom.functions.policy import exclusion_reason, exclusion_root
+from strataloom.functions.policy import EXCLUDED_DIRECTORIES, exclusion_reason, exclusion_root
 from strataloom.functions.text import ancestors
 
 
@@ -62,18 +62,56 @@ def ignored(path: Column, rules: list[tuple[str, bool]]) -> Column:
     return F.exists(above, lambda a: decided(a, True)) | decided(path, False)
 
 
+LISTED = "rel_path string, modified timestamp, bytes long, content binary"
+#: Bytes of contents that one batch of a listing holds before it is handed on.
+_BATCH_BYTES = 32 << 20
+
+
 def listing(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
-    """path (relative), modified, bytes and content of every file below ``root``.
+    """rel_path, modified, bytes and content of every file below ``root``, hidden and empty ones too.
 
-    Hidden files (names with a leading dot or underscore) aren't listed by Spark's readers. The
-    size filter is pushed to the file listing, so that larger files aren't read.
+    The driver lists the first level only; what is below is walked and read by the tasks. Larger
+    files than ``max_bytes`` aren't read nor told of, and contents in excluded directories are null.
+    ``root`` is a path or URI of a file system that all executors reach.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    if max_bytes is not None:
-        files = files.where(F.col("length") <= max_bytes)
-    base = re.sub(r"^file:(//)?", "", root).rstrip("/")
-    relative = F.regexp_replace(F.regexp_replace("path", r"^file:(//)?", ""), "^" + re.escape(base) + "/", "")
-    return files.select(relative.alias("rel_path"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"), "content")
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(root)
+    base = base.rstrip("/")
+    first = [(x.path, x.type == fs.FileType.Directory) for x in system.get_file_info(fs.FileSelector(base, recursive=False))]
+    excluded = frozenset(EXCLUDED_DIRECTORIES)
+
+    def run(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        system, _ = fs.FileSystem.from_uri(root)
+        rows, held = [], 0
+        for batch in batches:
+            for top, is_folder in zip(batch.path, batch.folder):
+                todo = [system.get_file_info(top)] if not is_folder else list(system.get_file_info(fs.FileSelector(top, recursive=False)))
+                while todo:
+                    x = todo.pop()
+                    if x.type == fs.FileType.Directory:
+                        todo += system.get_file_info(fs.FileSelector(x.path, recursive=False))
+                        continue
+                    if x.type != fs.FileType.File or max_bytes is not None and x.size > max_bytes:
+                        continue
+                    relative = x.path[len(base) + 1 :]
+                    content = None
+                    if not excluded & set(relative.split("/")[:-1]):
+                        with system.open_input_stream(x.path) as f:
+                            content = f.read()
+                    rows.append((relative, x.mtime, x.size, content))
+                    held += len(content or b"")
+                    if held > _BATCH_BYTES:
+                        yield pd.DataFrame(rows, columns=["rel_path", "modified", "bytes", "content"])
+                        rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=["rel_path", "modified", "bytes", "content"])
+
+    tops = spark.createDataFrame(first, "path string, folder boolean")
+    return tops.repartition(max(1, min(len(first), 1_000)), "path").mapInPandas(run, LISTED)
 
 
 def scan(spark: SparkSession, root: str, cache_key: str, ignore_text: str = "", max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:

@@ -24,7 +24,9 @@ def test_tools(spark, small):
     assert api.graph_calls(spark, small, limit=3).count() <= 3
     assert api.verify(spark, small, repo).count() >= 0
     assert api.store_health(spark, small).count() == 48
-    assert api.stats(spark, small).count() >= 1 and api.analyze(spark, small).count() == 1
+    assert api.stats(spark, small, all_time=True).count() >= 1
+    summary, findings = api.analyze(spark, small, since_days=10_000)
+    assert summary.count() == 1 and "finding" in findings.columns and findings.count() >= 1
 
 
 def test_retrieve(spark, small):
