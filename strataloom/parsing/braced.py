@@ -300,6 +300,10 @@ def read_script(language: str, text: str) -> list[Seen]:
         if w == "import" and top and r.word(i + 1) not in ("(", "."):
             i = _script_import(r, i, imports)
             continue
+        if w == "export" and not top and (i == 0 or r.text[r.starts[i] - 1] == "\n"):
+            # Exports are of the module; at a line's start it is brackets before that aren't closed.
+            del around[1:]
+            continue
         if w == "export" and top:
             nxt = r.word(i + 1)
             if nxt in ("{", "*") or nxt == "type" and r.word(i + 2) in ("{", "*"):

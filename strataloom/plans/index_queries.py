@@ -209,9 +209,25 @@ def search_allowlist_semijoin(spark, d):
 QUESTION = "How does the resolver prune stale evidence of an import?"
 
 
-@query()
+_FIELDS = ", ".join(f"{{'scope': '{scope}', 'weight': {anchors.FIELD_WEIGHTS[scope]}, 'text': coalesce({text}, '')}}" for scope, text in (
+    ("file_basename", r"regexp_replace(string_split(file_path, '/')[-1], '(.)\.[^.]*$', '\1')"), ("file_path", "file_path"), ("symbol_name", "name"), ("qualified_name", "qualified_name"), ("signature", "signature"), ("summary", "summary"), ("docstring", "docstring"), ("keywords", "array_to_string(keywords, ' ')"),
+))
+_FRONT = "list_transform(map_entries(coalesce(metadata.frontmatter, MAP {}::MAP(VARCHAR, VARCHAR))), lambda e: {'scope': 'page_frontmatter.' || e.key, 'weight': CASE e.key " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in anchors.FRONT_WEIGHTS.items()) + " ELSE 3.0 END, 'text': coalesce(e.value, '')})"
+_ASKED = anchors.question_terms(QUESTION)
+_PAIRS = [f"{a} {b}" for a, b in zip(_ASKED, _ASKED[1:])]
+
+
+@query(f"""WITH {_SYM}, u AS (SELECT *, CASE WHEN language = 'markdown' THEN cache_key || '::' || file_path ELSE cache_key || '::' || id END AS unit FROM sym WHERE NOT coalesce(list_contains(string_split(file_path, '/'), '_templates'), false)),
+  n AS (SELECT count(DISTINCT unit) AS corpus FROM u), f AS (SELECT ord, id, unit, unnest(list_concat([{_FIELDS}], {_FRONT})) AS f FROM u), t AS (SELECT ord, id, unit, f.scope AS scope, f.weight AS weight, {_TERMS.format(t='f.text')} AS tokens FROM f),
+  h AS (SELECT *, list_filter([{_list(_ASKED)}], lambda x: list_contains(tokens, x)) AS hits FROM t), k AS (SELECT * FROM h WHERE len(hits) > 0), e AS (SELECT *, unnest(hits) AS term FROM k), d AS (SELECT term, count(DISTINCT unit) AS df FROM e GROUP BY term),
+  w AS (SELECT unit, ord, id, term, max(weight * (1 + ln((corpus + 1) / (df + 1))) * (0.35 + 0.65 * (len(hits) / greatest(1, len(list_distinct(tokens)))) ** 2)) AS part FROM e JOIN d USING (term), n GROUP BY ALL),
+  b AS (SELECT ord, max(CASE WHEN high AND follows THEN weight * 2 ELSE 0.0 END) AS bonus, bool_or(high) AS high FROM (SELECT ord, weight, scope IN ({_list([*anchors.HIGH_SIGNAL, "page_frontmatter.title", "page_frontmatter.tags"])}) AS high,
+    len(list_filter(list_zip(tokens[:-2], tokens[2:]), lambda z: list_contains([{_list(_PAIRS)}], z[1] || ' ' || z[2]))) > 0 AS follows FROM k) GROUP BY ord),
+  s AS (SELECT unit, ord, id, list_reduce(list_prepend(0.0, list_sort(list(part), 'DESC')[1:4]), lambda a, c: a + c) AS strongest, count(*) AS matched, array_to_string(list_sort(list(term)), ' ') AS matched_terms FROM w GROUP BY ALL),
+  r AS (SELECT *, (strongest + bonus) * (1 + 0.25 * (least(matched, 4) / {len(_ASKED)})) AS score FROM s JOIN b USING (ord) WHERE high OR matched >= 2), o AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY score DESC, id) AS k FROM r)
+  SELECT (row_number() OVER (ORDER BY score DESC, id))::INT AS rank, unit, id, round(score, 6) AS score, matched_terms FROM o, n WHERE k = 1 QUALIFY rank <= least(10, CASE WHEN corpus < 11 THEN 1 ELSE greatest(1, (corpus - 1) // 10) END)""")
 def anchors_inferred(spark, d):
-    """Anchors of one question; tested against a plain Python version."""
+    """Anchors of one question."""
     return anchors.inferred(tables.symbols(spark, d, "cache_key", "id", "name", "qualified_name", "signature", "summary", "docstring", "keywords", "metadata"), QUESTION)
 
 
