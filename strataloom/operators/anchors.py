@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strataloom.functions.text import ANCHOR_STOP_WORDS, in_templates, tokens
+from strataloom.functions.text import ANCHOR_STOP_WORDS, folded, in_templates, tokens
 
 MAX_TERMS = 32
 # What a term's hit weighs, by where it is.
@@ -39,8 +39,17 @@ def document_frequency(texts: DataFrame, key: str, text: Column) -> DataFrame:
     return each.groupBy("term").agg(F.count("*").alias("document_frequency"))
 
 
-def fields(symbols: DataFrame) -> DataFrame:
-    """A row for each searched field of each symbol: ord, unit, scope, weight and tokens."""
+def _mentions(text: Column, terms: list[str]) -> Column:
+    """Whether a text may hold one of the terms: what normalises to a term has it, or its plural in -ies, in it."""
+    forms = sorted({f for t in terms for f in (t, t[:-1] + "ies" if t.endswith("y") else t)})
+    return folded(text).rlike("|".join(forms)) if forms else F.lit(False)
+
+
+def fields(symbols: DataFrame, terms: list[str] | None = None) -> DataFrame:
+    """A row for each searched field of each symbol: ord, unit, scope, weight and tokens.
+
+    With ``terms`` only fields that may hold one of them are cut into tokens and given.
+    """
     base = F.regexp_replace(F.element_at(F.split("file_path", "/"), -1), r"(?<=.)\.[^.]*$", "")
     texts = {"file_basename": base, "file_path": F.col("file_path"), "symbol_name": F.col("name"), "qualified_name": F.col("qualified_name"), "signature": F.col("signature"), "summary": F.col("summary"), "docstring": F.col("docstring"), "keywords": F.array_join(F.coalesce("keywords", F.array().cast("array<string>")), " ")}
     plain = F.array(*(F.struct(F.lit(s).alias("scope"), F.lit(FIELD_WEIGHTS[s]).alias("weight"), F.coalesce(t, F.lit("")).alias("text")) for s, t in texts.items()))
@@ -48,6 +57,8 @@ def fields(symbols: DataFrame) -> DataFrame:
     front = F.transform(F.map_entries(F.coalesce("metadata.frontmatter", F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.concat(F.lit("page_frontmatter."), e["key"]).alias("scope"), weight(e["key"]).alias("weight"), F.coalesce(e["value"], F.lit("")).alias("text")))
     unit = F.when(F.col("language") == "markdown", F.concat_ws("::", "cache_key", "file_path")).otherwise(F.concat_ws("::", "cache_key", "id"))
     rows = symbols.where(~in_templates(F.col("file_path"))).select("ord", "id", unit.alias("unit"), F.explode(F.concat(plain, front)).alias("f"))
+    if terms is not None:
+        rows = rows.where(_mentions(F.col("f.text"), terms))
     return rows.select("ord", "id", "unit", F.col("f.scope").alias("scope"), F.col("f.weight").alias("weight"), tokens(F.col("f.text")).alias("tokens"))
 
 
@@ -56,6 +67,11 @@ def cap(units: int, wanted: int) -> int:
     return min(wanted, 1 if units < 11 else max(1, (units - 1) // 10))
 
 
+def capped(units: Column, wanted: int) -> Column:
+    """:func:`cap` of a number of units that is a column."""
+    return F.least(F.lit(wanted), F.when(units < 11, 1).otherwise(F.greatest(F.lit(1), F.floor((units - 1) / 10))))
+
+
 def inferred(symbols: DataFrame, question: str, most: int = 10) -> DataFrame:
     """The best units for a question, with the best symbol of each.
 
@@ -64,16 +80,16 @@ def inferred(symbols: DataFrame, question: str, most: int = 10) -> DataFrame:
     """
     terms = question_terms(question)
     asked = F.array(*(F.lit(t) for t in terms)) if terms else F.array().cast("array<string>")
-    all_fields = fields(symbols)
+    all_fields = fields(symbols, terms)
     hits = all_fields.withColumn("hits", F.array_intersect("tokens", asked)).where(F.size("hits") > 0)
     each = hits.withColumn("term", F.explode("hits"))
     sizes = symbols.where(~in_templates(F.col("file_path"))).select(F.when(F.col("language") == "markdown", F.concat_ws("::", "cache_key", "file_path")).otherwise(F.concat_ws("::", "cache_key", "id")).alias("unit")).distinct()
-    corpus = sizes.count()
+    corpus = sizes.agg(F.count("*")).scalar()
     frequency = each.select("unit", "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
     covered = F.size("hits") / F.greatest(F.lit(1), F.size(F.array_distinct("tokens")))
     density = 0.35 + 0.65 * covered * covered
     # A row per question term: at most 32, so it is broadcast.
-    weighed = each.join(F.broadcast(frequency), "term").withColumn("part", F.col("weight") * specificity(F.col("df"), F.lit(corpus)) * density)
+    weighed = each.join(F.broadcast(frequency), "term").withColumn("part", F.col("weight") * specificity(F.col("df"), corpus) * density)
     per_term = weighed.groupBy("unit", "ord", "id", "term").agg(F.max("part").alias("part"))
     pairs = list(zip(terms, terms[1:]))
     high = F.col("scope").isin(*HIGH_SIGNAL, "page_frontmatter.title", "page_frontmatter.tags")
@@ -88,5 +104,6 @@ def inferred(symbols: DataFrame, question: str, most: int = 10) -> DataFrame:
     kept = summed.where((F.col("high") == 1) | (F.col("matched") >= 2)).withColumn("score", score)
     best = Window.partitionBy("unit").orderBy(F.col("score").desc(), "id")
     of_unit = kept.withColumn("n", F.row_number().over(best)).where("n = 1")
-    given = of_unit.orderBy(F.col("score").desc(), "id").limit(cap(corpus, most))
-    return given.select(F.row_number().over(Window.orderBy(F.col("score").desc(), "id")).alias("rank"), "unit", "id", F.round("score", 6).alias("score"), F.array_join("matched_terms", " ").alias("matched_terms"))
+    given = of_unit.orderBy(F.col("score").desc(), "id").limit(most)
+    ranked = given.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "id"))).withColumn("most", capped(corpus, most)).where(F.col("rank") <= F.col("most"))
+    return ranked.select("rank", "unit", "id", F.round("score", 6).alias("score"), F.array_join("matched_terms", " ").alias("matched_terms"))

@@ -230,7 +230,7 @@ def export_rules(seen: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFr
     """
     exports = seen.where("what = 'export' AND name IS NOT NULL").dropDuplicates(["cache_key", "file_path", "n"])
     done = imports.where("status = 'resolved'")
-    own = exports.where("kind NOT IN ('reexport', 'local', 'expression', 'package')").select("cache_key", "file_path", "name", F.lit(None).cast("string").alias("target_file"), F.lit(None).cast("string").alias("target_name"), "start", "end")
+    own = exports.where(r"kind NOT IN ('reexport', 'local', 'expression', 'package') AND (language <> 'go' OR name RLIKE '^\\p{Lu}')").select("cache_key", "file_path", "name", F.lit(None).cast("string").alias("target_file"), F.lit(None).cast("string").alias("target_name"), "start", "end")
     through = done.where("exported_name IS NOT NULL").select("cache_key", "file_path", F.col("exported_name").alias("name"), "target_file", F.col("imported_name").alias("target_name"))
     held = done.where("local_name IS NOT NULL AND language = 'python' AND module_level AND kind = 'symbol'").select("cache_key", "file_path", F.col("local_name").alias("name"), "target_file", F.col("imported_name").alias("target_name"))
     named = exports.where("kind IN ('local', 'expression') AND imported_name IS NOT NULL").select("cache_key", "file_path", "name", "imported_name")
@@ -238,6 +238,12 @@ def export_rules(seen: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFr
     listed = named.join(definitions, ["cache_key", "file_path", "imported_name"]).select("cache_key", "file_path", "name", F.lit(None).cast("string").alias("target_file"), F.lit(None).cast("string").alias("target_name"), "start", "end")
     local = done.select("cache_key", "file_path", F.col("local_name").alias("imported_name"), "target_file", F.coalesce("imported_name", F.lit("*")).alias("target_name"))
     passed = named.join(local, ["cache_key", "file_path", "imported_name"]).select("cache_key", "file_path", "name", "target_file", "target_name")
+    # A Go package is known by its first file, which offers what its other files define.
+    folder = F.regexp_replace("file_path", r"/?[^/]*$", "")
+    go = exports.where("language = 'go' AND file_path NOT LIKE '%_test.go'").withColumn("folder", folder)
+    first = go.groupBy("cache_key", "folder").agg(F.min("file_path").alias("first"))
+    offered = own.withColumn("folder", folder).join(go.select("cache_key", "file_path").distinct(), ["cache_key", "file_path"], "left_semi").join(first, ["cache_key", "folder"])
+    through = through.unionByName(offered.where("first <> file_path").select("cache_key", F.col("first").alias("file_path"), "name", F.col("file_path").alias("target_file"), F.col("name").alias("target_name")))
     rules = own.unionByName(listed).unionByName(through.unionByName(held).unionByName(passed), allowMissingColumns=True).distinct()
     stars = done.where("kind = 'glob' AND (language <> 'go')").select("cache_key", "file_path", "target_file").distinct()
     return rules, stars

@@ -228,13 +228,12 @@ def read_script(language: str, text: str) -> list[Seen]:
     around: list[tuple[int, str | None, tuple[int, int], bool]] = [(len(r.words) + 1, None, whole, False)]
     i, n = 0, len(r.words)
     exported = default = False
+    made: tuple[str, str] | None
 
     def function(i: int, start: int, name: str, kind: str, bracket: int, parent: str | None, scope: tuple[int, int], at: int) -> int:
         """A function whose parameters open at ``bracket``; the next token to look at, inside its body."""
         behind = r.after(bracket)
         body = r.find(behind, "{", ";}") if r.word(behind) != "{" else behind
-        if body < 0 and r.word(behind) == ":" and typed:
-            body = -1
         end = r.end_of(body) if body >= 0 else r.statement_end(behind)
         qualified = r.symbol(name, kind, start, end, parent, at, tuple(decorators(at)))
         inner = (r.starts[bracket], end)
@@ -321,7 +320,7 @@ def read_script(language: str, text: str) -> list[Seen]:
         w = r.word(i)
         name_at = i + 1 + (r.word(i + 1) == "*")
         name = r.word(name_at)
-        made: tuple[str, str] | None = None
+        made = None
         at_end = i + 1
         if w == "function":
             bracket = r.find(name_at, "(", ";}")
@@ -530,10 +529,8 @@ def read_go(language: str, text: str) -> list[Seen]:
                     stop = j + 1
                     while stop < min(last, n) and not (r.newline_before(stop) and r.word(stop - 1) not in (",", "=")) and r.words[stop] != ";":
                         stop = r.after(stop) if r.words[stop] in _PAIRS else stop + 1
-                    start, end = r.starts[j] if grouped or w != "x" else r.starts[i], r.ends[min(stop, n) - 1]
+                    start, end = r.starts[j], r.ends[min(stop, n) - 1]
                     kind = {"type": "type", "const": "constant", "var": "value"}[w]
-                    if w == "type" and r.word(j + 1) == "interface" or w == "type" and r.word(j + 1) == "=" and r.word(j + 2) == "interface":
-                        kind = "type"
                     if w != "var":
                         r.symbol(r.words[j], kind, start, end, parent, i if not grouped else j)
                     r.bind(r.words[j], kind if kind != "constant" else "value", start, end, scope, scope[0] if top else r.starts[j])

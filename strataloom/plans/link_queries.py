@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from strataloom.functions import text as X
-from strataloom.operators import extensions, health, integrity, link, observe, tables
-from strataloom.plans.index_queries import _EDG, _FIL, _REF, _STEM, _SYM, _list, coverage_samples, query  # noqa: F401
+from strataloom.operators import extensions, health, link, observe, tables
+from strataloom.plans.index_queries import _FIL, _REF, _STEM, _SYM, _list, query
 from strataloom.runtime import cut, table
 
 

@@ -9,14 +9,15 @@ from __future__ import annotations
 import hashlib
 import json
 import time
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-POINTER, PENDING = "_current", "_pending"
+POINTER, PENDING, ENTRY, IDENTITY = "_current", "_pending", "_entry", "_identity"
 
 
 class Store:
-    """Index tables of repositories below one root, with a catalog."""
+    """Index tables of repositories below one root."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -59,9 +60,8 @@ class Store:
         for name, rows in tables.items():
             out = rows.write
             (out.partitionBy(partition_by) if partition_by else out).parquet(f"{base}/{version}/{name}")
+        self._write(f"{base}/{ENTRY}", json.dumps({"path": repository, "tables": sorted(tables)}, sort_keys=True))
         self._write(f"{base}/{POINTER}", version)
-        catalog = self.catalog() | {self.key(repository): {"path": repository, "version": version, "tables": sorted(tables)}}
-        self._write(f"{self.root}/catalog.json", json.dumps(catalog, sort_keys=True))
         self._fs.delete(self._path(f"{base}.{PENDING}"), False)
         return version
 
@@ -72,7 +72,38 @@ class Store:
         return None if version is None else self.spark.read.parquet(f"{base}/{version}/{name}")
 
     def catalog(self) -> dict[str, dict]:
-        return json.loads(self._read(f"{self.root}/catalog.json") or "{}")
+        """Each repository's path, version and tables by its key.
+
+        An entry is a file beside the repository's pointer, so that writers of different
+        repositories don't share one. A repository without an entry has a null path.
+        """
+        out = {}
+        for status in self._fs.listStatus(self._path(self.root)):
+            name = status.getPath().getName()
+            version = self._read(f"{self.root}/{name}/{POINTER}") if status.isDirectory() else None
+            if version:
+                out[name] = {"path": None, "tables": [], **json.loads(self._read(f"{self.root}/{name}/{ENTRY}") or "{}"), "version": version}
+        return out
+
+    def identity(self, adopt: bool = False) -> str:
+        """The store's own id, given when it is first asked for.
+
+        A root that already holds something but no id has to be adopted. Of several that ask at
+        once one gives the id, and all get it.
+        """
+        path = f"{self.root}/{IDENTITY}"
+        found = self._read(path)
+        if found is None:
+            if not adopt and self._fs.listStatus(self._path(self.root)):
+                raise ValueError(f"{self.root} isn't empty; adopt it explicitly")
+            try:
+                stream = self._fs.create(self._path(path), False)
+                stream.write(bytearray(uuid.uuid4().hex.encode()))
+                stream.close()
+            except Exception:  # another one was first
+                pass
+            found = self._read(path)
+        return found
 
     def pending(self) -> list[str]:
         """Keys of repositories of which a write was begun and not ended."""
@@ -80,22 +111,35 @@ class Store:
 
     def invalidate(self, repository: str) -> bool:
         """Takes a repository out; whether there was one."""
-        catalog = self.catalog()
-        found = catalog.pop(self.key(repository), None)
+        found = self.key(repository) in self.catalog()
         self._fs.delete(self._path(f"{self.root}/{self.key(repository)}"), True)
-        self._write(f"{self.root}/catalog.json", json.dumps(catalog, sort_keys=True))
-        return found is not None
+        return found
 
     def repair(self) -> dict[str, dict]:
-        """A catalog rebuilt from the pointers; markers of unfinished writes go."""
-        old, out = self.catalog(), {}
+        """The catalog as the pointers have it: entries get the tables that are there, and markers of
+        unfinished writes go."""
         for status in self._fs.listStatus(self._path(self.root)):
-            name = status.getPath().getName()
-            version = self._read(f"{self.root}/{name}/{POINTER}") if status.isDirectory() else None
-            if version:
-                tables = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/{name}/{version}")) if s.isDirectory())
-                out[name] = {"path": old.get(name, {}).get("path"), "version": version, "tables": tables}
-            elif name.endswith(f".{PENDING}"):
+            if status.getPath().getName().endswith(f".{PENDING}"):
                 self._fs.delete(status.getPath(), False)
-        self._write(f"{self.root}/catalog.json", json.dumps(out, sort_keys=True))
-        return out
+        for name, entry in self.catalog().items():
+            tables = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/{name}/{entry['version']}")) if s.isDirectory())
+            self._write(f"{self.root}/{name}/{ENTRY}", json.dumps({"path": entry["path"], "tables": tables}, sort_keys=True))
+        return self.catalog()
+
+    def clean(self) -> list[str]:
+        """Takes out repositories whose root is gone; their paths."""
+        gone = [v["path"] for v in self.catalog().values() if v["path"] and not self._fs.exists(self._path(v["path"]))]
+        for path in gone:
+            self.invalidate(path)
+        return sorted(gone)
+
+
+def resolved_root(spark: SparkSession, bound: str | None = None, default: str = ".strataloom") -> str:
+    """Where the store lies: the bound root, else the session's strataloom.store, else the default."""
+    return bound or spark.conf.get("strataloom.store", None) or default
+
+
+def legacy_counts(spark: SparkSession, pattern: str) -> DataFrame:
+    """path and number of symbols of old single-file JSON indexes; only these two members are read."""
+    rows = spark.read.schema("repo_path string, symbols array<struct<id:string>>").json(pattern, multiLine=True)
+    return rows.select(F.col("repo_path").alias("path"), F.size("symbols").alias("symbols"))

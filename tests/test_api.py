@@ -3,6 +3,7 @@
 import pytest
 
 from strataloom import api
+from strataloom.operators import graph, tables
 
 
 def test_tools(spark, small):
@@ -20,19 +21,28 @@ def test_tools(spark, small):
     assert api.graph_health(spark, small).count() == 1
     counts, page = api.graph_references(spark, small, status="resolved", limit=5)
     assert counts.first().total >= page.count()
-    assert api.graph_imports(spark, small, limit=3).count() <= 3
-    assert api.graph_calls(spark, small, limit=3).count() <= 3
+    counts, page = api.graph_imports(spark, small, repo, limit=3)
+    assert page.count() <= 3 and counts.first().total >= page.count()
+    counts, page = api.graph_calls(spark, small, repo, status="unresolved", limit=3)
+    assert page.count() <= 3 and counts.first().total == counts.first().resolved + counts.first().unresolved
     assert api.verify(spark, small, repo).count() >= 0
-    assert api.store_health(spark, small).count() == 48
+    summary, page = api.store_health(spark, small, limit=10)
+    assert summary.first().repositories == 48 and page.count() == 10
     assert api.stats(spark, small, all_time=True).count() >= 1
     summary, findings = api.analyze(spark, small, since_days=10_000)
     assert summary.count() == 1 and "finding" in findings.columns and findings.count() >= 1
 
 
 def test_retrieve(spark, small):
-    rows = api.graph_retrieve(spark, small, "How does the resolver improve a stale import?")
+    assert api.graph_retrieve(spark, small, "What is it?").count() == 0
+    edge = graph.filtered(tables.edges(spark, small, "from_id", "to_id", "namespace", "edge_type", "resolution")).where("from_id <> to_id AND to_id <> ''").first()
+    rows = api.graph_retrieve(spark, small, "Which pages support it?", seed_ids=[edge.from_id, edge.to_id])
     assert set(rows.columns) == {"path_no", "node_ids", "score", "reason"}
-    assert all((r.score is None) != (r.reason is None) for r in rows.collect())
+    found = rows.collect()
+    assert all((r.score is None) != (r.reason is None) for r in found)
+    assert any(sorted((r.node_ids[0], r.node_ids[-1])) == sorted((edge.from_id, edge.to_id)) for r in found)
+    paths = api.graph_paths(spark, small, [edge.from_id], [edge.to_id]).collect()
+    assert paths and all((r.reason is None) == (r.evidence_bytes is not None) or r.reason == "EVIDENCE_BUDGET_EXCEEDED" for r in paths)
 
 
 def test_limits(spark, small):

@@ -9,11 +9,6 @@ from strataloom.parsing.observed import Offsets
 FILES = "file_id long, cache_key string, rel_path string, language string, content binary"
 
 
-def files_of(spark, **texts):
-    rows = [(i, "k", p.replace("__", "/").replace("_DOT_", "."), None, bytearray(t.encode())) for i, (p, t) in enumerate(texts.items())]
-    return spark.createDataFrame(rows, FILES)
-
-
 def of(spark, texts):
     return spark.createDataFrame([(i, "k", p, None, bytearray(t.encode())) for i, (p, t) in enumerate(texts.items())], FILES)
 
@@ -82,7 +77,8 @@ REPO = {
     "src/inner.rs": "pub fn deep() {}\nuse super::top;\nuse super::super::nope;\n",
     "go.mod": "module example.invalid/m\n",
     "p/p.go": "package p\n\nfunc F() {}\n",
-    "main.go": 'package main\n\nimport "example.invalid/m/p"\n\nfunc main() { p.F(); g() }\n\nfunc g() {}\n',
+    "p/q.go": "package p\n\nfunc G() {}\n\nfunc low() {}\n",
+    "main.go": 'package main\n\nimport "example.invalid/m/p"\n\nfunc main() { p.F(); p.G(); g() }\n\nfunc g() {}\n',
 }
 
 
@@ -126,6 +122,7 @@ def test_calls_lead_to_callables(linked):
     assert found["pkg/core.py", "helper"][3] in ("local_binding_shadowed", "exact")
     assert found["web/use.ts", "uno"][2] == "web/a.ts::one#function" and found["web/use.ts", "two"][2] == "web/a.ts::two#function"
     assert found["web/a.ts", "one"][3] == "exact"
+    assert found["main.go", "p.G"][2] == "p/q.go::G#function"
     assert found["main.go", "g"][2:] == ("main.go::g#function", "exact") and found["main.go", "p.F"][2] == "p/p.go::F#function"
     assert found["src/lib.rs", "deep"][2] == "src/inner.rs::deep#function"
 
@@ -174,5 +171,5 @@ def test_contexts_visibility_and_modules(spark):
 
 
 def test_empty_tables(spark):
-    rows = observe.observed(of(spark, {}).limit(0) if REPO is None else spark.createDataFrame([], FILES))
+    rows = observe.observed(spark.createDataFrame([(1, None, None, None, None), (2, "k", "a.md", None, bytearray(b"x")), (3, "k", "e.go", None, bytearray(b""))], FILES))
     assert rows.count() == 0 and observe.symbols_of(rows).count() == 0

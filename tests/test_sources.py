@@ -69,13 +69,33 @@ def test_store_versions(spark, tmp_path):
     store.write("/r", {"files": spark.range(5)})
     assert (old.count(), store.load("/r", "files").count()) == (3, 5)
     assert store.catalog()[store.key("/r")]["path"] == "/r" and store.pending() == []
-    (tmp_path / "s" / "catalog.json").unlink()
+    (tmp_path / "s" / store.key("/r") / "_entry").unlink()
     (tmp_path / "s" / "dead._pending").write_text("{}")
     assert store.pending() == ["dead"]
     assert store.repair()[store.key("/r")]["tables"] == ["files"] and store.pending() == []
     assert store.invalidate("/r") and not store.invalidate("/r") and store.load("/r", "files") is None
 
 
+def test_store_identity_and_cleaning(spark, tmp_path):
+    from strataloom.sources.store import legacy_counts, resolved_root
+
+    store = Store(spark, str(tmp_path / "s"))
+    own = store.identity()
+    assert own == store.identity() == Store(spark, str(tmp_path / "s")).identity()
+    (tmp_path / "here").mkdir()
+    for path in (str(tmp_path / "here"), str(tmp_path / "gone")):
+        store.write(path, {"files": spark.range(1)})
+    assert store.clean() == [str(tmp_path / "gone")] and [v["path"] for v in store.catalog().values()] == [str(tmp_path / "here")]
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "x").write_text("x")
+    with pytest.raises(ValueError):
+        Store(spark, str(tmp_path / "t")).identity()
+    assert Store(spark, str(tmp_path / "t")).identity(adopt=True)
+    assert resolved_root(spark, "/b") == "/b" and resolved_root(spark) == ".strataloom"
+    (tmp_path / "old.json").write_text(json.dumps({"repo_path": "/r", "symbols": [{"id": "a", "x": 1}, {"id": "b"}], "graph": {}}, indent=1))
+    assert [tuple(r) for r in legacy_counts(spark, str(tmp_path / "old.json")).collect()] == [("/r", 2)]
+
+
 def test_log_reads(spark, tmp_path):
     path = tmp_path / "log.json"
     path.write_text('{"ts": 1, "symbol_id": "a"}\n{broken\n{"ts": 2, "event": "search"}\n')
