@@ -59,14 +59,20 @@ def _plain(name: str) -> str:
 
 
 class Path:
-    """A path of members and lists, with what is known of its place; paths are shared by all records."""
+    """A path of members and lists, with what is known of its place; paths are shared by all records.
 
-    __slots__ = ("names", "shape", "place", "declared", "children", "group", "label")
+    It is kept as its last step and the path before, so that deep records cost no more than their depth.
+    """
+
+    __slots__ = ("parent", "name", "shape", "place", "declared", "children", "item", "_label", "_names")
 
-    def __init__(self, names: tuple[str, ...], shape: Shape | None, place: str, declared: bool):
-        self.names, self.shape, self.place, self.declared = names, shape, place, declared
+    def __init__(self, parent: "Path | None", name: str, shape: Shape | None, place: str, declared: bool):
+        self.parent, self.name, self.shape, self.place, self.declared = parent, name, shape, place, declared
         self.children: dict[str, Path] = {}
-        self.group, self.label = grouped(names)
+        #: The nearest repeated ancestor, this path itself if it stands for a list's elements.
+        self.item: Path | None = self if name == LIST else parent.item if parent is not None else None
+        self._label: str | None = None
+        self._names: tuple[str, ...] | None = None
 
     def child(self, name: str) -> Path:
         found = self.children.get(name)
@@ -78,24 +84,46 @@ class Path:
         if name == LIST:
             # Elements of a list at a list's place are declared; a list in a list isn't.
             known = self.place == "list"
-            return Path((*self.names, LIST), self.shape if known else None, "element" if known else "", known and self.declared)
+            return Path(self, LIST, self.shape if known else None, "element" if known else "", known and self.declared)
         shape, want = self.shape, _plain(name)
         if shape is not None:
             for names, place in ((shape.lists, "list"), (shape.objects, "object")):
                 for known, below in names.items():
                     if _plain(known) == want:
-                        return Path((*self.names, known), below, place, self.declared)
+                        return Path(self, known, below, place, self.declared)
             if self.place == "list" and name.lower() in WRAPPERS:
-                return Path((*self.names, name), shape, "list", self.declared)
+                return Path(self, name, shape, "list", self.declared)
             if self.place == "list" and name.isdigit():
-                return Path((*self.names, name), shape, "element", self.declared)
-        return Path((*self.names, name), None, "", False)
-
-
-def grouped(names: tuple[str, ...]) -> tuple[tuple[str, ...], str]:
-    """The nearest repeated ancestor of a path, and the rest of the path as a field's name."""
-    last = max((i for i, x in enumerate(names) if x == LIST), default=-1) + 1
-    return names[:last], ".".join(names[last:])
+                return Path(self, name, shape, "element", self.declared)
+        return Path(self, name, None, "", False)
+
+    def chain(self, top: "Path | None" = None) -> list["Path"]:
+        """The paths from below ``top`` (the root if not given) down to this one."""
+        out: list[Path] = []
+        at: Path | None = self
+        while at is not top and at is not None and at.parent is not None:
+            out.append(at)
+            at = at.parent
+        return out[::-1]
+
+    @property
+    def label(self) -> str:
+        """The rest of the path behind its nearest repeated ancestor, as a field's name."""
+        if self._label is None:
+            self._label = ".".join(p.name for p in self.chain(self.item))
+        return self._label
+
+    @property
+    def names(self) -> tuple[str, ...]:
+        """All steps of the path; asked for of repeated ancestors only."""
+        if self._names is None:
+            self._names = tuple(p.name for p in self.chain())
+        return self._names
+
+
+def rooted(shape: Shape) -> Path:
+    """The path of whole records of ``shape``."""
+    return Path(None, "", shape, "object", True)
 
 
 _BLANK = "[ \t\n\r]*"
@@ -211,55 +239,49 @@ def _ended(top: list, out: list, special: dict) -> None:
         known = shape.known()
         wrapped = [n for n in names if n.lower() in WRAPPERS]
         if len(wrapped) == 1 and not any(n in known for n in names):
-            special[path.names, ordinals] = ("under", wrapped[0])
+            special[path, ordinals] = ("under", wrapped[0])
         elif names and all(n.isdigit() for n in names):
-            special[path.names, ordinals] = ("keyed", sorted(names, key=int))
+            special[path, ordinals] = ("keyed", sorted(names, key=int))
         else:
-            special[path.names, ordinals] = ("one", None)
+            special[path, ordinals] = ("one", None)
     if len(names) > 1:
         # Of several spellings of one list or object its own goes first, then the first one.
-        spelt: dict[tuple, list[str]] = {}
+        spelt: dict[str, list[str]] = {}
         for n in names:
             found = path.child(n)
             if found.place in ("list", "object"):
-                spelt.setdefault(found.names, []).append(n)
+                spelt.setdefault(found.name, []).append(n)
         if any(len(set(x)) > 1 for x in spelt.values()):
-            raise _Respelt({n for key, x in spelt.items() for n in x if n != (key[-1] if key[-1] in x else x[0])})
+            raise _Respelt
 
 
 class _Respelt(Exception):
     """Names of an object that are second spellings of its lists or objects."""
 
 
-def _placed(names: tuple[str, ...], ordinals: tuple[int, ...], special: dict) -> tuple[tuple, tuple] | None:
+def _placed(path: Path, ordinals: tuple[int, ...], special: dict, root: Path) -> tuple[Path, tuple] | None:
     """A path and its ordinals as they would be if every list stood at its place."""
-    out: list[str] = []
-    steps: list[int] = []
-    i = k = 0
-    while True:
-        what, how = special.get((names[:i], ordinals[:k]), ("", None))
-        if what == "under":
-            if i == len(names) or names[i] != how:
+    steps = path.chain()
+    at, out, found, k = root, root, [], 0
+    for step in (*steps, None):
+        what, how = special.get((at, ordinals[:k]), ("", None))
+        if what in ("under", "keyed"):
+            if step is None or what == "under" and step.name != how:
                 return None
-            i += 1
-            continue
-        if what == "keyed":
-            if i == len(names):
-                return None
-            out.append(LIST)
-            steps.append(how.index(names[i]))
-            i += 1
+            if what == "keyed":
+                out = out.child(LIST)
+                found.append(how.index(step.name))
+            at = step
             continue
         if what == "one":
-            out.append(LIST)
-            steps.append(0)
-        if i == len(names):
-            return tuple(out), tuple(steps)
-        if names[i] == LIST:
-            steps.append(ordinals[k])
+            out = out.child(LIST)
+            found.append(0)
+        if step is None:
+            return out, tuple(found)
+        if step.name == LIST:
+            found.append(ordinals[k])
             k += 1
-        out.append(names[i])
-        i += 1
+        at, out = step, out.child(step.name)
 
 
 def triples(text: str | None, root: Path) -> list[Triple] | None:
@@ -288,12 +310,9 @@ def triples(text: str | None, root: Path) -> list[Triple] | None:
         return out
     moved = []
     for path, ordinals, value in out:
-        place = _placed(path.names, ordinals, special)
+        place = _placed(path, ordinals, special, root)
         if place is not None:
-            found = root
-            for name in place[0]:
-                found = found.child(name)
-            moved.append((found, place[1], value))
+            moved.append((*place, value))
     return moved
 
 
@@ -323,26 +342,27 @@ def shredded(found: list[Triple], root: Path, declared: bool = False) -> list[Ro
     table; of an undeclared list each gives a row with the field ``value``. With ``declared``
     the rows of undeclared lists are left out.
     """
-    rows: dict[tuple, list] = {((), ()): [root, {}, True]}
+    rows: dict[tuple, list] = {(None, ()): [{}, True]}
     for path, ordinals, value in found:
-        key = (path.group, ordinals)
-        row = rows.get(key)
+        item = path.item
+        itself = item is path
+        if value is OBJECT and not itself:
+            continue
+        row = rows.get((item, ordinals))
         if row is None:
-            row = rows[key] = [None, {}, False]
+            row = rows[item, ordinals] = [{}, False]
         if value is OBJECT:
-            if not path.label:
-                row[0], row[2] = path, True
+            row[1] = True
         else:
-            if row[0] is None and not path.label:
-                row[0] = path
-            row[1][path.label or "value"] = value
+            row[0]["value" if itself else path.label] = value
     out: list[Row] = []
-    for (group, ordinals), (path, fields, is_object) in rows.items():
-        if not group:
+    for (item, ordinals), (fields, is_object) in rows.items():
+        if item is None:
             out.append((root.shape.name, "", None, None, fields))
             continue
-        if path is None or (path.declared and not is_object) or (declared and not path.declared):
+        if (item.declared and not is_object) or (declared and not item.declared):
             continue
+        group = item.names
         spelt, n, outer = "", 0, 0
         last = inner = len(group) - 1
         while group[inner] == LIST:  # of a list in a list, the parent is the object around both
@@ -377,7 +397,7 @@ def shred(records: DataFrame, kind: str, key: str, text: str, shape: Shape, fiel
     schema = ROWS if columns is None and fields else ", ".join([_KEYS, *(f"c{i} string" for i in range(len(columns or ())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root = Path((), shape, "object", True)
+        root = rooted(shape)
         for batch in batches:
             rows: list[tuple] = []
             for record_id, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -107,7 +107,7 @@ JSON = st.recursive(st.none() | st.booleans() | st.integers() | st.text(max_size
 @given(st.dictionaries(st.sampled_from(["edges", "symbol_references", "x"]), JSON, max_size=3))
 @settings(max_examples=150, deadline=None)
 def test_every_row_has_its_parent(record):
-    root = nested.Path((), nested.STATE, "object", True)
+    root = nested.rooted(nested.STATE)
     rows = nested.shredded(nested.triples(json.dumps(record), root), root)
     paths = {p for _, p, *_ in rows}
     assert len(paths) == len(rows)
@@ -115,7 +115,7 @@ def test_every_row_has_its_parent(record):
 
 
 def rows_of(text, shape=nested.STATE, **how):
-    root = nested.Path((), shape, "object", True)
+    root = nested.rooted(shape)
     found = nested.triples(text, root)
     return None if found is None else {r[1]: r for r in nested.shredded(found, root, **how)}
 
