@@ -254,11 +254,23 @@ def test_overlaps_and_conflicts(spark):
 
 
 def test_symbols_against_files(spark):
-    files = spark.createDataFrame([(1, "k", "a.py", bytearray(b"def f(x):\n  pass\n"))], "file_id long, cache_key string, rel_path string, content binary")
-    schema = "ord long, cache_key string, file_path string, kind string, name string, signature string, byte_offset long, byte_length long"
-    rows = [(1, "k", "a.py", "function", "f", "def f(x):", 0, 16), (2, "k", "b.py", "function", "f", "", 0, 1), (3, "k", "a.py", "function", "g", "", 0, 16), (4, "k", "a.py", "function", "f", "def f(y)", 0, 16), (5, "k", "a.py", "file", "z", None, 0, 99)]
-    found = {r.ord: r.problem for r in integrity.verify_symbols(spark.createDataFrame(rows, schema), files).collect()}
-    assert found == {1: None, 2: "source_file_missing", 3: "name_not_in_bytes", 4: "signature_not_in_bytes", 5: "range_outside_file"}
+    from hashlib import sha256
+
+    source, page = b"def f(x):\n  pass\n", b"# Head\n\ntext\n"
+    files = spark.createDataFrame([(1, "k", "a.py", bytearray(source)), (2, "k", "p.md", bytearray(page))], "file_id long, cache_key string, rel_path string, content binary")
+    schema = "ord long, cache_key string, file_path string, kind string, language string, name string, signature string, byte_offset long, byte_length long, content_hash string, metadata struct<markdown:struct<synthetic_name:boolean>>"
+    own, whole = sha256(source[:16]).hexdigest(), sha256(source).hexdigest()
+    rows = [
+        (1, "k", "a.py", "function", "python", "f", "def f(q):", 0, 16, own, None), (2, "k", "b.py", "function", "python", "f", "", 0, 1, None, None), (3, "k", "a.py", "function", "python", "g", "", 0, 16, None, None),
+        (4, "k", "p.md", "section", "markdown", "Head", "# Other", 0, 7, None, None), (5, "k", "a.py", "file", "python", "z", None, 0, 0, whole, None), (6, "k", "a.py", "file", "python", "z", None, 0, 0, own, None), (7, "k", "a.py", "function", "python", "f", None, 0, 16, whole, None),
+        (8, "k", "p.md", "section", "markdown", "made up", "", 0, 7, None, ((True,),)), (9, "k", "a.py", "function", "python", None, None, 90, 16, "", None), (10, "k", None, None, None, None, None, None, None, None, None),
+    ]
+    symbols = spark.createDataFrame(rows, schema)
+    found = {r.ord: r.problem for r in integrity.verify_symbols(symbols, files).collect()}
+    assert found == {1: None, 2: "source_file_missing", 3: "name_not_in_bytes", 4: "signature_not_in_bytes", 5: None, 6: "content_drift", 7: "content_drift", 8: None, 9: None, 10: "source_file_missing"}
+    live = spark.createDataFrame([("k", "a.py", bytearray(b"def f(y):\n  pass\n"))], "cache_key string, rel_path string, content binary")
+    now = {r.ord: r.problem for r in integrity.verify_symbols(symbols, files, live).collect()}
+    assert (now[1], now[5], now[3], now[8]) == ("content_drift", "content_drift", "name_not_in_bytes", None)
 
 
 def test_markdown():
