@@ -464,6 +464,8 @@ def read_go(language: str, text: str) -> list[Seen]:
     while i < n:
         while len(around) > 1 and i >= around[-1][0]:
             around.pop()
+        if r.words[i] in ("func", "type", "import") and r.kinds[i] == "w" and (not r.starts[i] or r.text[r.starts[i] - 1] == "\n"):
+            del around[1:]  # at a line's start these are the package's, whatever wasn't closed before
         w, (_, parent, scope) = r.words[i], around[-1]
         top = len(around) == 1
         begins = i == 0 or r.newline_before(i) or r.word(i - 1) in (";", "{", "}")
