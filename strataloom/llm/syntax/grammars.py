@@ -233,7 +233,7 @@ ImportNames: '*' | '(' ImportName (',' ImportName)* ','? ')' | ImportName (',' I
 ImportName: IDENT ('as' IDENT)? ;
 Assigned: &single AUGMENTED Right | &single ':' Test ('=' Right)? | (&targets '=' Right)* ;
 Right: 'yield' Yield | Stars ;
-Compound: 'if' Named Suite ('elif' Named Suite)* ('else' Suite)? | 'while' Named Suite ('else' Suite)? | For | 'try' Suite (Except+ ('else' Suite)? ('finally' Suite)? | 'finally' Suite) | With | Def | Class | Decorated | 'async' (Def | With | For) | 'match' Stars ':' NEWLINE INDENT Case+ DEDENT ;
+Compound: 'if' Named Suite ('elif' Named Suite)* ('else' Suite)? | 'while' Named Suite ('else' Suite)? | For | 'try' Suite (Except+ ('else' Suite)? ('finally' Suite)? | 'finally' Suite) | With | Def | Class | Decorated | 'async' (Def | With | For) | 'match' Star (',' Star)* ','? ':' NEWLINE INDENT Case+ DEDENT ;
 For: 'for' Targets 'in' Stars Suite ('else' Suite)? ;
 Except: 'except' '*'? (Stars ('as' IDENT)?)? Suite ;
 With: 'with' ('(' WithItem (',' WithItem)* ','? ')' Suite | WithItem (',' WithItem)* Suite) ;
@@ -254,22 +254,24 @@ Closed: Number | STRINGS | 'None' | 'True' | 'False' | IDENT ('.' IDENT)* ('(' (
 PatArg: &kwarg ONLY IDENT '=' Pattern | Pattern ;
 PatItem: '**' IDENT | Closed ':' Pattern ;
 Number: '-'? NUMBER (('+' | '-') NUMBER)? ;
-Stars: Star (',' Star)* ','? | 'yield' Yield ;
+Stars: Starred (',' Starred)* ','? | 'yield' Yield ;
+Starred: '*' Or | Test ;
 Star: '*' Or | Named ;
 Yield: ('from' Test | Stars)? ;
 Named: &walrus ONLY IDENT ':=' Test | Test ;
 Test: 'lambda' LambdaParams ':' Test | Or ('if' Or 'else' Test)? ;
 LambdaParams: (LambdaParam (',' LambdaParam)* ','?)? ;
 LambdaParam: IDENT ('=' Test)? | '*' IDENT? | '**' IDENT | '/' ;
-Or: Unary (BinOp Unary)* ;
-BinOp: BINOP | '*' | '**' | '+' | '-' | '/' | '@' | '|' | 'and' | 'or' | 'in' | 'not' 'in' | 'is' 'not'? ;
-Unary: ('+' | '-' | '~' | 'not') Unary | 'await' Unary | Atom Trailer* ;
+Or: Unary (BinOp Sign | ('and' | 'or') Unary)* ;
+BinOp: BINOP | '*' | '**' | '+' | '-' | '/' | '@' | '|' | 'in' | 'not' 'in' | 'is' 'not'? ;
+Unary: 'not' Unary | Sign ;
+Sign: ('+' | '-' | '~') Sign | 'await' Atom Trailer* | Atom Trailer* ;
 Trailer: '(' Args ')' | '[' Subscripts ']' | '.' IDENT ;
 Args: (Arg (',' Arg)* ','?)? ;
 Arg: '*' Test | '**' Test | &kwarg ONLY IDENT '=' Test | Named CompFor? ;
 Subscripts: Subscript (',' Subscript)* ','? ;
 Subscript: '*' Or | Named? ':' Test? (':' Test?)? | Named ;
-Atom: IDENT | NUMBER | STRINGS | '...' | 'None' | 'True' | 'False' | '(' (('yield' Yield) | Star (CompFor | (',' Star)* ','?))? ')' | '[' (Star (CompFor | (',' Star)* ','?))? ']' | '{' Braced '}' ;
+Atom: IDENT | NUMBER | STRINGS | '...' | 'None' | 'True' | 'False' | '(' ('yield' Yield | '*' Or ',' (Star (',' Star)* ','?)? | Named (CompFor | (',' Star)* ','?))? ')' | '[' (Star (CompFor | (',' Star)* ','?))? ']' | '{' Braced '}' ;
 Braced: (('**' Or | '*' Or | Named (':' Test)?) (CompFor | (',' ('**' Or | '*' Or | Named (':' Test)?))* ','?))? ;
 CompFor: ('async'? 'for' Targets 'in' CompIn ('if' CompIf)*)+ ;
 CompIn: 'lambda' LambdaParams ':' Test | Or ;

@@ -536,7 +536,7 @@ def _fields(body: str, spec: bool) -> str | None:
         if i >= n or not expression.strip() or not _expression(expression.strip()):
             return "invalid expression in a formatted string"
         if body[i] == "!":
-            m = re.compile(r"![rsa](?=[:}])").match(body, i)
+            m = re.compile(r"![rsa]\s*(?=[:}])").match(body, i)
             if not m:
                 return "invalid conversion in a formatted string"
             i = m.end()

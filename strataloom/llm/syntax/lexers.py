@@ -564,8 +564,8 @@ class ScriptLexer:
 
 class PythonLexer:
     _LEAD = r"[ \t\f]*"
-    _HOLES_2 = r'"(?!"")(?:[^"\\\n\r{]|\\[\s\S]|\{\{|\{(?:[^{}"\'\n]|"[^"\n]*"|\'[^\'\n]*\'|\{[^{}\n]*\})*\})*"'
-    _HOLES_1 = r"'(?!'')(?:[^'\\\n\r{]|\\[\s\S]|\{\{|\{(?:[^{}\"'\n]|\"[^\"\n]*\"|'[^'\n]*'|\{[^{}\n]*\})*\})*'"
+    _HOLES_2 = r'"(?!"")(?:[^"\\\n\r{]|\\[\s\S]|\{\{|\{(?:[^{}"\']|"[^"\n]*"|\'[^\'\n]*\'|\{[^{}]*\})*\})*"'
+    _HOLES_1 = r"'(?!'')(?:[^'\\\n\r{]|\\[\s\S]|\{\{|\{(?:[^{}\"']|\"[^\"\n]*\"|'[^'\n]*'|\{[^{}]*\})*\})*'"
     _PARTS = (
         r"(?:\r\n|\r|\n)[ \t\f]*",
         r"\#[^\n\r]*",
